@@ -66,17 +66,29 @@ def dense_positions(df: DataFrame, order_cols: list[str], name: str = "_pos") ->
     )
 
 
-def assign_ids(new_rows: DataFrame, base: DataFrame, key: str, order_cols: list[str]) -> DataFrame:
+def id_floor(*frames: DataFrame, key: str):
+    """Highest key over ``frames`` (0 if all empty), as a scalar subquery."""
+    maxes = [f.select(F.max(key).alias("_m")) for f in frames]
+    union = maxes[0]
+    for m in maxes[1:]:
+        union = union.unionByName(m)
+    return union.select(F.coalesce(F.max("_m"), F.lit(0)).cast("bigint")).scalar()
+
+
+def assign_ids(new_rows: DataFrame, base: DataFrame, key: str, order_cols: list[str], start=None) -> DataFrame:
     """M2: ``key`` = max(base key) + dense position in ``order_cols`` order
-    (auto-increment semantics: an empty base starts at 1)."""
-    start = base.select(F.coalesce(F.max(key), F.lit(0)).cast("bigint")).scalar()
+    (auto-increment semantics: an empty base starts at 1).  ``start`` overrides
+    the floor, e.g. the pre-delete maximum, since deleted IDs are not reused."""
+    if start is None:
+        start = id_floor(base, key=key)
     positioned = dense_positions(new_rows.drop(key) if key in new_rows.columns else new_rows, order_cols)
     return positioned.withColumn(key, (start + F.col("_pos")).cast("bigint")).drop("_pos")
 
 
 # --- M1: inserts --------------------------------------------------------------------
 
-def insert_rows(base: DataFrame, new_rows: DataFrame, table: str, order_cols: list[str] | None = None) -> DataFrame:
+def insert_rows(base: DataFrame, new_rows: DataFrame, table: str, order_cols: list[str] | None = None,
+                start=None) -> DataFrame:
     """M1: append rows; rows without IDs get auto-increment IDs (M2).
 
     Rows whose given ID already exists are not appended (the primary key
@@ -84,7 +96,7 @@ def insert_rows(base: DataFrame, new_rows: DataFrame, table: str, order_cols: li
     """
     key = PRIMARY_KEYS[table]
     if key not in new_rows.columns or order_cols is not None:
-        new_rows = assign_ids(new_rows, base, key, order_cols or [c for c in new_rows.columns if c != key])
+        new_rows = assign_ids(new_rows, base, key, order_cols or [c for c in new_rows.columns if c != key], start)
     else:
         keys = base.select(F.col(key).alias("_k"))
         new_rows = new_rows.join(keys, new_rows[key] == keys["_k"], "left_anti")
@@ -201,18 +213,29 @@ def rekey_rows(tables: dict[str, DataFrame], table: str, mapping: DataFrame) ->
 
 # --- combined batch ----------------------------------------------------------------------------
 
-def apply_changes(tables: dict[str, DataFrame], table: str, changes: DataFrame) -> dict[str, DataFrame]:
+def apply_changes(tables: dict[str, DataFrame], table: str, changes: DataFrame,
+                  high_water: DataFrame | None = None) -> dict[str, DataFrame]:
     """Apply one batch of U and D changes to ``table`` (D wins over U for a key),
-    then I rows (with IDs if given, else auto-increment in ``seq`` order)."""
+    then I rows (with IDs if given, else auto-increment in ``seq`` order).
+
+    ``high_water`` (a one-column frame of earlier maxima) carries the
+    auto-increment counter across versions, so IDs freed by earlier deletes
+    are not handed out again.
+    """
     key = PRIMARY_KEYS[table]
+    inserts = changes.where(F.col("op") == "I")
+    # Auto-increment never reuses IDs: the floor is taken before the deletes.
+    sources = [tables[table]] + ([inserts] if key in inserts.columns else [])
+    if high_water is not None:
+        sources.append(high_water.select(F.col(high_water.columns[0]).cast("bigint").alias(key)))
+    floor = id_floor(*sources, key=key)
     out = dict(tables)
     out[table] = update_rows(tables[table], changes, table)
     deletes = changes.where(F.col("op") == "D").select(key)
     out = delete_rows(out, table, deletes)
-    inserts = changes.where(F.col("op") == "I")
     cols = [f.name for f in SCHEMAS[table].fields if f.name in inserts.columns and f.name != key]
     if key in inserts.columns:
         out[table] = insert_rows(out[table], inserts.where(F.col(key).isNotNull()).select(key, *cols), table)
         inserts = inserts.where(F.col(key).isNull())
-    out[table] = insert_rows(out[table], inserts.select("seq", *cols), table, order_cols=["seq"])
+    out[table] = insert_rows(out[table], inserts.select("seq", *cols), table, order_cols=["seq"], start=floor)
     return out
