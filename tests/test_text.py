@@ -38,6 +38,7 @@ def test_fixture_cases(spark):
     assert run(spark, ["+1-555x12", "abc", None, "٣4"], TX.digits_only) == ["155512", "", None, "٣4"]
     assert run(spark, ["non-vegetarian", "o'neil", "3rd", "\ta  ", "", None], TX.strip_title) == [
         "Non-Vegetarian", "O'Neil", "3Rd", "A", "", None]
+    assert run(spark, ["straße", "ǆungla"], TX.strip_title) == ["Straße", "ǅungla"]
 
 
 # Unicode whitespace, separators, punctuation, digits of other scripts and
@@ -56,6 +57,7 @@ def test_differential(spark, values):
     assert run(spark, values, TX.clean_address) == [py_clean_address(v) for v in values]
     assert run(spark, values, TX.digits_only) == [py_digits(v) for v in values]
     assert run(spark, values, TX.strip_title) == [py_strip_title(v) for v in values]
+    assert run(spark, values, TX.strip_title_expr) == [py_strip_title(v) for v in values]
 
 
 def test_idempotent(spark):
