@@ -155,6 +155,12 @@ class DriverTables:
     def claims(self) -> DataFrame:
         return self._get("claims", lambda: claims(self.spark, self.sf_dir))
 
+    def use(self, frames: dict[str, DataFrame]) -> "DriverTables":
+        """Serve these frames (e.g. a loaded parquet version) instead of
+        rebuilding the tables from the driver files."""
+        self._cache.update(frames)
+        return self
+
     def as_dict(self) -> dict[str, DataFrame]:
         return {
             "providers": self.providers,

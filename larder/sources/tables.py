@@ -90,3 +90,27 @@ def read_version(spark: SparkSession, root: str, table: str, version: int | None
     return spark.read.parquet(os.path.join(root, table, f"v={version}")).select(
         *[f.name for f in SCHEMAS[table].fields]
     )
+
+
+# Sort keys used when a table version is written: files (and their row groups)
+# then cover narrow ranges of the columns the expiry and recency filters use,
+# so parquet min/max statistics skip most row groups.  Sorting is within each
+# write task only (no extra shuffle).
+WRITE_SORT = {"food_listings": ("Expiry_Date",), "claims": ("Timestamp",)}
+
+
+def write_tables(tables: dict[str, DataFrame], root: str, version: int = 0) -> dict[str, str]:
+    """Write every table as ``version``; returns the paths."""
+    paths = {}
+    for name, df in tables.items():
+        cols = [f.name for f in SCHEMAS[name].fields]
+        out = df.select(*cols)
+        if name in WRITE_SORT:
+            out = out.sortWithinPartitions(*WRITE_SORT[name])
+        paths[name] = write_version(out, root, name, version)
+    return paths
+
+
+def read_tables(spark: SparkSession, root: str, names=LOAD_ORDER, version: int | None = None) -> dict[str, DataFrame]:
+    """The given version (default: latest) of every table under ``root``."""
+    return {name: read_version(spark, root, name, version) for name in names}
