@@ -42,6 +42,10 @@ def dense_positions(df: DataFrame, order_cols: list[str], name: str = "_pos") ->
     4. per-partition counts -> prefix offsets (one row per partition, so the
        window and the broadcast are bounded by the partition count, not the
        data) -> position = offset + row index + 1.
+
+    ``order_cols`` must be a total order (unique, like IDs or ``seq``): equal
+    sort keys would both make positions ambiguous and keep a whole group of
+    equal keys in one range partition.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)

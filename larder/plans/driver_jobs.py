@@ -18,6 +18,9 @@ from larder.operators import filters as FL
 from larder.operators import integrity as IN
 from larder.operators import profile as PR
 from larder.plans.registry import AS_OF, register
+from larder.plans.sql import run_query
+from larder.session import scratch_path
+from larder.sources.csv import read_table_csv, write_csv
 from larder.schemas import FOREIGN_KEYS, MAX_LENGTHS, PRIMARY_KEYS, SCHEMAS
 
 # --- DuckDB spellings of the text cleaners (RE2 regex, same classes) ---------------
@@ -330,3 +333,33 @@ def _m6(t):
         F.col("Provider_ID").alias("old_id"), (F.col("Provider_ID") + 1000000).alias("new_id")
     )
     return CH.rekey_rows(t.as_dict(), "providers", mapping)["food_listings"]
+
+
+# --- A: sources and SQL entry point ---------------------------------------------------------
+
+@register(
+    "csv_roundtrip_providers",
+    f"""SELECT Provider_ID, {ct('Name')} AS Name, {ct('Type')} AS Type, {ca('Address')} AS Address,
+               {ct('City')} AS City, {dg('Contact')} AS Contact FROM providers""",
+)
+def _a1(t):
+    # A5 write (CSV with header) into the shared checkpoint folder, then A1
+    # read (multi-line, quoted, NA tokens -> null) and the providers cleaner.
+    path = scratch_path(t.spark, "providers_csv")
+    write_csv(t.providers, path)
+    return CL.clean_providers(read_table_csv(t.spark, path, "providers"))
+
+
+@register(
+    "sql_receivers_by_city_param",
+    """SELECT City, COUNT(*) AS Total_Receivers FROM receivers
+       WHERE Type = 'BUILDING' AND Name ILIKE '%customer#000%' GROUP BY City""",
+)
+def _a3(t):
+    return run_query(
+        t.spark,
+        "SELECT City, COUNT(*) AS Total_Receivers FROM larder_receivers "
+        "WHERE Type = :seg AND Name ILIKE :name GROUP BY City",
+        {"seg": "BUILDING", "name": "%customer#000%"},
+        {"larder_receivers": t.receivers},
+    )
