@@ -25,6 +25,14 @@ WHITESPACE_CLASS = (
 )
 WS = f"[{WHITESPACE_CLASS}]"
 
+# The same set for Java regex, written with the Unicode White_Space property
+# (which lacks only U+001C..U+001F): a property test is much cheaper per
+# character than a union of ten ranges, so the Spark patterns use this form.
+# Runs are matched possessively (``++``): a run of a single class never needs
+# backtracking.
+JAVA_WS_CLASS = r"\p{IsWhite_Space}\x{1C}-\x{1F}"
+JAVA_WS = f"[{JAVA_WS_CLASS}]"
+
 # Characters that clean_text turns into a separator: comma, backslash, hyphen.
 SEPARATOR_CLASS = r",\\\-"
 
@@ -39,12 +47,12 @@ def _col(c: str | Column) -> Column:
 
 def digits_only(c: str | Column) -> Column:
     """Keep Unicode decimal digits only; null stays null, no digits -> ''."""
-    return F.regexp_replace(_col(c).cast("string"), r"[^\p{Nd}]+", "")
+    return F.regexp_replace(_col(c).cast("string"), r"[^\p{Nd}]++", "")
 
 
 def collapse_whitespace(c: str | Column) -> Column:
     """Every run of whitespace becomes one space; then the ends are stripped."""
-    return F.trim(F.regexp_replace(_col(c), f"{WS}+", " "))
+    return F.trim(F.regexp_replace(_col(c), f"{JAVA_WS}++", " "))
 
 
 def clean_text(c: str | Column) -> Column:
@@ -54,7 +62,7 @@ def clean_text(c: str | Column) -> Column:
     single space, so one replacement over the union class is exact.
     """
     return F.trim(
-        F.regexp_replace(_col(c).cast("string"), f"[{WHITESPACE_CLASS}{SEPARATOR_CLASS}]+", " ")
+        F.regexp_replace(_col(c).cast("string"), f"[{JAVA_WS_CLASS}{SEPARATOR_CLASS}]++", " ")
     )
 
 
@@ -65,7 +73,7 @@ def clean_address(c: str | Column) -> Column:
 
 def strip_ws(c: str | Column) -> Column:
     """Python ``str.strip()``: remove leading and trailing Unicode whitespace."""
-    return F.regexp_replace(_col(c).cast("string"), f"^{WS}+|{WS}+$", "")
+    return F.regexp_replace(_col(c).cast("string"), f"^{JAVA_WS}++|{JAVA_WS}++$", "")
 
 
 def title_case_expr(c: str | Column) -> Column:

@@ -66,3 +66,15 @@ def test_idempotent(spark):
     assert run(spark, once, TX.clean_text) == once
     t1 = run(spark, vals, TX.strip_title)
     assert run(spark, t1, TX.strip_title) == t1
+
+
+def test_whitespace_classes_equal_python(spark):
+    from pyspark.sql import functions as F
+
+    # one row per BMP code point up to U+30FF (covers every whitespace char)
+    rows = [(cp, chr(cp)) for cp in range(1, 0x3100) if not 0xD800 <= cp <= 0xDFFF]
+    df = spark.createDataFrame(rows, "cp int, c string")
+    java = {r.cp for r in df.where(F.regexp_replace("c", TX.JAVA_WS, "") == "").collect()}
+    listed = {r.cp for r in df.where(F.regexp_replace("c", TX.WS, "") == "").collect()}
+    py = {cp for cp, c in rows if c.isspace()}
+    assert java == py == listed
