@@ -262,9 +262,11 @@ def _m5c(t):
         FROM claims""",
 )
 def _m4(t):
-    open_ = FL.open_claims(t.claims, t.food_listings, t.receivers)
-    old = open_.join(t.claims.select("Claim_ID", "Timestamp"), "Claim_ID").where(F.col("Timestamp") < F.lit(CUTOFF))
-    return CH.complete_claims(t.claims, old.select("Claim_ID"))
+    # The pick-list of open claims (F9), restricted to old ones before the
+    # joins, then marked Completed (M4).
+    old = t.claims.where(F.col("Timestamp") < F.lit(CUTOFF))
+    picked = FL.open_claims(old, t.food_listings, t.receivers).select("Claim_ID")
+    return CH.complete_claims(t.claims, picked)
 
 
 @register(
