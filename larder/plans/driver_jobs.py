@@ -317,7 +317,8 @@ def _m1(t):
     c = t.claims
     new = c.where(F.col("Status") == "Cancelled").select(
         F.col("Claim_ID").alias("_old_id"), "Food_ID", "Receiver_ID", F.lit("Pending").alias("Status"),
-        F.lit(dt.datetime.combine(AS_OF, dt.time())).cast("timestamp_ntz").alias("Timestamp"),
+        # date -> timestamp_ntz is midnight in every session time zone
+        F.lit(AS_OF).cast("timestamp_ntz").alias("Timestamp"),
     )
     return CH.insert_rows(c, new, "claims", order_cols=["_old_id"])
 

@@ -66,7 +66,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     always wins.  Only when nothing is configured (a local test session) is a
     private temporary folder created.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: the server owns the setting
+        return spark.conf.get("spark.checkpoint.dir", "")
     current = sc.getCheckpointDir()
     if current:
         return current

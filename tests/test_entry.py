@@ -69,3 +69,20 @@ def test_title_documents_brute_force(spark):
     assert got.keys() == expected.keys()
     mismatched = [k for k in got if got[k] != expected[k]]
     assert mismatched == []
+
+
+def test_time_zone_independent(spark, duck):
+    """Dates and zone-less timestamps must not move with the session zone."""
+    q, o = E.queries(), E.oracle_sql()
+    names = ["insert_reclaims", "latest_claims_by_time", "clean_claims", "near_expiry_90d",
+             "complete_old_open_claims", "expiry_status"]
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        for name in names:
+            df = q[name](spark, SF_SMALL)
+            res = duck.execute(o[name])
+            o_cols = [d[0] for d in res.description]
+            assert _key(df.columns, df.collect()) == _key(o_cols, res.fetchall()), name
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)

@@ -17,7 +17,7 @@ def _skewed_claims(spark, n=30000):
     return ids.select(
         (F.col("id") + 1).alias("Claim_ID"), food.cast("bigint").alias("Food_ID"), recv.cast("bigint").alias("Receiver_ID"),
         F.when(F.col("id") % 5 == 0, "Completed").otherwise("Pending").alias("Status"),
-        F.lit(dt.datetime(1998, 1, 1)).cast("timestamp_ntz").alias("Timestamp"),
+        F.lit(dt.date(1998, 1, 1)).cast("timestamp_ntz").alias("Timestamp"),
     ).select(*[F.col(f.name).cast(f.dataType) for f in SCHEMAS["claims"].fields])
 
 
