@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.functions.rounding import ratio_half_up
+from larder.functions.rounding import avg_round, percent_round
 from larder.operators.joins import claims_per_listing
 
 
@@ -89,10 +89,10 @@ def volume_by_provider_type(listings: DataFrame, providers: DataFrame, n: int |
 
 
 def avg_quantity_by_provider_type(listings: DataFrame, providers: DataFrame) -> DataFrame:
-    """Provider_Type, ROUND(AVG(Quantity), 2) with exact half-up rounding."""
+    """Provider_Type, ROUND(AVG(Quantity), 2) with exact decimal rounding."""
     per = _with_provider(_listing_totals_per_provider(listings), providers, "Type")
     return per.groupBy(F.col("Type").alias("Provider_Type")).agg(
-        ratio_half_up(F.sum("q_sum"), F.sum("q_cnt")).alias("Avg_Quantity")
+        avg_round(F.sum("q_sum"), F.sum("q_cnt")).alias("Avg_Quantity")
     )
 
 
@@ -172,7 +172,7 @@ def successful_claims_by_provider(claims: DataFrame, listings: DataFrame, provid
 
 def claim_status_share(claims: DataFrame, count_alias: str = "Total_Claims") -> DataFrame:
     """Status, count, percentage of *all* claims (null status included in
-    the denominator), rounded half-up to 2 places.
+    the denominator), rounded as the original DECIMAL arithmetic does.
 
     The total is an uncorrelated scalar subquery: computed once, inlined.
     """
@@ -180,7 +180,7 @@ def claim_status_share(claims: DataFrame, count_alias: str = "Total_Claims") ->
     per = claims.groupBy("Status").agg(F.count(F.lit(1)).alias(count_alias))
     return per.select(
         "Status", count_alias,
-        ratio_half_up(F.col(count_alias) * F.lit(100), total).alias("Percentage"),
+        percent_round(F.col(count_alias), total).alias("Percentage"),
     )
 
 
@@ -205,7 +205,7 @@ def avg_claimed_per_receiver(claims: DataFrame, listings: DataFrame, receivers:
     r = receivers.select(F.col("Receiver_ID").alias("_rid"), F.col("Name").alias("Receiver_Name"))
     out = per_receiver.join(r, per_receiver.Receiver_ID == r._rid, "inner")
     return out.select(
-        "Receiver_ID", "Receiver_Name", ratio_half_up(F.col("s"), F.col("c")).alias("Avg_Quantity_Claimed")
+        "Receiver_ID", "Receiver_Name", avg_round(F.col("s"), F.col("c")).alias("Avg_Quantity_Claimed")
     ).orderBy(F.col("Avg_Quantity_Claimed").desc_nulls_last(), F.col("Receiver_ID").asc()).drop("Receiver_ID")
 
 

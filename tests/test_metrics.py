@@ -89,3 +89,19 @@ def test_available_and_overview(spark):
     assert M.available_quantity(t["food_listings"], dt.date(2000, 1, 1)).collect()[0][0] is None
     o = M.overview_totals(t["providers"], t["receivers"], t["food_listings"]).collect()[0]
     assert tuple(o) == (3, 3, 29)
+
+
+def test_decimal_double_rounding(spark):
+    from pyspark.sql import functions as F
+
+    from larder.functions.rounding import avg_round, percent_round, ratio_half_up
+
+    df = spark.createDataFrame([(22499, 20000, 12344996, 1000000, 1, 3, 0)], "s long, c long, a long, b long, k long, n long, z long")
+    r = df.select(
+        avg_round(F.col("s"), F.col("c")).alias("avg"),  # 1.12495 -> 1.1250 -> 1.13
+        ratio_half_up(F.col("s"), F.col("c")).alias("exact"),  # 1.12495 -> 1.12
+        ratio_half_up(F.col("a"), F.col("b"), 2, 5).alias("pct5"),  # 12.344996 -> 12.34500 -> 12.35
+        percent_round(F.col("k"), F.col("n")).alias("pct"),  # 33.333.. -> 33.33
+        avg_round(F.col("s"), F.col("z")).alias("empty"),
+    ).collect()[0]
+    assert (r.avg, r.exact, r.pct5, r.pct, r.empty) == (1.13, 1.12, 12.35, 33.33, None)
