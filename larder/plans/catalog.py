@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -71,3 +72,32 @@ def dashboard(tables: Tables, as_of: dt.date | None = None, facets: dict | None
         "Facet values": FL.facet_values(t["providers"], t["food_listings"]),
     })
     return out
+
+
+def noop_sink(df: DataFrame, title: str) -> None:
+    df.write.format("noop").mode("overwrite").save()
+
+
+def parquet_sink(root: str) -> Callable[[DataFrame, str], None]:
+    """A sink that writes each panel under ``root/<slug>`` (overwriting)."""
+    import os
+    import re
+
+    def write(df: DataFrame, title: str) -> None:
+        slug = re.sub(r"[^A-Za-z0-9]+", "_", title).strip("_").lower()
+        df.write.mode("overwrite").parquet(os.path.join(root, slug))
+
+    return write
+
+
+def refresh(panels: dict[str, DataFrame], sink: Callable[[DataFrame, str], None] = noop_sink,
+            max_parallel: int = 8) -> None:
+    """Materialise every panel, submitting up to ``max_parallel`` Spark jobs at
+    once from driver threads.  Most panels are small jobs that leave cores
+    idle; running them side by side fills the cluster.  Results go to
+    ``sink`` (e.g. parquet for the UI to read), never through the driver:
+    some panels have one row per provider or receiver.
+    """
+    with ThreadPoolExecutor(max_workers=max_parallel) as pool:
+        for f in [pool.submit(sink, df, title) for title, df in panels.items()]:
+            f.result()
