@@ -66,17 +66,33 @@ def load_tables(spark: SparkSession, frames: dict[str, DataFrame], database: str
 
 def write_version(df: DataFrame, root: str, table: str, version: int) -> str:
     """Write ``df`` as version ``version`` of ``table`` (idempotent overwrite of
-    that version only); returns its path."""
+    that version only), then point ``_latest`` at it; returns its path.
+
+    Data first, pointer second: a failure in between leaves the pointer on the
+    previous complete version, and rerunning the write replaces the partial
+    folder.  (``_``-prefixed paths are ignored by parquet dataset reads.)
+    """
     path = os.path.join(root, table, f"v={version}")
     df.write.mode("overwrite").parquet(path)
+    df.sparkSession.createDataFrame([(int(version),)], "version long").write.mode("overwrite").parquet(
+        os.path.join(root, table, "_latest")
+    )
     return path
 
 
 def latest_version(spark: SparkSession, root: str, table: str) -> int | None:
-    """Highest version number present for ``table`` (None if none yet)."""
-    path = os.path.join(root, table)
+    """Version named by the ``_latest`` pointer (None if nothing written yet).
+
+    Without a pointer (older layouts) the highest ``v=`` folder is used.
+    """
+    try:
+        row = spark.read.parquet(os.path.join(root, table, "_latest")).agg(F.max("version")).first()
+        if row is not None and row[0] is not None:
+            return int(row[0])
+    except Exception:  # noqa: BLE001 - no pointer yet
+        pass
     try:
-        versions = spark.read.parquet(path).select("v").distinct()
+        versions = spark.read.parquet(os.path.join(root, table)).select("v").distinct()
     except Exception:  # noqa: BLE001 - no version written yet
         return None
     row = versions.agg(F.max("v")).first()

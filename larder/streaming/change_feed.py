@@ -8,11 +8,14 @@ next version.
 
 * Source: parquet change files appearing in a directory (any streaming
   source with the same schema works, e.g. a message bus).
-* ``foreachBatch`` runs the batch job on every micro-batch; the version
-  number is the batch id, and writing a version overwrites only that
-  version's folder, so a batch replayed after a failure rewrites the same
-  output (idempotent).  The streaming checkpoint records which files were
-  consumed, so a restarted query continues where it stopped.
+* ``foreachBatch`` runs the batch job on every micro-batch: batch ``b``
+  reads version ``b`` of the tables and writes version ``b + 1``; writing a
+  version overwrites only that version's folder and then moves the
+  ``_latest`` pointer.  A batch replayed after a failure therefore starts
+  from the same input and rewrites the same output (idempotent).  The
+  streaming checkpoint records which files were consumed, so a restarted
+  query continues where it stopped.
+* The initial tables must be written as version 0 (``write_tables``).
 """
 
 from __future__ import annotations
@@ -30,12 +33,11 @@ from larder.session import ensure_checkpoint_dir
 from larder.sources.tables import read_version, write_version
 
 
-def _read_high_water(spark: SparkSession, root: str, name: str) -> DataFrame | None:
-    """The auto-increment high-water mark of the latest version, if any."""
-    path = os.path.join(root, name)
+def _read_high_water(spark: SparkSession, root: str, name: str, version: int) -> DataFrame | None:
+    """The auto-increment high-water mark stored with ``version`` (if any)."""
     try:
-        return spark.read.parquet(path).agg(F.max("hwm").alias("hwm"))
-    except Exception:  # noqa: BLE001 - nothing written yet
+        return spark.read.parquet(os.path.join(root, name, f"v={version}")).select("hwm")
+    except Exception:  # noqa: BLE001 - not written for this version
         return None
 
 
@@ -57,11 +59,14 @@ def make_batch_handler(root: str, table: str, related: tuple[str, ...] = ()):
     hwm_table = f"_high_water_{table}"
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        # Batch b reads version b and writes version b + 1 -- explicit
+        # versions, not "latest", so a batch replayed after a failure starts
+        # from the same input and rewrites the same output.
         spark = batch.sparkSession
         ensure_checkpoint_dir(spark)
         names = (table, *related)
-        current = {name: read_version(spark, root, name) for name in names}
-        previous_hwm = _read_high_water(spark, root, hwm_table)
+        current = {name: read_version(spark, root, name, batch_id) for name in names}
+        previous_hwm = _read_high_water(spark, root, hwm_table, batch_id)
         new = apply_changes(current, table, batch, high_water=previous_hwm)
         # The version folders of this batch are written only after every new
         # frame is fully computed from the previous versions.
