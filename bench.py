@@ -33,6 +33,48 @@ ROOT = os.path.dirname(os.path.abspath(__file__))
 sys.path.insert(0, ROOT)
 
 
+SKEW_QUERIES = ("claims_per_item", "avg_claimed_per_receiver", "claims_by_provider_city",
+                "search_claims_all", "open_claims", "delete_listings_cascade")
+
+
+def skew_check(spark, tables, root, runs, run) -> dict:
+    """The same claim queries with one listing holding a third of all claims.
+
+    Broadcasts are switched off so every join is a shuffle join (the large-
+    data case).  The hot listing is the most claimed one; a third of the
+    claims (chosen by a hash of Claim_ID) are moved onto it, no rows dropped.
+    Reports median seconds per query for the uniform and the skewed table.
+    """
+    from pyspark.sql import functions as F
+
+    from larder.plans import registry
+    from larder.sources.driver import DriverTables
+    from larder.sources.tables import read_version, write_version
+
+    claims = tables.claims
+    hot = claims.where(F.col("Food_ID").isNotNull()).groupBy("Food_ID").count().orderBy(
+        F.col("count").desc(), "Food_ID").limit(1).select("Food_ID").scalar()
+    moved = F.pmod(F.xxhash64("Claim_ID"), F.lit(3)) == 0
+    skewed = claims.withColumn("Food_ID", F.when(moved, hot).otherwise(F.col("Food_ID")))
+    skew_root = os.path.join(root, "skewed")
+    write_version(skewed, skew_root, "claims", 0)
+    skewed_tables = DriverTables(spark, tables.sf_dir).use(
+        dict(tables.as_dict(), claims=read_version(spark, skew_root, "claims", 0)))
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    out = {}
+    try:
+        for name in SKEW_QUERIES:
+            q = registry.REGISTRY[name]
+            uni = statistics.median(run(q.build(tables)) for _ in range(runs))
+            hot_t = statistics.median(run(q.build(skewed_tables)) for _ in range(runs))
+            out[name] = {"uniform": round(uni, 4), "hot_key": round(hot_t, 4)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    return out
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
@@ -84,6 +126,8 @@ def main() -> None:
     for df in cached.values():
         df.unpersist()
 
+    skew = skew_check(spark, tables, root, runs, run)
+
     total = sum(timings[k] for k in registry.REGISTRY)
     timings["dashboard_refresh"] = round(statistics.median(refresh), 4)
     sf = re.search(r"sf([0-9.]+)", sf_dir)
@@ -97,6 +141,7 @@ def main() -> None:
         "runs": runs,
         "load_seconds": round(load_s, 4),
         "dashboard_refresh_seconds": timings["dashboard_refresh"],
+        "skew": skew,
         "n_queries": len(registry.REGISTRY),
         "spark": spark.version,
     }))
