@@ -162,6 +162,9 @@ def listings_with_provider_view(listings: DataFrame, providers: DataFrame) -> Da
 # --- F6-F8, F12: expiry --------------------------------------------------------------
 
 def _date(as_of) -> Column:
+    """``as_of`` as a date column; None means today (the original CURDATE())."""
+    if as_of is None:
+        return F.current_date()
     if isinstance(as_of, Column):
         return as_of
     if isinstance(as_of, str):
