@@ -10,12 +10,12 @@ matches literally, while ``%`` and ``_`` stay wildcards as in plain LIKE.
 
 from __future__ import annotations
 
-import datetime as _dt
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larder.functions.dates import as_of_col as _date
 from larder.operators.joins import claims_with_names, listings_with_provider
 
 
@@ -161,17 +161,6 @@ def listings_with_provider_view(listings: DataFrame, providers: DataFrame) -> Da
 
 # --- F6-F8, F12: expiry --------------------------------------------------------------
 
-def _date(as_of) -> Column:
-    """``as_of`` as a date column; None means today (the original CURDATE())."""
-    if as_of is None:
-        return F.current_date()
-    if isinstance(as_of, Column):
-        return as_of
-    if isinstance(as_of, str):
-        as_of = _dt.date.fromisoformat(as_of)
-    return F.lit(as_of)
-
-
 def near_expiry(listings: DataFrame, as_of, days: int, n: int | None = None,
                 with_id: bool = False) -> DataFrame:
     """listings expiring in [as_of, as_of + days], soonest first."""

@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larder.functions.dates import as_of_col
 from larder.functions.rounding import avg_round, percent_round
 from larder.operators.joins import claims_per_listing
 
@@ -243,9 +244,9 @@ def top_city_by_listings(listings: DataFrame, providers: DataFrame, n: int = 1)
 
 # --- G18, G19, G19b, G20 --------------------------------------------------------------
 
-def available_quantity(listings: DataFrame, as_of) -> DataFrame:
+def available_quantity(listings: DataFrame, as_of=None) -> DataFrame:
     """SUM(Quantity) of listings expiring on or after ``as_of`` (null if none)."""
-    return listings.where(F.col("Expiry_Date") >= F.lit(as_of)).agg(
+    return listings.where(F.col("Expiry_Date") >= as_of_col(as_of)).agg(
         F.sum("Quantity").cast("bigint").alias("Total_Quantity_Available")
     )
 

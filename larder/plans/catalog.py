@@ -37,7 +37,7 @@ REPORT_GROUPS: dict[str, dict[str, Callable[[Tables], DataFrame]]] = {
     "Wastage & Efficiency": {
         "Most Common Donated Food Types": lambda t: M.listings_by_food_type(t["food_listings"]),
         "Most Claimed Meal Types": lambda t: M.claims_by_meal_type(t["claims"], t["food_listings"]),
-        "Food Near Expiry (Wastage Risk)": lambda t, as_of=None: FL.near_expiry(t["food_listings"], as_of or dt.date.today(), 3, with_id=True),
+        "Food Near Expiry (Wastage Risk)": lambda t, as_of=None: FL.near_expiry(t["food_listings"], as_of, 3, with_id=True),
         "Donation vs Claim Comparison": lambda t: M.donated_vs_claimed(t["claims"], t["food_listings"]),
     },
 }
@@ -49,7 +49,6 @@ def persist_tables(tables: Tables, level: StorageLevel = StorageLevel.MEMORY_AND
 
 def dashboard(tables: Tables, as_of: dt.date | None = None, facets: dict | None = None) -> dict[str, DataFrame]:
     """Every panel of one page refresh as a lazy DataFrame."""
-    as_of = as_of or dt.date.today()
     facets = facets or {}
     t = tables
     out: dict[str, DataFrame] = {}
