@@ -39,7 +39,7 @@ def main(argv: list[str] | None = None) -> None:
 
     from larder.session import get_session
 
-    spark = get_session(args.master)
+    spark = get_session(args.master, cluster=args.master is None)
     if args.cmd == "load":
         from larder.plans.etl import load_from_csv
 
