@@ -1,6 +1,7 @@
 """Benchmark: every registered query over the driver tables at one scale.
 
 Environment: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (8),
+BENCH_SHUFFLE_PARTITIONS (default: BENCH_CPUS; AQE coalesces further),
 BENCH_RUNS (3).  Steps:
 
 1. ``load_tables``: build the four donation/claims tables from the driver
@@ -88,7 +89,7 @@ def main() -> None:
     spark = get_session(
         f"local[{cpus}]",
         app_name="larder-bench",
-        shuffle_partitions=2 * cpus,
+        shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", cpus)),
         extra_conf={"spark.driver.memory": "16g"},
     )
     spark.sparkContext.setLogLevel("ERROR")
