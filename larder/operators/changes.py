@@ -178,11 +178,15 @@ def delete_rows(tables: dict[str, DataFrame], table: str, keys: DataFrame) -> di
         if fk.child not in out:
             continue
         child = out[fk.child]
-        if fk.on_delete == "cascade":
+        if fk.on_delete == "cascade" and not children_of(fk.child):
+            # A leaf table: one anti join on the reference does it (rows with
+            # a null reference never match and stay).
+            out[fk.child] = child.join(dead, child[fk.column] == dead["_dead"], "left_anti")
+        elif fk.on_delete == "cascade":
             doomed = child.join(dead, child[fk.column] == dead["_dead"], "left_semi").select(
                 F.col(PRIMARY_KEYS[fk.child]).alias("_k")
             )
-            out.update({k: v for k, v in delete_rows(out, fk.child, doomed).items()})
+            out.update(delete_rows(out, fk.child, doomed))
         else:
             flag = dead.withColumn("_gone", F.lit(True))
             joined = child.join(flag, child[fk.column] == flag["_dead"], "left")
