@@ -52,11 +52,3 @@ def claims_with_names(claims: DataFrame, listings: DataFrame, receivers: DataFra
     out = claims.join(f, claims.Food_ID == f._f_id, how)
     out = out.join(r, out.Receiver_ID == r._r_id, how)
     return out.drop("_f_id", "_r_id")
-
-
-def scalar(df: DataFrame):
-    """An uncorrelated scalar subquery over a one-column, one-row result.
-
-    Spark evaluates it once and inlines the value; no cross join is planned.
-    """
-    return df.scalar()
