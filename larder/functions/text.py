@@ -99,12 +99,13 @@ def strip_title_expr(c: str | Column) -> Column:
     return title_case_expr(strip_ws(c))
 
 
-def _py_strip_title(v):
-    return v.strip().title() if isinstance(v, str) else None
+def _make_strip_title_udf():
+    # Defined inside a function so the UDF is shipped to the Python workers
+    # by value: executors need pandas, not this package on their path.
+    def strip_title_series(s: pd.Series) -> pd.Series:
+        return s.map(lambda v: v.strip().title() if isinstance(v, str) else None)
 
-
-def _strip_title_series(s: pd.Series) -> pd.Series:
-    return s.map(_py_strip_title)
+    return F.pandas_udf(strip_title_series, "string")
 
 
 _UDFS: dict[str, object] = {}
@@ -113,7 +114,7 @@ _UDFS: dict[str, object] = {}
 def _strip_title_batch(col: Column) -> Column:
     # Built on first use: defining a pandas UDF needs an active session.
     if "strip_title" not in _UDFS:
-        _UDFS["strip_title"] = F.pandas_udf(_strip_title_series, "string")
+        _UDFS["strip_title"] = _make_strip_title_udf()
     return _UDFS["strip_title"](col)
 
 
