@@ -12,8 +12,11 @@ alone"), and the new column values.
 Scale notes: updates are folded per key with ``max(struct(seq, value))``
 (combined map-side, so a key updated a million times is one row per map task
 before the shuffle); deletes and re-keys are anti / outer joins against the
-distinct key list; new IDs are dense and are assigned from per-partition
-counts, never through a single-partition window.
+distinct key list.  Key lists and folded changes are counted and broadcast
+when small (``bounded_broadcast``), so the large table is not shuffled for a
+small batch; a large batch falls back to a shuffle join.  New IDs are dense
+and are assigned from per-partition counts, never through a single-partition
+window.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from larder.operators.joins import bounded_broadcast
 from larder.schemas import PRIMARY_KEYS, SCHEMAS, children_of
 from larder.session import ensure_checkpoint_dir
 
@@ -138,7 +142,7 @@ def update_rows(base: DataFrame, changes: DataFrame, table: str, columns: list[s
     key = PRIMARY_KEYS[table]
     all_cols = [f.name for f in SCHEMAS[table].fields]
     columns = columns or [c for c in all_cols if c != key and c in changes.columns]
-    folded = fold_updates(changes, key, columns).withColumnRenamed(key, "_ukey")
+    folded = bounded_broadcast(fold_updates(changes, key, columns).withColumnRenamed(key, "_ukey"))
     joined = base.join(folded, base[key] == folded["_ukey"], "left")
     out = []
     for c in base.columns:
@@ -152,7 +156,8 @@ def update_rows(base: DataFrame, changes: DataFrame, table: str, columns: list[s
 
 def complete_claims(claims: DataFrame, claim_ids: DataFrame, status: str = "Completed") -> DataFrame:
     """M4: set Status to ``status`` for the listed Claim_IDs."""
-    ids = claim_ids.select(F.col("Claim_ID").alias("_cid")).distinct().withColumn("_hit", F.lit(True))
+    ids = bounded_broadcast(
+        claim_ids.select(F.col("Claim_ID").alias("_cid")).distinct().withColumn("_hit", F.lit(True)))
     joined = claims.join(ids, claims.Claim_ID == ids._cid, "left")
     return joined.select(
         *[F.when(F.col("_hit"), F.lit(status)).otherwise(F.col("Status")).alias("Status") if c == "Status" else F.col(c)
@@ -170,7 +175,8 @@ def delete_rows(tables: dict[str, DataFrame], table: str, keys: DataFrame) -> di
     Returns the new versions of every table that changed.
     """
     key = PRIMARY_KEYS[table]
-    dead = keys.select(F.col(keys.columns[0]).cast("bigint").alias("_dead")).where(F.col("_dead").isNotNull()).distinct()
+    dead = bounded_broadcast(
+        keys.select(F.col(keys.columns[0]).cast("bigint").alias("_dead")).where(F.col("_dead").isNotNull()).distinct())
     out = dict(tables)
     base = tables[table]
     out[table] = base.join(dead, base[key] == dead["_dead"], "left_anti")
@@ -203,7 +209,8 @@ def rekey_rows(tables: dict[str, DataFrame], table: str, mapping: DataFrame) ->
     """M6: change primary keys (``mapping``: old_id, new_id); references in
     child tables follow (ON UPDATE CASCADE)."""
     key = PRIMARY_KEYS[table]
-    m = mapping.select(F.col("old_id").cast("bigint").alias("_old"), F.col("new_id").cast("bigint").alias("_new")).distinct()
+    m = bounded_broadcast(
+        mapping.select(F.col("old_id").cast("bigint").alias("_old"), F.col("new_id").cast("bigint").alias("_new")).distinct())
     out = dict(tables)
 
     def remap(df: DataFrame, column: str) -> DataFrame:

@@ -92,3 +92,27 @@ def test_apply_changes_batch(spark):
     rec = {r.Receiver_ID: r for r in out["receivers"].collect()}
     assert rec[10].City == "Moved" and 12 not in rec and rec[13].Name == "New"
     assert out["claims"].where("Receiver_ID IS NULL").count() == 2  # 1003, 1004 lost their receiver
+
+
+def test_bounded_broadcast_checks_size(spark):
+    import contextlib
+    import io
+
+    from larder.operators.joins import bounded_broadcast
+
+    big = spark.range(0, 10000).withColumnRenamed("id", "k")
+    keys = spark.range(0, 10).withColumnRenamed("id", "k")
+
+    def plan(df):
+        buf = io.StringIO()
+        with contextlib.redirect_stdout(buf):
+            df.explain()
+        return buf.getvalue()
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "BroadcastExchange" in plan(big.join(bounded_broadcast(keys), "k", "left_anti"))
+        assert "BroadcastExchange" not in plan(big.join(bounded_broadcast(keys, max_rows=5), "k", "left_anti"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
