@@ -90,8 +90,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint directory, setting one only if unset.
 
     The cluster names a shared folder in ``spark.checkpoint.dir``; that value
-    always wins.  Only when nothing is configured (a local test session) is a
-    private temporary folder created.
+    always wins.  Only when nothing is configured and the master is local (a
+    test session) is a private temporary folder created; on a cluster a
+    missing setting is an error.
     """
     try:
         sc = spark.sparkContext
@@ -102,6 +103,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            # A folder on the driver's disk is invisible to the executors.
+            raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
         configured = tempfile.mkdtemp(prefix="larder-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
