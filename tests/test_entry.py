@@ -34,8 +34,7 @@ def test_entry_runs(spark):
 
 def test_registry_shape():
     q, o = E.queries(), E.oracle_sql()
-    assert set(o) <= set(q)
-    assert set(q) - set(o) == {"title_documents"}
+    assert set(o) == set(q)
 
 
 @pytest.fixture(scope="module")
