@@ -62,13 +62,18 @@ def cast_key(c: str | Column) -> Column:
 
 
 def try_key(c: str | Column) -> Column:
-    """Lenient key cast: non-numeric -> null, ``'3.0'`` -> 3."""
-    col = _col(c).cast("string")
+    """Lenient key cast: non-numeric -> null, ``'3.0'`` -> 3.
+
+    Integer text is cast exactly (no detour through double, which would lose
+    precision above 2^53); only text like ``'3.0'`` takes the numeric route.
+    """
+    col = F.trim(_col(c).cast("string"))
     as_double = col.try_cast("double")
-    return F.when(
+    from_double = F.when(
         as_double.isNotNull() & ~F.isnan(as_double) & (as_double == F.floor(as_double)),
         as_double.try_cast("bigint"),
     )
+    return F.coalesce(col.try_cast("bigint"), from_double)
 
 
 def coerce_timestamp(c: str | Column, source_type: T.DataType | None = None) -> Column:

@@ -78,3 +78,12 @@ def test_profiles(spark):
     assert prof["Address"] == (0, "string")
     nan_df = spark.createDataFrame([(float("nan"),), (None,), (1.0,)], "x double")
     assert PR.null_profile(nan_df).collect()[0].null_count == 2
+
+
+def test_lenient_keys(spark):
+    from larder.functions.coerce import try_key
+
+    vals = ["9007199254740993", "3.0", " 7 ", "x", "nan", "2.5", None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i int, v string")
+    got = [r.k for r in df.select("i", try_key("v").alias("k")).orderBy("i").collect()]
+    assert got == [9007199254740993, 3, 7, None, None, None, None]
