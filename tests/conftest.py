@@ -13,7 +13,11 @@ SF_SMALL = "/root/testdata/sf0.001"
 def spark():
     from larder.session import get_session
 
-    s = get_session("local[4]", app_name="larder-tests", shuffle_partitions=4)
+    import tempfile
+
+    warehouse = tempfile.mkdtemp(prefix="larder-warehouse-")
+    s = get_session("local[4]", app_name="larder-tests", shuffle_partitions=4,
+                    extra_conf={"spark.sql.warehouse.dir": warehouse})
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
