@@ -90,6 +90,20 @@ def parquet_sink(root: str) -> Callable[[DataFrame, str], None]:
     return write
 
 
+def csv_sink(root: str) -> Callable[[DataFrame, str], None]:
+    """Each panel exported as CSV with a header under ``root/<slug>``."""
+    import os
+    import re
+
+    from larder.sources.csv import write_csv
+
+    def write(df: DataFrame, title: str) -> None:
+        slug = re.sub(r"[^A-Za-z0-9]+", "_", title).strip("_").lower()
+        write_csv(df, os.path.join(root, slug), mode="overwrite")
+
+    return write
+
+
 def refresh(panels: dict[str, DataFrame], sink: Callable[[DataFrame, str], None] = noop_sink,
             max_parallel: int = 8) -> None:
     """Materialise every panel, submitting up to ``max_parallel`` Spark jobs at

@@ -20,6 +20,11 @@ def test_dashboard_panels_all_run(spark):
     root = tempfile.mkdtemp(prefix="larder-panels-")
     catalog.refresh(panels, catalog.parquet_sink(root), max_parallel=4)
     assert spark.read.parquet(f"{root}/overview").count() == 1
+    from larder.sources.csv import read_table_csv
+
+    out = tempfile.mkdtemp(prefix="larder-csv-panels-")
+    catalog.refresh({"Filtered Food Listings": panels["Filtered Food Listings"]}, catalog.csv_sink(out))
+    assert read_table_csv(spark, f"{out}/filtered_food_listings").count() == counts["Filtered Food Listings"]
     for df in tables.values():
         df.unpersist()
 
