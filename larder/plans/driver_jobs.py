@@ -152,6 +152,16 @@ def _b3(t):
     return PR.column_profile(t.food_listings)
 
 
+# The original profiles all four tables; the remaining combinations.
+for _t in ("providers", "receivers", "food_listings"):
+    register(f"table_shape_{_t}", f"SELECT COUNT(*) AS n_rows, {len(SCHEMAS[_t].fields)} AS n_cols FROM {_t}")(
+        lambda t, _t=_t: PR.table_shape(getattr(t, _t)))
+for _t in ("providers", "receivers"):
+    register(f"null_profile_{_t}", _null_sql(_t))(lambda t, _t=_t: PR.null_profile(getattr(t, _t)))
+for _t in ("providers", "receivers", "claims"):
+    register(f"column_profile_{_t}", _profile_sql(_t))(lambda t, _t=_t: PR.column_profile(getattr(t, _t)))
+
+
 @register("preview_receivers", "SELECT * FROM receivers ORDER BY Receiver_ID LIMIT 5")
 def _b4(t):
     return PR.preview(t.receivers, "Receiver_ID", 5)
