@@ -162,6 +162,11 @@ for _t in ("providers", "receivers", "claims"):
     register(f"column_profile_{_t}", _profile_sql(_t))(lambda t, _t=_t: PR.column_profile(getattr(t, _t)))
 
 
+for _t in ("providers", "food_listings", "claims"):
+    register(f"preview_{_t}", f"SELECT * FROM {_t} ORDER BY {PRIMARY_KEYS[_t]} LIMIT 5")(
+        lambda t, _t=_t: PR.preview(getattr(t, _t), PRIMARY_KEYS[_t], 5))
+
+
 @register("preview_receivers", "SELECT * FROM receivers ORDER BY Receiver_ID LIMIT 5")
 def _b4(t):
     return PR.preview(t.receivers, "Receiver_ID", 5)
