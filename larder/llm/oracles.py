@@ -41,7 +41,44 @@ FROM (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_byte
       FROM pages)
 """
 
+# All pairs of a query and a row, on lists of bits.
+OP7 = """
+WITH codes AS (
+  SELECT DISTINCT vec_id AS id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS bits
+  FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+pairs AS (
+  SELECT q.id AS query_id, r.id AS neighbor_id,
+         CAST(list_sum(list_transform(list_zip(q.bits, r.bits), lambda x: abs(x[1] - x[2]))) AS BIGINT) AS distance
+  FROM codes q, codes r WHERE q.id % 20 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank FROM pairs)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, neighbor_id, distance FROM ranked WHERE rank <= 10
+"""
+
+# Whole conversations as lists; a prefix is a list that starts a longer one.
+OP9 = """
+WITH turns AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+convs AS (
+  SELECT conv_id, count(*) AS n,
+         list({'role': role, 'text': text} ORDER BY turn NULLS LAST, role NULLS FIRST, text NULLS FIRST) AS said,
+         string_agg('<|im_start|>' || coalesce(role, 'unknown') || chr(10)
+                    || replace(replace(coalesce(text, ''), '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>')
+                    || '<|im_end|>' || chr(10), ''
+                    ORDER BY turn NULLS LAST, role NULLS FIRST, text NULLS FIRST) AS chat
+  FROM turns GROUP BY conv_id),
+prefixes AS (SELECT conv_id, unnest(range(1, n)) AS i, said FROM convs WHERE n > 1),
+longer AS (SELECT list_slice(said, 1, i) AS said, min(conv_id) AS by FROM prefixes GROUP BY 1),
+firsts AS (SELECT said, min(conv_id) AS first_id FROM convs GROUP BY said)
+SELECT c.conv_id, CAST(c.n AS BIGINT) AS n_turns,
+       CASE WHEN l.by IS NOT NULL THEN 'prefix' WHEN c.conv_id = f.first_id THEN 'kept' ELSE 'copy' END AS status,
+       CASE WHEN l.by IS NOT NULL THEN l.by WHEN c.conv_id <> f.first_id THEN f.first_id END AS kept_in,
+       CASE WHEN l.by IS NULL AND c.conv_id = f.first_id THEN CAST(0 AS BIGINT) END AS part,
+       CASE WHEN l.by IS NULL AND c.conv_id = f.first_id THEN c.chat END AS text
+FROM convs c JOIN firsts f ON c.said = f.said LEFT JOIN longer l ON c.said = l.said
+"""
+
 ORACLES: dict[str, str] = {
     "op2_benchmark_decontamination": OP2,
     "op5_warc_archives": OP5,
+    "op7_hamming_top_k": OP7,
+    "op9_chat_formatting": OP9,
 }

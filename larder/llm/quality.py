@@ -37,7 +37,9 @@ from larder.llm.common import (
 
 BUCKETS = 1 << 16
 DIM = 12
+#: Training steps (documents shown): every sampled row at least this often.
 EPOCHS = 5
+STEPS = 12_000
 RATE = 0.5
 PER_CLASS = 2000
 THRESHOLD = 0.3
@@ -181,6 +183,7 @@ def fit(
     if len(set(y.tolist())) < 2:
         share = np.clip(y.mean() if len(y) else 0.5, 1e-6, 1 - 1e-6)
         return Model(np.zeros((buckets, 2), np.float32), np.log(np.array([1 - share, share])))
+    epochs = max(epochs, -(-STEPS // len(bags)))  # small samples are shown more often
     return train(bags, y, buckets=buckets, dim=dim, epochs=epochs, rate=rate)
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.llm import decontamination, language, minhash, quality, sentencepiece_codec, warc
+from larder.llm import chat, decontamination, hamming, language, minhash, quality, sentencepiece_codec, warc
 from larder.llm.common import table
 from larder.llm.oracles import ORACLES
 
@@ -37,6 +37,14 @@ def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_predictions(spark, table(spark, sf_dir, "documents"))
 
 
+def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming.top_k(spark, table(spark, sf_dir, "embeddings"))
+
+
+def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(spark, table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_classifier": _op1,
     "op2_benchmark_decontamination": _op2,
@@ -44,6 +52,8 @@ QUERIES: dict[str, Query] = {
     "op4_minhash_near_duplicates": _op4,
     "op5_warc_archives": _op5,
     "op6_language_id": _op6,
+    "op7_hamming_top_k": _op7,
+    "op9_chat_formatting": _op9,
 }
 
 
