@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.llm import chat, decontamination, hamming, language, minhash, quality, sentencepiece_codec, warc
+from larder.llm import chat, decontamination, hamming, language, licenses, minhash, quality, sentencepiece_codec, warc
 from larder.llm.common import table
 from larder.llm.oracles import ORACLES
 
@@ -45,6 +45,10 @@ def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(spark, table(spark, sf_dir, "conversations"))
 
 
+def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licence_scan(spark, table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_classifier": _op1,
     "op2_benchmark_decontamination": _op2,
@@ -54,6 +58,7 @@ QUERIES: dict[str, Query] = {
     "op6_language_id": _op6,
     "op7_hamming_top_k": _op7,
     "op9_chat_formatting": _op9,
+    "op10_licence_scan": _op10,
 }
 
 
