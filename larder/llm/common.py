@@ -71,9 +71,9 @@ def extended(batch: pa.RecordBatch, names: list[str], arrays: list[pa.Array]) ->
     return pa.RecordBatch.from_arrays(list(batch.columns) + arrays, names=list(batch.schema.names) + names)
 
 
-def bucket_of_id(col: str, modulus: int):
-    """crc32 of the id written as text, modulo ``modulus``; null ids give null."""
-    return F.crc32(F.col(col).cast("string")) % modulus
+def held_out(col: str, modulus: int, remainder: int = 0):
+    """Whether crc32 of the id, written as text, leaves ``remainder``; null ids are never held out."""
+    return F.coalesce(F.crc32(F.col(col).cast("string")) % modulus == remainder, F.lit(False))
 
 
 @dataclass
@@ -151,6 +151,8 @@ class Words:
     end: np.ndarray
     row: np.ndarray
     hash: np.ndarray
+    #: Subword ids of each word, where a caller has counted them.
+    tokens: np.ndarray | None = None
 
 
 def words_of(chunk: Chunk, inside: np.ndarray) -> Words:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.llm.common import bucket_of_id, extended, free_names, text_chunks, with_fields
+from larder.llm.common import held_out, extended, free_names, text_chunks, with_fields
 
 ORDER = 3
 PER_LANGUAGE = 600
@@ -161,7 +161,7 @@ def fit(
 ) -> Trees:
     """Trees from rows with a language that are not held out (crc32 of the id mod 5 is not 0)."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (bucket_of_id("id", 5) != 0))
+    rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("id", 5))
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
@@ -211,4 +211,4 @@ def identify(
 def language_predictions(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The contract's columns for every document."""
     told, pred, score = identify(spark, docs.select("doc_id", "text"), fit(docs))
-    return told.select("doc_id", (bucket_of_id("doc_id", 5) == 0).alias("held_out"), F.col(pred), F.col(score))
+    return told.select("doc_id", held_out("doc_id", 5).alias("held_out"), F.col(pred), F.col(score))

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larder.llm.common import (
-    NOT_SPACE, Chunk, bucket_of_id, extended, free_names, text_chunks, with_fields, words_of,
+    NOT_SPACE, Chunk, held_out, extended, free_names, text_chunks, with_fields, words_of,
 )
 
 BUCKETS = 1 << 16
@@ -177,7 +177,7 @@ def fit(
 ) -> Model:
     """Model from the labelled rows that are not held out (crc32 of the id mod 5 is not 0)."""
     marks = labels.select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("label"))
-    marks = marks.where(F.col("label").isin(0, 1) & (bucket_of_id("k", 5) != 0)).dropDuplicates()
+    marks = marks.where(F.col("label").isin(0, 1) & ~held_out("k", 5)).dropDuplicates()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
     bags, y = sample_bags(texts.join(marks, F.col("id") == F.col("k")).select("id", "text", "label"), per_class=per_class, buckets=buckets)
     if len(set(y.tolist())) < 2:
@@ -208,4 +208,4 @@ def score(
 def quality_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The contract's columns for every document."""
     scored, s, p = score(spark, docs.select("doc_id", "text"), fit(docs, labels))
-    return scored.select("doc_id", (bucket_of_id("doc_id", 5) == 0).alias("held_out"), F.col(s), F.col(p))
+    return scored.select("doc_id", held_out("doc_id", 5).alias("held_out"), F.col(s), F.col(p))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.llm import chat, decontamination, hamming, language, licenses, minhash, quality, sentencepiece_codec, warc
+from larder.llm import chat, decontamination, hamming, language, licenses, lm, minhash, quality, sentencepiece_codec, warc
 from larder.llm.common import table
 from larder.llm.oracles import ORACLES
 
@@ -41,6 +41,10 @@ def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming.top_k(spark, table(spark, sf_dir, "embeddings"))
 
 
+def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(spark, table(spark, sf_dir, "documents"))
+
+
 def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(spark, table(spark, sf_dir, "conversations"))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Query] = {
     "op5_warc_archives": _op5,
     "op6_language_id": _op6,
     "op7_hamming_top_k": _op7,
+    "op8_lm_scoring": _op8,
     "op9_chat_formatting": _op9,
     "op10_licence_scan": _op10,
 }
