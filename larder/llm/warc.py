@@ -131,21 +131,26 @@ def parse_record(data: bytes) -> dict:
     }
 
 
-def train_dictionary(records: DataFrame, size: int, n_records: int, n_bytes: int) -> bytes:
-    """Dictionary from ``n_records`` response records (first ``n_bytes`` each).
+def train_dictionary(pages: DataFrame, id_col: str, url_col: str, html_col: str, size: int, n_records: int, n_bytes: int) -> bytes:
+    """Dictionary from about ``n_records`` response records (first ``n_bytes`` each).
 
-    Records are picked by the smallest hash of their digest, so the choice
+    Pages are drawn by a hash of id and url, before any shuffle, so the choice
     does not depend on partitioning.  Too little material gives an empty
     dictionary, which stands for plain compression.
     """
+    payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
+    n = pages.count()
+    draw = F.pmod(F.xxhash64(id_col, url_col), F.lit(1 << 30)) / float(1 << 30)
     picked = (
-        records.where("record_type = 'response'")
-        .select("page_id", "url", F.substring("payload", 1, n_bytes).alias("payload"), "payload_bytes", "payload_digest", F.xxhash64("payload_digest", "page_id").alias("h"))
-        .orderBy("h", "page_id")
-        .limit(n_records)
+        pages.where(draw < min(1.0, n_records / max(1, n)))
+        .select(
+            F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.substring(payload, 1, n_bytes).alias("payload"),
+            F.octet_length(payload).alias("payload_bytes"), F.sha2(payload, 256).alias("payload_digest"),
+        )
+        .limit(2 * n_records)  # a guard: twice the expected number
         .collect()
     )
-    samples = [record_bytes(r.page_id, r.url, bytes(r.payload), r.payload_bytes, r.payload_digest, "response", None)[:n_bytes] for r in picked]
+    samples = sorted(record_bytes(r.page_id, r.url, bytes(r.payload), r.payload_bytes, r.payload_digest, "response", None)[:n_bytes] for r in picked)
     total = sum(map(len, samples))
     if len(samples) < 16 or total < 8 * 1024:
         return b""
@@ -169,16 +174,21 @@ def _compressed(data: bytes, packers) -> bytes:
 
 def write_archives(
     spark: SparkSession,
-    records: DataFrame,
+    pages: DataFrame,
     path: str,
     *,
+    id_col: str = "page_id",
+    url_col: str = "url",
+    html_col: str = "html",
+    min_payload: int = MIN_PAYLOAD,
     files: int | None = None,
     level: int = 3,
     dict_bytes: int = DICT_BYTES,
     dict_records: int = DICT_RECORDS,
 ) -> None:
-    """Write the records of ``with_record_types`` as archives below ``path``."""
-    dictionary = train_dictionary(records, dict_bytes, dict_records, DICT_RECORD_BYTES)
+    """Write a record per page as archives below ``path``."""
+    records = with_record_types(pages, id_col, url_col, html_col, min_payload)
+    dictionary = train_dictionary(pages, id_col, url_col, html_col, dict_bytes, dict_records, DICT_RECORD_BYTES)
     lead = dictionary_frame(dictionary)
     while SEPARATOR.encode() in lead:  # keep the dictionary frame one row
         dictionary = dictionary[:-64]
@@ -228,20 +238,10 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return frames.where(~leads).mapInArrow(unpack, READ_SCHEMA)
 
 
-def archive_pages(
-    spark: SparkSession,
-    pages: DataFrame,
-    path: str | None = None,
-    *,
-    id_col: str = "page_id",
-    url_col: str = "url",
-    html_col: str = "html",
-    min_payload: int = MIN_PAYLOAD,
-    files: int | None = None,
-) -> DataFrame:
+def archive_pages(spark: SparkSession, pages: DataFrame, path: str | None = None, **options) -> DataFrame:
     """Archive ``pages`` below ``path`` and return what the archives hold."""
     path = path or scratch_path(spark, "warc")
-    write_archives(spark, with_record_types(pages, id_col, url_col, html_col, min_payload), path, files=files)
+    write_archives(spark, pages, path, **options)
     return read_archives(spark, path)
 
 
