@@ -8,9 +8,8 @@ document are averaged, a softmax layer turns the mean into class
 probabilities.  Vectors and layer are trained by numpy stochastic gradient
 descent with a linearly falling rate.
 
-Training is fitted to a bounded sample: at most ``per_class`` labelled rows of
-each class on average (rows are taken by a hash of id and text, repeated rows
-once); features of a sampled text are counted over the whole text on the
+Training is fitted to a bounded sample: about ``per_class`` labelled rows of
+each class (ids are drawn by a hash, repeated texts count once); features of a sampled text are counted over the whole text on the
 executors.  Scoring reads every whole text.  Because the mean is linear, the
 scoring tasks hold the product of vectors and layer (``buckets`` x classes).
 
@@ -125,15 +124,21 @@ def train(bags, labels: np.ndarray, *, buckets: int, dim: int, epochs: int, rate
     return Model((vectors @ layer).astype(np.float32), bias)
 
 
-def sample_bags(labelled: DataFrame, *, per_class: int, buckets: int):
-    """(bags, labels) of the bounded sample; ``labelled`` has (id, text, label 0/1)."""
-    counts = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
-    draw = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) / float(1 << 30)
+def sample_bags(texts: DataFrame, marks: DataFrame, *, per_class: int, buckets: int):
+    """(bags, labels) of the bounded sample.
+
+    ``marks`` (k, label 0/1) is thinned to about ``per_class`` ids of each
+    label; these few ids, at most twice as many as asked for, go to the texts
+    (id, text), so that no text is shuffled but the sampled ones.
+    """
+    counts = {r["label"]: r["count"] for r in marks.groupBy("label").count().collect()}
+    draw = F.pmod(F.xxhash64("k"), F.lit(1 << 30)) / float(1 << 30)
     rate = F.lit(1.0)
     for label, n in counts.items():
         rate = F.when(F.col("label") == label, F.lit(min(1.0, per_class / n))).otherwise(rate)
-    # The limit is twice the expected size: a guard, not a choice of rows.
-    picked = labelled.where(draw < rate).dropDuplicates(["text", "label"]).limit(2 * per_class * max(1, len(counts)))
+    most = 2 * per_class * max(1, len(counts))
+    drawn = marks.where(draw < rate).limit(most)
+    picked = texts.join(F.broadcast(drawn), F.col("id") == F.col("k")).dropDuplicates(["text", "label"]).limit(most)
 
     def count(batches):
         for batch in batches:
@@ -179,7 +184,7 @@ def fit(
     marks = labels.select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("label"))
     marks = marks.where(F.col("label").isin(0, 1) & ~held_out("k", 5)).dropDuplicates()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    bags, y = sample_bags(texts.join(marks, F.col("id") == F.col("k")).select("id", "text", "label"), per_class=per_class, buckets=buckets)
+    bags, y = sample_bags(texts, marks, per_class=per_class, buckets=buckets)
     if len(set(y.tolist())) < 2:
         share = np.clip(y.mean() if len(y) else 0.5, 1e-6, 1 - 1e-6)
         return Model(np.zeros((buckets, 2), np.float32), np.log(np.array([1 - share, share])))
