@@ -20,10 +20,11 @@ nodes are kept; the centre of a bucket is its member of greatest popularity
 (sum of the sizes of its buckets: the text that the others were copied from
 keeps the commonest keys).  Members are compared with their centre only, by
 the exact similarity of their runs; accepted links are contracted to
-components.  Buckets whose members then still lie in different components
-have these members compared across components too.  So no pair inside one
-component is ever listed, and no candidate pair of different components goes
-untested.
+components.  In buckets whose members then still lie in different components,
+some rounds compare the members outside the largest component with one of its
+members each; what is apart after that is compared in full across components.
+So the pairs inside a component are not listed, and no candidate pair of
+different components goes untested.
 
 Results: one row per input row with ``class_id``, the smallest doc_id of its
 class, and ``n_links``, the number of accepted comparisons of its text.
@@ -50,6 +51,8 @@ SIMILARITY = 0.8
 #: probability 1 - (1 - 0.8**5)**25 > 0.9999.
 BANDS = 25
 ROWS = 5
+#: Rounds of comparison with members of a bucket's largest component.
+ROUNDS = 4
 
 # P(Poisson(1) <= n) as thresholds of a uniform 64-bit hash.
 _POISSON = np.array(
@@ -240,6 +243,7 @@ def near_duplicates(
     bands: int = BANDS,
     rows: int = ROWS,
     weights: str = "presence",
+    rounds: int = ROUNDS,
 ) -> tuple[DataFrame, DataFrame]:
     """((doc_id, node, root, class_id, n_links) per row, links (a, b) between nodes).
 
@@ -281,20 +285,38 @@ def near_duplicates(
     links = stored(spark, accepted(star, sets, threshold, weights), "links")
     labels = components(spark, links)
 
-    # Buckets whose members are still apart: compare across the components.
-    label = F.coalesce("label", "node")
-    marked = members.join(labels, "node", "left").select("key", "node", label.alias("label"))
-    apart = marked.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    mixed = stored(spark, marked.join(apart, "key"), "mixed")
-    other = mixed.withColumnsRenamed({"node": "node2", "label": "label2"})
-    rest = (
-        mixed.join(other, "key")
-        .where("label < label2")
-        .select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
-        .distinct()
-        .join(star, ["a", "b"], "left_anti")
-    )
-    more = stored(spark, accepted(stored(spark, rest, "pairs"), sets, threshold, weights), "links")
+    def apart(labels: DataFrame) -> DataFrame:
+        """(key, node, label) of the buckets with members in different components."""
+        marked = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+        mixed = marked.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+        return stored(spark, marked.join(mixed, "key"), "mixed")
+
+    def tested(pairs: DataFrame) -> DataFrame:
+        """Untested pairs (a, b), judged; the pairs become known."""
+        nonlocal known
+        fresh = stored(spark, pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(known, ["a", "b"], "left_anti"), "pairs")
+        known = known.union(fresh)
+        return stored(spark, accepted(fresh, sets, threshold, weights), "links")
+
+    # Members outside the largest component of their bucket meet one member of
+    # it, another one each round: a linear number of pairs.
+    known, mixed = star, apart(labels)
+    for turn in range(rounds):
+        groups = mixed.groupBy("key", "label").agg(
+            F.count(F.lit(1)).alias("n"), F.max_by("node", F.xxhash64("node", "key", F.lit(turn))).alias("c")
+        )
+        largest = groups.groupBy("key").agg(F.max(F.struct("n", "label", "c")).alias("g")).select("key", "g.label", "g.c")
+        largest = largest.withColumnRenamed("label", "other")
+        more = tested(mixed.join(largest, "key").where("label <> other").select(F.col("node").alias("a"), F.col("c").alias("b")))
+        if not more.limit(1).count():
+            break
+        links = links.union(more)
+        labels = components(spark, links)
+        mixed = apart(labels)
+
+    # What is still apart is compared in full across the components.
+    other = mixed.withColumnsRenamed({"node": "b", "label": "label2"})
+    more = tested(mixed.withColumnRenamed("node", "a").join(other, "key").where("label < label2").select("a", "b"))
     if more.limit(1).count():
         links = links.union(more)
         labels = components(spark, links)
