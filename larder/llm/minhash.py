@@ -22,9 +22,9 @@ keeps the commonest keys).  Members are compared with their centre only, by
 the exact similarity of their runs; accepted links are contracted to
 components.  In buckets whose members then still lie in different components,
 some rounds compare the members outside the largest component with one of its
-members each; what is apart after that is compared in full across components.
-So the pairs inside a component are not listed, and no candidate pair of
-different components goes untested.
+members each; what is apart after that is compared across components, screened
+inside the join by the agreement of longer signatures, so that a large group
+of merely related texts yields few pairs.
 
 Results: one row per input row with ``class_id``, the smallest doc_id of its
 class, and ``n_links``, the number of accepted comparisons of its text.
@@ -52,7 +52,9 @@ SIMILARITY = 0.8
 BANDS = 25
 ROWS = 5
 #: Rounds of comparison with members of a bucket's largest component.
-ROUNDS = 4
+ROUNDS = 2
+#: Coordinates of the signature that screens pairs across components.
+SKETCH = 256
 
 # P(Poisson(1) <= n) as thresholds of a uniform 64-bit hash.
 _POISSON = np.array(
@@ -182,25 +184,31 @@ def signatures(docs: DataFrame, *, bands: int, rows: int, size: int, weights: st
     return docs.select("node", "text").mapInArrow(sign, "node long, bands array<long>")
 
 
-def run_sets(docs: DataFrame, *, size: int) -> DataFrame:
-    """(node, runs binary): the sorted distinct runs, their hashes cut to 32 bits, with occurrences."""
+def run_sets(docs: DataFrame, *, size: int, weights: str) -> DataFrame:
+    """(node, runs, times, sketch): the sorted distinct runs, their hashes cut to
+    32 bits, with occurrences; a signature of ``SKETCH`` coordinates, 8 bits each."""
 
     def sets(batches):
         for batch in batches:
             node = batch.column(0)
             for chunk in text_chunks(batch.column(1)):
                 row, run = runs_of(words_of(chunk, ALNUM), chunk.rows, size)
-                row, run, w = weighted(row, run >> np.uint64(32))
+                row, run_full, w = weighted(row, run)
+                run = run_full >> np.uint64(32)
                 cuts = np.searchsorted(row, np.arange(chunk.rows + 1))
                 runs, counts = run.astype("<u4"), w.astype("<u4")
+                marks = dart_signatures(row, run_full, w if weights == "count" else None, chunk.rows, SKETCH)
+                sketch = pa.ListArray.from_arrays(
+                    pa.array(np.arange(chunk.rows + 1, dtype=np.int32) * SKETCH), pa.array((marks & np.uint64(255)).astype(np.uint8).view(np.int8).ravel())
+                )
                 values = [runs[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
                 times = [counts[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [node.slice(chunk.first, chunk.rows), pa.array(values, pa.binary()), pa.array(times, pa.binary())],
-                    names=["node", "runs", "times"],
+                    [node.slice(chunk.first, chunk.rows), pa.array(values, pa.binary()), pa.array(times, pa.binary()), sketch],
+                    names=["node", "runs", "times", "sketch"],
                 )
 
-    return docs.select("node", "text").mapInArrow(sets, "node long, runs binary, times binary")
+    return docs.select("node", "text").mapInArrow(sets, "node long, runs binary, times binary, sketch array<tinyint>")
 
 
 def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray, weights: str) -> float:
@@ -281,15 +289,15 @@ def near_duplicates(
         .join(wanted, "node", "left_semi")
     )
     picked = keyed.join(chosen.withColumnsRenamed({"node": "n", "doc_id": "d"}), (F.col("node") == F.col("n")) & F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
-    sets = stored(spark, run_sets(picked, size=size), "runs").dropDuplicates(["node"])
+    sets = stored(spark, run_sets(picked, size=size, weights=weights), "runs").dropDuplicates(["node"])
     links = stored(spark, accepted(star, sets, threshold, weights), "links")
     labels = components(spark, links)
 
-    def apart(labels: DataFrame) -> DataFrame:
-        """(key, node, label) of the buckets with members in different components."""
-        marked = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-        mixed = marked.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-        return stored(spark, marked.join(mixed, "key"), "mixed")
+    def apart(rows: DataFrame, labels: DataFrame) -> DataFrame:
+        """(key, node, label) of the buckets of ``rows`` with members in different components."""
+        marked = rows.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+        split = marked.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+        return stored(spark, marked.join(split, "key"), "mixed")
 
     def tested(pairs: DataFrame) -> DataFrame:
         """Untested pairs (a, b), judged; the pairs become known."""
@@ -300,7 +308,7 @@ def near_duplicates(
 
     # Members outside the largest component of their bucket meet one member of
     # it, another one each round: a linear number of pairs.
-    known, mixed = star, apart(labels)
+    known, mixed = star, apart(members, labels)
     for turn in range(rounds):
         groups = mixed.groupBy("key", "label").agg(
             F.count(F.lit(1)).alias("n"), F.max_by("node", F.xxhash64("node", "key", F.lit(turn))).alias("c")
@@ -312,11 +320,19 @@ def near_duplicates(
             break
         links = links.union(more)
         labels = components(spark, links)
-        mixed = apart(labels)
-
-    # What is still apart is compared in full across the components.
-    other = mixed.withColumnsRenamed({"node": "b", "label": "label2"})
-    more = tested(mixed.withColumnRenamed("node", "a").join(other, "key").where("label < label2").select("a", "b"))
+        mixed = apart(mixed, labels)
+
+    # What is still apart is compared across the components.  The sketches
+    # screen inside the join: a pair at the threshold agrees in fewer
+    # coordinates than asked for with probability 0.0002.
+    k = SKETCH
+    need = int(k * threshold - 3.5 * math.sqrt(k * threshold * (1 - threshold)))
+    ours = mixed.join(sets.select("node", "sketch"), "node")
+    left = ours.select("key", F.col("node").alias("a"), "label", "sketch")
+    right = ours.select("key", F.col("node").alias("b"), F.col("label").alias("label2"), F.col("sketch").alias("sketch2"))
+    agree = F.aggregate(F.zip_with("sketch", "sketch2", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+    across = left.join(right, (left["key"] == right["key"]) & (F.col("label") < F.col("label2")) & (agree >= need))
+    more = tested(across.select("a", "b"))
     if more.limit(1).count():
         links = links.union(more)
         labels = components(spark, links)
