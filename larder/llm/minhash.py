@@ -327,11 +327,16 @@ def near_duplicates(
     # coordinates than asked for with probability 0.0002.
     k = SKETCH
     need = int(k * threshold - 3.5 * math.sqrt(k * threshold * (1 - threshold)))
-    ours = mixed.join(sets.select("node", "sketch"), "node")
-    left = ours.select("key", F.col("node").alias("a"), "label", "sketch")
-    right = ours.select("key", F.col("node").alias("b"), F.col("label").alias("label2"), F.col("sketch").alias("sketch2"))
+    # A pair that shares several keys is listed at the smallest one only.
+    keys_of = banded.join(mixed.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    ours = mixed.join(sets.select("node", "sketch"), "node").join(keys_of, "node")
+    left = ours.select("key", F.col("node").alias("a"), "label", "sketch", "bands")
+    right = ours.select(
+        "key", F.col("node").alias("b"), F.col("label").alias("label2"), F.col("sketch").alias("sketch2"), F.col("bands").alias("bands2")
+    )
     agree = F.aggregate(F.zip_with("sketch", "sketch2", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-    across = left.join(right, (left["key"] == right["key"]) & (F.col("label") < F.col("label2")) & (agree >= need))
+    first = F.array_min(F.array_intersect("bands", "bands2")) == left["key"]
+    across = left.join(right, (left["key"] == right["key"]) & (F.col("label") < F.col("label2")) & (agree >= need) & first)
     more = tested(across.select("a", "b"))
     if more.limit(1).count():
         links = links.union(more)
