@@ -285,7 +285,7 @@ def score_documents(
                 flat, per_row, w = ids.runs(chunk)
                 at = np.minimum(np.searchsorted(known, w.hash), max(0, len(known) - 1))
                 hit = known[at] == w.hash if len(known) else np.zeros(len(w.hash), bool)
-                base = np.bincount(w.row[hit], log_of[at[hit]], chunk.rows)
+                base = np.bincount(w.row[hit], log_of[at[hit]], chunk.rows).astype(np.float64)
                 n_known = np.bincount(w.row[hit], minlength=chunk.rows)
                 # Words and ends in text order, ends last in their rows.
                 n_words = np.bincount(w.row, minlength=chunk.rows)
@@ -296,7 +296,7 @@ def score_documents(
                 tokens = np.ones(len(last), np.int64)
                 tokens[~last] = w.tokens
                 each = word_scores(net, flat, per_row, tokens, (counted - smooth) * np.log(10.0), last)
-                lm = np.bincount(np.repeat(np.arange(chunk.rows), n_words + 1), each, chunk.rows)
+                lm = np.bincount(np.repeat(np.arange(chunk.rows), n_words + 1), each, chunk.rows).astype(np.float64)
                 r, h = w.row[~hit], w.hash[~hit]
                 by = np.lexsort((h, r))
                 r, h = r[by], h[by]

@@ -45,7 +45,7 @@ def test_warc_round_trip_and_format(spark):
     assert all(bytes(r.payload).decode() == by_id[r.page_id] for r in got if r.record_type == "response")
     # The files by the format alone: leading dictionary frame, one frame per record.
     total = 0
-    for name in glob.glob(path + "/part-*"):
+    for name in glob.glob(path.removeprefix("file:") + "/part-*"):
         data = open(name, "rb").read()
         assert data[:4] == warc.DICT_MAGIC
         dictionary, records = warc.archive_stream([data])
