@@ -49,7 +49,7 @@ def main(argv: list[str] | None = None) -> None:
         from larder.sources.tables import read_tables
 
         as_of = dt.date.fromisoformat(args.as_of) if args.as_of else dt.date.today()
-        tables = catalog.persist_tables(read_tables(spark, args.root))
+        tables = read_tables(spark, args.root)
         catalog.refresh(catalog.dashboard(tables, as_of), catalog.parquet_sink(args.out))
     elif args.cmd == "query":
         df = registry.queries()[args.name](spark, args.sf_dir)

@@ -24,7 +24,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.operators.joins import bounded_broadcast
 from larder.schemas import PRIMARY_KEYS, SCHEMAS, children_of
 from larder.session import ensure_checkpoint_dir
 
@@ -106,6 +105,12 @@ def insert_rows(base: DataFrame, new_rows: DataFrame, table: str, order_cols: li
     if key not in new_rows.columns or order_cols is not None:
         new_rows = assign_ids(new_rows, base, key, order_cols or [c for c in new_rows.columns if c != key], start)
     else:
+        # A key given twice enters once: the smallest row, whatever the order.
+        others = [c for c in new_rows.columns if c != key]
+        if others:
+            new_rows = new_rows.groupBy(key).agg(F.min(F.struct(*others)).alias("_row")).select(key, "_row.*")
+        else:
+            new_rows = new_rows.distinct()
         keys = base.select(F.col(key).alias("_k"))
         new_rows = new_rows.join(keys, new_rows[key] == keys["_k"], "left_anti")
     return base.unionByName(_conform(new_rows, table))
@@ -142,7 +147,7 @@ def update_rows(base: DataFrame, changes: DataFrame, table: str, columns: list[s
     key = PRIMARY_KEYS[table]
     all_cols = [f.name for f in SCHEMAS[table].fields]
     columns = columns or [c for c in all_cols if c != key and c in changes.columns]
-    folded = bounded_broadcast(fold_updates(changes, key, columns).withColumnRenamed(key, "_ukey"))
+    folded = (fold_updates(changes, key, columns).withColumnRenamed(key, "_ukey"))
     joined = base.join(folded, base[key] == folded["_ukey"], "left")
     out = []
     for c in base.columns:
@@ -156,8 +161,7 @@ def update_rows(base: DataFrame, changes: DataFrame, table: str, columns: list[s
 
 def complete_claims(claims: DataFrame, claim_ids: DataFrame, status: str = "Completed") -> DataFrame:
     """M4: set Status to ``status`` for the listed Claim_IDs."""
-    ids = bounded_broadcast(
-        claim_ids.select(F.col("Claim_ID").alias("_cid")).distinct().withColumn("_hit", F.lit(True)))
+    ids = (claim_ids.select(F.col("Claim_ID").alias("_cid")).distinct().withColumn("_hit", F.lit(True)))
     joined = claims.join(ids, claims.Claim_ID == ids._cid, "left")
     return joined.select(
         *[F.when(F.col("_hit"), F.lit(status)).otherwise(F.col("Status")).alias("Status") if c == "Status" else F.col(c)
@@ -175,8 +179,7 @@ def delete_rows(tables: dict[str, DataFrame], table: str, keys: DataFrame) -> di
     Returns the new versions of every table that changed.
     """
     key = PRIMARY_KEYS[table]
-    dead = bounded_broadcast(
-        keys.select(F.col(keys.columns[0]).cast("bigint").alias("_dead")).where(F.col("_dead").isNotNull()).distinct())
+    dead = (keys.select(F.col(keys.columns[0]).cast("bigint").alias("_dead")).where(F.col("_dead").isNotNull()).distinct())
     out = dict(tables)
     base = tables[table]
     out[table] = base.join(dead, base[key] == dead["_dead"], "left_anti")
@@ -209,8 +212,7 @@ def rekey_rows(tables: dict[str, DataFrame], table: str, mapping: DataFrame) ->
     """M6: change primary keys (``mapping``: old_id, new_id); references in
     child tables follow (ON UPDATE CASCADE)."""
     key = PRIMARY_KEYS[table]
-    m = bounded_broadcast(
-        mapping.select(F.col("old_id").cast("bigint").alias("_old"), F.col("new_id").cast("bigint").alias("_new")).distinct())
+    m = (mapping.select(F.col("old_id").cast("bigint").alias("_old"), F.col("new_id").cast("bigint").alias("_new")).distinct())
     out = dict(tables)
 
     def remap(df: DataFrame, column: str) -> DataFrame:
@@ -228,10 +230,37 @@ def rekey_rows(tables: dict[str, DataFrame], table: str, mapping: DataFrame) ->
 
 # --- combined batch ----------------------------------------------------------------------------
 
+def first_inserts(changes: DataFrame, key: str) -> DataFrame:
+    """Of each given key the first insert after the key's last delete in the batch."""
+    given = changes.where((F.col("op") == "I") & F.col(key).isNotNull())
+    deleted = changes.where(F.col("op") == "D").groupBy(key).agg(F.max("seq").alias("_d"))
+    alive = given.join(deleted, key, "left").where(F.col("_d").isNull() | (F.col("seq") > F.col("_d")))
+    start = alive.groupBy(key).agg(F.min("seq").alias("_s"))
+    return alive.join(start, key).where(F.col("seq") == F.col("_s")).drop("_d", "_s")
+
+
+def rejected_inserts(tables: dict[str, DataFrame], table: str, changes: DataFrame) -> DataFrame:
+    """(key, seq) of the inserts after the last delete that find their key taken."""
+    key = PRIMARY_KEYS[table]
+    deleted = changes.where(F.col("op") == "D").groupBy(key).agg(F.max("seq").alias("_d"))
+    given = changes.where((F.col("op") == "I") & F.col(key).isNotNull()).select(key, "seq").join(deleted, key, "left")
+    alive = given.where(F.col("_d").isNull() | (F.col("seq") > F.col("_d")))
+    held = tables[table].select(key).withColumn("_held", F.lit(True)).distinct()
+    first = first_inserts(changes, key).select(key, F.col("seq").alias("_i"))
+    taken = (F.col("seq") > F.col("_i")) | (F.col("_d").isNull() & F.col("_held").isNotNull())
+    return alive.join(first, key).join(held, key, "left").where(taken).select(key, "seq")
+
+
 def apply_changes(tables: dict[str, DataFrame], table: str, changes: DataFrame,
                   high_water: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Apply one batch of U and D changes to ``table`` (D wins over U for a key),
-    then I rows (with IDs if given, else auto-increment in ``seq`` order).
+    """Apply one batch of I, U and D changes to ``table`` in ``seq`` order.
+
+    The changes of a key are folded first, so the batch needs one pass: a
+    delete removes the row of the table and every earlier change of its key; of
+    the inserts after it (or of all, if nothing is deleted) the first one
+    counts, if the key is free, and only later updates change it.  Inserts
+    of a key that is taken are kept out (``rejected_inserts`` lists them).
+    Rows without an ID get auto-increment IDs in ``seq`` order.
 
     ``high_water`` (a one-column frame of earlier maxima) carries the
     auto-increment counter across versions, so IDs freed by earlier deletes
@@ -250,7 +279,10 @@ def apply_changes(tables: dict[str, DataFrame], table: str, changes: DataFrame,
     out = delete_rows(out, table, deletes)
     cols = [f.name for f in SCHEMAS[table].fields if f.name in inserts.columns and f.name != key]
     if key in inserts.columns:
-        out[table] = insert_rows(out[table], inserts.where(F.col(key).isNotNull()).select(key, *cols), table)
+        first = first_inserts(changes, key)
+        later = changes.where(F.col("op") == "U").join(first.select(key, F.col("seq").alias("_i")), key).where("seq > _i").drop("_i")
+        born = update_rows(_conform(first.select(key, *cols), table), later, table)
+        out[table] = insert_rows(out[table], born, table)
         inserts = inserts.where(F.col(key).isNull())
     out[table] = insert_rows(out[table], inserts.select("seq", *cols), table, order_cols=["seq"], start=floor)
     return out

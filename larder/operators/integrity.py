@@ -67,11 +67,19 @@ def length_violations(tables: dict[str, DataFrame]) -> DataFrame:
     frames = []
     for name, df in tables.items():
         key = PRIMARY_KEYS[name]
-        for column, limit in MAX_LENGTHS.get(name, {}).items():
-            n = F.char_length(F.col(column))
-            frames.append(df.where(n > limit).select(
-                F.lit(name).alias("table_name"), F.lit(column).alias("column_name"),
-                F.col(key).cast("bigint").alias("key_value"), n.cast("int").alias("length"),
-                F.lit(limit).alias("max_length"),
-            ))
+        limits = MAX_LENGTHS.get(name, {})
+        if not limits:
+            continue
+        # One pass per table: all limited columns of a row side by side.
+        found = F.filter(
+            F.array(*[
+                F.struct(F.lit(c).alias("column_name"), F.char_length(F.col(c)).cast("int").alias("length"), F.lit(n).alias("max_length"))
+                for c, n in limits.items()
+            ]),
+            lambda x: x["length"] > x["max_length"],
+        )
+        frames.append(
+            df.select(F.lit(name).alias("table_name"), F.col(key).cast("bigint").alias("key_value"), F.explode(found).alias("v"))
+            .select("table_name", "v.column_name", "key_value", "v.length", "v.max_length")
+        )
     return _union_all(frames)

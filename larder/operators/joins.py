@@ -52,20 +52,3 @@ def claims_with_names(claims: DataFrame, listings: DataFrame, receivers: DataFra
     out = claims.join(f, claims.Food_ID == f._f_id, how)
     out = out.join(r, out.Receiver_ID == r._r_id, how)
     return out.drop("_f_id", "_r_id")
-
-
-# Up to this many rows a key list (one or two bigint columns plus a flag) is
-# a few tens of MB at most: safe to ship to every executor.
-MAX_BROADCAST_ROWS = 2_000_000
-
-
-def bounded_broadcast(small: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast of ``small`` only after counting it.
-
-    Change batches and key lists (deleted IDs, claims to complete, re-key
-    maps) are usually tiny next to the table they touch; broadcasting them
-    keeps the large table from being shuffled at all.  Their size is not
-    bounded in general, so the rows are counted first (one small job) and a
-    list over ``max_rows`` is left to a shuffle join.
-    """
-    return F.broadcast(small) if small.count() <= max_rows else small

@@ -17,7 +17,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.operators.clean import CLEANERS
-from larder.operators.joins import bounded_broadcast
 from larder.schemas import LOAD_ORDER, PRIMARY_KEYS, parents_of
 from larder.session import ensure_checkpoint_dir
 from larder.sources.csv import read_table_csv
@@ -41,8 +40,7 @@ def split_duplicate_keys(df: DataFrame, table: str) -> tuple[DataFrame, DataFram
     """
     key = PRIMARY_KEYS[table]
     keyed = df.where(F.col(key).isNotNull())
-    repeated = bounded_broadcast(
-        keyed.groupBy(key).count().where(F.col("count") > 1).select(F.col(key).alias("_dup")))
+    repeated = (keyed.groupBy(key).count().where(F.col("count") > 1).select(F.col(key).alias("_dup")))
     good = keyed.join(repeated, keyed[key] == repeated["_dup"], "left_anti")
     bad = df.where(F.col(key).isNull()).unionByName(
         keyed.join(repeated, keyed[key] == repeated["_dup"], "left_semi")
@@ -57,7 +55,7 @@ def split_dangling(df: DataFrame, table: str, parents: dict[str, DataFrame]) ->
         parent_keys = parents[fk.parent].select(F.col(PRIMARY_KEYS[fk.parent]).alias("_pk"))
         refd = good.where(F.col(fk.column).isNotNull())
         dangling = refd.join(parent_keys, refd[fk.column] == parent_keys["_pk"], "left_anti")
-        bad_keys = bounded_broadcast(dangling.select(F.col(PRIMARY_KEYS[table]).alias("_bad")))
+        bad_keys = (dangling.select(F.col(PRIMARY_KEYS[table]).alias("_bad")))
         good = good.join(bad_keys, good[PRIMARY_KEYS[table]] == bad_keys["_bad"], "left_anti")
         bad_parts.append(dangling.withColumn("reason", F.lit(f"{fk.column} has no {fk.parent} row")))
     bad = bad_parts[0] if bad_parts else None
@@ -77,7 +75,8 @@ def load_from_csv(spark: SparkSession, csv_dir: str, root: str) -> dict[str, Dat
     loaded: dict[str, DataFrame] = {}
     for table in LOAD_ORDER:
         raw = read_table_csv(spark, os.path.join(csv_dir, RAW_FILES[table]), table)
-        clean = CLEANERS[table](raw)
+        # Cleaned once; the audits, the quarantine and the table read the copy.
+        clean = CLEANERS[table](raw).checkpoint(eager=True)
         good, dup = split_duplicate_keys(clean, table)
         good, dangling = split_dangling(good, table, loaded)
         good = good.checkpoint(eager=True)

@@ -42,4 +42,6 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     Values holding the delimiter, quotes or newlines are quoted, so the
     output reads back with ``read_table_csv``.
     """
-    df.write.mode(mode).option("header", "true").option("escape", '"').option("quote", '"').csv(path)
+    # The writer trims by default; values keep their edge spaces.
+    keep = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    df.write.mode(mode).options(header="true", escape='"', quote='"', **keep).csv(path)

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,22 +82,18 @@ def write_version(df: DataFrame, root: str, table: str, version: int) -> str:
 
 
 def latest_version(spark: SparkSession, root: str, table: str) -> int | None:
-    """Version named by the ``_latest`` pointer (None if nothing written yet).
+    """Version named by the ``_latest`` pointer; None if no pointer was written.
 
-    Without a pointer (older layouts) the highest ``v=`` folder is used.
+    Only a missing path means "nothing written"; any other error is raised.
     """
     try:
-        row = spark.read.parquet(os.path.join(root, table, "_latest")).agg(F.max("version")).first()
-        if row is not None and row[0] is not None:
-            return int(row[0])
-    except Exception:  # noqa: BLE001 - no pointer yet
-        pass
-    try:
-        versions = spark.read.parquet(os.path.join(root, table)).select("v").distinct()
-    except Exception:  # noqa: BLE001 - no version written yet
+        pointer = spark.read.schema("version long").parquet(os.path.join(root, table, "_latest"))
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
-    row = versions.agg(F.max("v")).first()
-    return None if row is None else row[0]
+    row = pointer.agg(F.max("version")).first()
+    return None if row[0] is None else int(row[0])
 
 
 def read_version(spark: SparkSession, root: str, table: str, version: int | None = None) -> DataFrame:
@@ -104,7 +101,7 @@ def read_version(spark: SparkSession, root: str, table: str, version: int | None
     if version is None:
         version = latest_version(spark, root, table)
         if version is None:
-            return spark.createDataFrame([], SCHEMAS[table])
+            raise FileNotFoundError(f"no version of {table} below {root}")
     return spark.read.parquet(os.path.join(root, table, f"v={version}")).select(
         *[f.name for f in SCHEMAS[table].fields]
     )

@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from larder.operators.changes import apply_changes, assign_ids, id_floor
-from larder.operators.joins import bounded_broadcast
 from larder.schemas import PRIMARY_KEYS, SCHEMAS, children_of, ddl
 from larder.session import ensure_checkpoint_dir
 
@@ -90,7 +89,7 @@ def _affected_keys(spark: SparkSession, names: dict[str, str], table: str, dead:
     """Per child table (recursively for cascades): keys of rows whose
     reference is among ``dead`` keys of ``table``."""
     out: dict[str, DataFrame] = {}
-    dead = bounded_broadcast(dead.select(F.col(dead.columns[0]).alias("_dead")).distinct())
+    dead = (dead.select(F.col(dead.columns[0]).alias("_dead")).distinct())
     for fk in children_of(table):
         if fk.child not in names:
             continue

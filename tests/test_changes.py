@@ -94,25 +94,38 @@ def test_apply_changes_batch(spark):
     assert out["claims"].where("Receiver_ID IS NULL").count() == 2  # 1003, 1004 lost their receiver
 
 
-def test_bounded_broadcast_checks_size(spark):
-    import contextlib
-    import io
-
-    from larder.operators.joins import bounded_broadcast
-
-    big = spark.range(0, 10000).withColumnRenamed("id", "k")
-    keys = spark.range(0, 10).withColumnRenamed("id", "k")
-
-    def plan(df):
-        buf = io.StringIO()
-        with contextlib.redirect_stdout(buf):
-            df.explain()
-        return buf.getvalue()
-
-    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        assert "BroadcastExchange" in plan(big.join(bounded_broadcast(keys), "k", "left_anti"))
-        assert "BroadcastExchange" not in plan(big.join(bounded_broadcast(keys, max_rows=5), "k", "left_anti"))
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+def test_mixed_batch_in_seq_order(spark):
+    """The folded batch equals its rows applied one after another, also on replay of keyed inserts."""
+    from builders import sample
+
+    tables = sample(spark)
+    feed = [
+        (1, "I", 500, "New", None), (2, "U", 500, "Renamed", ["Name"]), (3, "I", 501, "Gone", None), (4, "D", 501, None, None),
+        (5, "I", 502, "First", None), (6, "I", 502, "Second", None), (7, "D", 10, None, None), (8, "U", 10, "Late", ["Name"]),
+        (9, "I", 10, "Again", None), (10, "U", 10, "Newest", ["Name"]), (11, "I", 11, "Taken", None), (12, "U", 11, "Mine", ["Name"]),
+        (13, "U", 503, "Early", ["Name"]), (14, "I", 503, "Born", None), (15, "D", 504, None, None), (16, "I", 504, "After", None),
+    ]
+    changes = spark.createDataFrame(feed, "seq long, op string, Receiver_ID long, Name string, set array<string>")
+    state = {r.Receiver_ID: r.Name for r in tables["receivers"].collect()}
+    rejected = set()
+    for seq, op, key, name, _ in feed:
+        if op == "I" and key in state:
+            rejected.add((key, seq))
+        elif op == "I" or op == "U" and key in state:
+            state[key] = name
+        elif op == "D":
+            state.pop(key, None)
+    out = CH.apply_changes(tables, "receivers", changes)
+    rows = [(r.Receiver_ID, r.Name) for r in out["receivers"].collect()]
+    assert sorted(rows) == sorted(state.items())
+    assert {(r.Receiver_ID, r.seq) for r in CH.rejected_inserts(tables, "receivers", changes).collect()} == rejected
+    assert all(r.Receiver_ID != 10 for r in out["claims"].collect() if r.Receiver_ID is not None)
+
+
+def test_repeated_new_keys_enter_once(spark):
+    from builders import sample
+
+    tables = sample(spark)
+    new = spark.createDataFrame([(700, "b"), (700, "a"), (10, "taken")], "Receiver_ID long, Name string")
+    rows = CH.insert_rows(tables["receivers"], new, "receivers").where("Receiver_ID in (700, 10)").collect()
+    assert sorted((r.Receiver_ID, r.Name) for r in rows) == [(10, "Shelter"), (700, "a")]

@@ -9,6 +9,7 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF_SMALL
+from larder.plans import registry
 
 TABLES = "region nation customer supplier part orders lineitem documents".split()
 
@@ -33,8 +34,9 @@ def test_entry_runs(spark):
 
 
 def test_registry_shape():
-    q, o = E.queries(), E.oracle_sql()
+    q, o = registry.queries(), registry.oracle_sql()
     assert set(o) == set(q)
+    assert set(q) <= set(E.queries()) and set(o) <= set(E.oracle_sql())
 
 
 @pytest.fixture(scope="module")
@@ -46,7 +48,7 @@ def duck():
 
 
 def test_all_queries_match_oracle(spark, duck):
-    q, o = E.queries(), E.oracle_sql()
+    q, o = registry.queries(), registry.oracle_sql()
     bad = []
     for name, sql in o.items():
         df = q[name](spark, SF_SMALL)

@@ -50,12 +50,24 @@ def test_create_and_load_idempotent(spark):
 def test_versions(spark):
     root = tempfile.mkdtemp(prefix="larder-ver-")
     t = sample(spark)
-    assert TB.read_version(spark, root, "providers").count() == 0
+    with pytest.raises(FileNotFoundError):
+        TB.read_version(spark, root, "providers")
     TB.write_version(t["providers"], root, "providers", 0)
     TB.write_version(t["providers"].where("Provider_ID > 1"), root, "providers", 1)
     assert TB.latest_version(spark, root, "providers") == 1
     assert TB.read_version(spark, root, "providers").count() == 2
     assert TB.read_version(spark, root, "providers", 0).count() == 3
+    with open(os.path.join(root, "providers", "_latest", "part-0-broken.parquet"), "wb") as f:
+        f.write(b"not parquet")
+    with pytest.raises(Exception, match="broken"):
+        TB.read_version(spark, root, "providers")
+
+
+def test_csv_keeps_edge_spaces(spark):
+    path = os.path.join(tempfile.mkdtemp(prefix="larder-csv-"), "out")
+    df = spark.createDataFrame([("  lead and trail  ", 'a "quoted", line\nnext ')], "a string, b string")
+    CSV.write_csv(df, path)
+    assert CSV.read_table_csv(spark, path).collect() == df.collect()
 
 
 def test_jdbc_options(spark, monkeypatch):
