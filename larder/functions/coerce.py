@@ -10,16 +10,28 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# --- fixed values: accepted date/time layouts, tried in this order -----------
-DATETIME_FORMATS = (
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd HH:mm",
-    "yyyy-MM-dd'T'HH:mm",
-    "yyyy-MM-dd",
-    "M/d/yyyy H:mm:ss",
-    "M/d/yyyy H:mm",
-    "M/d/yyyy",
+# Accepted dates, one pattern each: (pattern, groups of year, month, day).
+# Numbers with the year last are read month first, as pandas reads them; a
+# first number over 12 is no month, so such text is not parsed.
+_DATES = (
+    (r"^(\d{4})([-/])(\d{1,2})\2(\d{1,2})$", (1, 3, 4)),
+    (r"^(\d{4})(\d{2})(\d{2})$", (1, 2, 3)),
+    (r"^(\d{1,2})([-/])(\d{1,2})\2(\d{4})$", (4, 1, 3)),
+)
+_NAMED_DATES = (
+    (r"^([A-Za-z]{3,9})\.?\s+(\d{1,2})(?:,\s*|\s+)(\d{4})$", (3, 1, 2)),
+    (r"^(\d{1,2})[\s-]([A-Za-z]{3,9})[\s-](\d{4})$", (3, 2, 1)),
+)
+# A date, then perhaps a time of day: hour, minute, second with fraction, AM/PM, zone.
+_DATE_TIME = (
+    r"^(.*?)(?:(?:T|\s)\s*(\d{1,2}):(\d{2})(?::(\d{2}(?:\.\d{1,6})?)\d{0,3})?"
+    r"\s*([AaPp][Mm])?\s*(?:Z|UTC|[+-]\d{2}:?\d{2})?)?$"
+)
+
+# --- fixed values: English month names ----------------------------------------
+MONTHS = (
+    "january", "february", "march", "april", "may", "june",
+    "july", "august", "september", "october", "november", "december",
 )
 
 # --- fixed values: strings read as missing (pandas read_csv defaults) --------
@@ -77,11 +89,13 @@ def try_key(c: str | Column) -> Column:
 
 
 def coerce_timestamp(c: str | Column, source_type: T.DataType | None = None) -> Column:
-    """String -> timestamp_ntz by the first format that parses; else null.
+    """String -> timestamp_ntz; text that is no date becomes null.
 
-    Timestamps pass through; dates become midnight.  Parsing uses
-    ``try_to_timestamp`` as the validity test so that ANSI mode never raises,
-    and ``to_timestamp_ntz`` for the zone-less value.
+    Timestamps pass through; dates become midnight.  Text is taken apart by
+    pattern and put together once with ``try_make_timestamp_ntz``, so neither
+    bad nor unusual text raises (a failed parse per layout would cost an
+    exception each).  A zone suffix is accepted and not applied: the column has
+    no zone, and the clock time stays as written.  Fractions keep six digits.
     """
     col = _col(c)
     if isinstance(source_type, (T.TimestampNTZType,)):
@@ -89,11 +103,36 @@ def coerce_timestamp(c: str | Column, source_type: T.DataType | None = None) ->
     if isinstance(source_type, (T.TimestampType, T.DateType)):
         return col.cast("timestamp_ntz")
     s = F.trim(col.cast("string"))
-    parsed = [
-        F.when(F.try_to_timestamp(s, F.lit(fmt)).isNotNull(), F.to_timestamp_ntz(s, F.lit(fmt)))
-        for fmt in DATETIME_FORMATS
-    ]
-    return F.coalesce(*parsed)
+
+    def piece(text: Column, pattern: str, group: int) -> Column:
+        return F.regexp_extract(text, pattern, group)
+
+    def number(text: Column) -> Column:
+        return text.try_cast("int")
+
+    day_text = F.trim(piece(s, _DATE_TIME, 1))
+    month_of = F.create_map(*[F.lit(x) for i, m in enumerate(MONTHS) for x in (m, i + 1)])
+    short_of = F.create_map(*[F.lit(x) for i, m in enumerate(MONTHS) for x in (m[:3], i + 1)], F.lit("sept"), F.lit(9))
+    parts = [[], [], []]
+    for pattern, groups in _DATES:
+        for out, g in zip(parts, groups, strict=True):
+            out.append(number(piece(day_text, pattern, g)))
+    for pattern, (y, m, d) in _NAMED_DATES:
+        name = F.lower(piece(day_text, pattern, m))
+        parts[0].append(number(piece(day_text, pattern, y)))
+        parts[1].append(F.coalesce(F.try_element_at(month_of, name), F.try_element_at(short_of, name)))
+        parts[2].append(number(piece(day_text, pattern, d)))
+    year, month, day = (F.coalesce(*p) for p in parts)
+
+    half = F.lower(piece(s, _DATE_TIME, 5))
+    hour = F.coalesce(number(piece(s, _DATE_TIME, 2)), F.lit(0))
+    hour = (
+        F.when(half == "", hour)
+        .when(hour.between(1, 12), hour % 12 + F.when(half == "pm", 12).otherwise(0))
+    )
+    minute = F.coalesce(number(piece(s, _DATE_TIME, 3)), F.lit(0))
+    second = F.coalesce(piece(s, _DATE_TIME, 4).try_cast("decimal(16,6)"), F.lit(0).cast("decimal(16,6)"))
+    return F.when(second < 60, F.try_make_timestamp_ntz(year, month, day, hour, minute, second))
 
 
 def coerce_date(c: str | Column, source_type: T.DataType | None = None) -> Column:
@@ -103,17 +142,25 @@ def coerce_date(c: str | Column, source_type: T.DataType | None = None) -> Colum
     return coerce_timestamp(c, source_type).cast("date")
 
 
-def coerce_quantity(c: str | Column) -> Column:
+_INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
+
+def coerce_quantity(c: str | Column, source_type: T.DataType | None = None) -> Column:
     """C6 (value): to a number, null if unparsable or NaN; rounded to int."""
+    if isinstance(source_type, _INTEGERS):
+        return _col(c).try_cast("int")
     q = _col(c).cast("string").try_cast("double")
     return F.when(q.isNotNull() & ~F.isnan(q), F.round(q).try_cast("int"))
 
 
-def positive_quantity(c: str | Column) -> Column:
+def positive_quantity(c: str | Column, source_type: T.DataType | None = None) -> Column:
     """C6 (predicate): the value parses, is not NaN and is > 0.
 
     Spark orders NaN above every number, so ``'nan' > 0`` would be true
-    without the explicit ``isnan`` guard.
+    without the explicit ``isnan`` guard.  On an integer column the plain
+    comparison is kept, which reaches the scan as a pushed filter.
     """
+    if isinstance(source_type, _INTEGERS):
+        return _col(c) > 0
     q = _col(c).cast("string").try_cast("double")
     return q.isNotNull() & ~F.isnan(q) & (q > 0)

@@ -12,11 +12,9 @@ alone"), and the new column values.
 Scale notes: updates are folded per key with ``max(struct(seq, value))``
 (combined map-side, so a key updated a million times is one row per map task
 before the shuffle); deletes and re-keys are anti / outer joins against the
-distinct key list.  Key lists and folded changes are counted and broadcast
-when small (``bounded_broadcast``), so the large table is not shuffled for a
-small batch; a large batch falls back to a shuffle join.  New IDs are dense
-and are assigned from per-partition counts, never through a single-partition
-window.
+distinct key list; Spark's byte threshold and AQE choose between a broadcast
+and a shuffle join.  New IDs are dense and are assigned from per-partition
+counts, never through a single-partition window.
 """
 
 from __future__ import annotations

@@ -20,6 +20,7 @@ from larder.functions.coerce import cast_key, coerce_date, coerce_quantity, coer
 from larder.functions.text import clean_address, clean_text, digits_only, strip_title
 from larder.schemas import SCHEMAS
 
+# --- fixed values: the cleaned columns
 TEXT_COLUMNS = ("Name", "Type", "City")
 LISTING_TITLE_COLUMNS = ("Food_Name", "Provider_Type", "Location", "Food_Type", "Meal_Type")
 
@@ -75,10 +76,10 @@ def clean_receivers(raw: DataFrame) -> DataFrame:
 def clean_listings(raw: DataFrame) -> DataFrame:
     """C12 listings: coerce expiry; keep positive numeric quantity; strip and
     title-case the five text columns; drop fully duplicated rows."""
-    typed = raw.where(positive_quantity("Quantity")).select(
+    typed = raw.where(positive_quantity("Quantity", _type(raw, "Quantity"))).select(
         _strict_key(raw, "Food_ID").alias("Food_ID"),
         strip_title("Food_Name").alias("Food_Name"),
-        coerce_quantity("Quantity").alias("Quantity"),
+        coerce_quantity("Quantity", _type(raw, "Quantity")).alias("Quantity"),
         coerce_date("Expiry_Date", _type(raw, "Expiry_Date")).alias("Expiry_Date"),
         _lenient_key(raw, "Provider_ID").alias("Provider_ID"),
         *[strip_title(c).alias(c) for c in LISTING_TITLE_COLUMNS[1:]],
@@ -106,6 +107,17 @@ def clean_claims(raw: DataFrame) -> DataFrame:
     return _conform(typed.where(valid).dropDuplicates(), "claims")
 
 
+# Date column of each table that has one.
+DATE_COLUMNS = {"food_listings": "Expiry_Date", "claims": "Timestamp"}
+
+
+def unparsed_dates(raw: DataFrame, table: str) -> DataFrame:
+    """Rows of ``raw`` whose date text is present but not a date (C5 makes it
+    null, and claims without a timestamp are dropped): for a quarantine."""
+    c = DATE_COLUMNS[table]
+    return raw.where(F.col(c).isNotNull() & coerce_timestamp(c, _type(raw, c)).isNull())
+
+
 CLEANERS = {
     "providers": clean_providers,
     "receivers": clean_receivers,

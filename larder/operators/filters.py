@@ -140,15 +140,13 @@ def listing_preview(listings: DataFrame, providers: DataFrame, n: int = 6, **fac
 
 def facet_values(providers: DataFrame, listings: DataFrame) -> DataFrame:
     """(facet, value) for distinct non-null City, Name, Food_Type, Meal_Type."""
-    parts = [
-        providers.select(F.lit("City").alias("facet"), F.col("City").alias("value")),
-        providers.select(F.lit("Name").alias("facet"), F.col("Name").alias("value")),
-        listings.select(F.lit("Food_Type").alias("facet"), F.col("Food_Type").alias("value")),
-        listings.select(F.lit("Meal_Type").alias("facet"), F.col("Meal_Type").alias("value")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+
+    def pairs(df: DataFrame, *columns: str) -> DataFrame:
+        each = F.array(*[F.struct(F.lit(c).alias("facet"), F.col(c).alias("value")) for c in columns])
+        return df.select(F.inline(each))
+
+    # One pass per table: a row gives all its facets at once.
+    out = pairs(providers, "City", "Name").unionByName(pairs(listings, "Food_Type", "Meal_Type"))
     return out.where(F.col("value").isNotNull()).distinct()
 
 

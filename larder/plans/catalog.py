@@ -1,10 +1,10 @@
-"""The dashboard's canned reports, grouped as in the original three tabs, plus
-the overview panels, as one catalogue of DataFrame builders.
+"""The dashboard's canned reports and overview panels as one catalogue of
+DataFrame builders.
 
-``dashboard(tables, as_of)`` returns every panel as a lazy DataFrame.  The
-original re-issued ~25 queries against the database on every page refresh;
-here the caller can persist the four tables once (``persist_tables``) and
-all panels read the cached copies, each panel planned separately by Catalyst.
+``dashboard(tables, as_of)`` returns every panel as a lazy DataFrame over the
+loaded parquet tables, each planned separately by Catalyst, so every panel
+reads its own columns only and its filters reach the scan.  The tables are not
+cached: they are larger than the executors' memory.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ import datetime as dt
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from larder.operators import filters as FL
@@ -23,31 +22,27 @@ Tables = dict[str, DataFrame]
 
 # Every builder takes the tables and the report date (None = today).
 REPORT_GROUPS: dict[str, dict[str, Callable[[Tables, dt.date | None], DataFrame]]] = {
-    "Provider & Receiver Insights": {
-        "Providers by City": lambda t, as_of: M.providers_by_city(t["providers"]),
-        "Receivers by City": lambda t, as_of: M.receivers_by_city(t["receivers"]),
-        "Most Active Food Providers": lambda t, as_of: M.most_active_providers(t["food_listings"], t["providers"], 10),
-        "Total Food Quantity Donated per Provider": lambda t, as_of: M.quantity_per_provider(t["food_listings"], t["providers"]),
+    "Who gives and who takes": {
+        "City: providers": lambda t, as_of: M.providers_by_city(t["providers"]),
+        "City: receivers": lambda t, as_of: M.receivers_by_city(t["receivers"]),
+        "Provider: most listings": lambda t, as_of: M.most_active_providers(t["food_listings"], t["providers"], 10),
+        "Provider: quantity": lambda t, as_of: M.quantity_per_provider(t["food_listings"], t["providers"]),
     },
-    "Donation & Claim Trends": {
-        "Top Provider Types by Donation Volume": lambda t, as_of: M.volume_by_provider_type(t["food_listings"], t["providers"]),
-        "Top Food Items by Number of Claims": lambda t, as_of: M.top_claimed_items(t["claims"], t["food_listings"], 10),
-        "Average Quantity Donated per Provider Type": lambda t, as_of: M.avg_quantity_by_provider_type(t["food_listings"], t["providers"]),
-        "Average Quantity Claimed per Receiver": lambda t, as_of: M.avg_claimed_per_receiver(t["claims"], t["food_listings"], t["receivers"]),
+    "What is given and claimed": {
+        "Provider type: quantity": lambda t, as_of: M.volume_by_provider_type(t["food_listings"], t["providers"]),
+        "Item: most claims": lambda t, as_of: M.top_claimed_items(t["claims"], t["food_listings"], 10),
+        "Provider type: mean quantity": lambda t, as_of: M.avg_quantity_by_provider_type(t["food_listings"], t["providers"]),
+        "Receiver: mean quantity": lambda t, as_of: M.avg_claimed_per_receiver(t["claims"], t["food_listings"], t["receivers"]),
     },
-    "Wastage & Efficiency": {
-        "Most Common Donated Food Types": lambda t, as_of: M.listings_by_food_type(t["food_listings"]),
-        "Most Claimed Meal Types": lambda t, as_of: M.claims_by_meal_type(t["claims"], t["food_listings"]),
-        "Food Near Expiry (Wastage Risk)": lambda t, as_of: FL.near_expiry(t["food_listings"], as_of, 3, with_id=True),
-        "Donation vs Claim Comparison": lambda t, as_of: M.donated_vs_claimed(t["claims"], t["food_listings"]),
+    "What may be lost": {
+        "Food type: listings": lambda t, as_of: M.listings_by_food_type(t["food_listings"]),
+        "Meal type: claims": lambda t, as_of: M.claims_by_meal_type(t["claims"], t["food_listings"]),
+        "Expiring within three days": lambda t, as_of: FL.near_expiry(t["food_listings"], as_of, 3, with_id=True),
+        "Quantity: donated and claimed": lambda t, as_of: M.donated_vs_claimed(t["claims"], t["food_listings"]),
     },
 }
 
 
-def persist_tables(tables: Tables, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> Tables:
-    return {k: v.persist(level) for k, v in tables.items()}
-
-
 def dashboard(tables: Tables, as_of: dt.date | None = None, facets: dict | None = None) -> dict[str, DataFrame]:
     """Every panel of one page refresh as a lazy DataFrame."""
     facets = facets or {}
@@ -59,17 +54,17 @@ def dashboard(tables: Tables, as_of: dt.date | None = None, facets: dict | None
     facts = FL.facet_filter(FL.listing_facts(t["food_listings"], t["providers"]), **facets)
     out.update({
         "Overview": M.overview_totals(t["providers"], t["receivers"], t["food_listings"]),
-        "Items expiring in next 3 days": FL.near_expiry(t["food_listings"], as_of, 3, n=5),
+        "Next to expire": FL.near_expiry(t["food_listings"], as_of, 3, n=5),
         "Contacts": FL.sample_contacts(t["providers"], 5),
-        "Filtered Food Listings": FL.listing_preview(t["food_listings"], t["providers"], 6, **facets),
-        "Food Type counts": M.value_counts(facts, "Food_Type", "Food_Type"),
-        "Provider counts": M.value_counts(facts, "Provider_Name", "Provider"),
-        "Latest Providers": FL.latest_rows(t["providers"], "Provider_ID", 10),
-        "Latest Receivers": FL.latest_rows(t["receivers"], "Receiver_ID", 10),
-        "Latest Food Listings": FL.latest_rows(t["food_listings"], "Food_ID", 10),
-        "Latest Claims": FL.latest_rows(t["claims"], "Claim_ID", 10),
-        "Provider Contact Directory": FL.provider_directory(t["providers"], 500),
-        "Facet values": FL.facet_values(t["providers"], t["food_listings"]),
+        "Chosen listings": FL.listing_preview(t["food_listings"], t["providers"], 6, **facets),
+        "Chosen: food types": M.value_counts(facts, "Food_Type", "Food_Type"),
+        "Chosen: providers": M.value_counts(facts, "Provider_Name", "Provider"),
+        "Newest: providers": FL.latest_rows(t["providers"], "Provider_ID", 10),
+        "Newest: receivers": FL.latest_rows(t["receivers"], "Receiver_ID", 10),
+        "Newest: listings": FL.latest_rows(t["food_listings"], "Food_ID", 10),
+        "Newest: claims": FL.latest_rows(t["claims"], "Claim_ID", 10),
+        "Directory": FL.provider_directory(t["providers"], 500),
+        "Choices": FL.facet_values(t["providers"], t["food_listings"]),
     })
     return out
 

@@ -6,7 +6,8 @@ the rest as version 0 of the versioned tables (A7), parents first.  The
 original load had no such step: one bad reference failed the whole insert.
 
 Quarantined rows are written next to the tables (``_quarantine/<table>``),
-with a ``reason`` column, instead of failing the load.
+with a ``reason`` column, instead of failing the load.  Raw rows whose date text
+is no date are written as they are to ``_quarantine/<table>_dates``.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.operators.clean import CLEANERS
+from larder.operators.clean import CLEANERS, DATE_COLUMNS, unparsed_dates
 from larder.schemas import LOAD_ORDER, PRIMARY_KEYS, parents_of
 from larder.session import ensure_checkpoint_dir
 from larder.sources.csv import read_table_csv
@@ -50,18 +51,19 @@ def split_duplicate_keys(df: DataFrame, table: str) -> tuple[DataFrame, DataFram
 
 def split_dangling(df: DataFrame, table: str, parents: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
     """(rows whose non-null references all exist, rows with a dangling one)."""
-    good, bad_parts = df, []
-    for fk in parents_of(table):
-        parent_keys = parents[fk.parent].select(F.col(PRIMARY_KEYS[fk.parent]).alias("_pk"))
-        refd = good.where(F.col(fk.column).isNotNull())
-        dangling = refd.join(parent_keys, refd[fk.column] == parent_keys["_pk"], "left_anti")
-        bad_keys = (dangling.select(F.col(PRIMARY_KEYS[table]).alias("_bad")))
-        good = good.join(bad_keys, good[PRIMARY_KEYS[table]] == bad_keys["_bad"], "left_anti")
-        bad_parts.append(dangling.withColumn("reason", F.lit(f"{fk.column} has no {fk.parent} row")))
-    bad = bad_parts[0] if bad_parts else None
-    for b in bad_parts[1:]:
-        bad = bad.unionByName(b)
-    return good, bad
+    if not parents_of(table):
+        return df, None
+    # One left join per reference against the parent's unique keys marks the
+    # rows; AQE splits the partition of a hot parent.
+    marked, reasons = df, []
+    for i, fk in enumerate(parents_of(table)):
+        pk, found = f"_pk{i}", f"_found{i}"
+        keys = parents[fk.parent].select(F.col(PRIMARY_KEYS[fk.parent]).alias(pk), F.lit(True).alias(found))
+        marked = marked.join(keys, marked[fk.column] == keys[pk], "left").drop(pk)
+        dangling = F.col(fk.column).isNotNull() & F.col(found).isNull()
+        reasons.append(F.when(dangling, F.lit(f"{fk.column} has no {fk.parent} row")))
+    marked = marked.withColumn("reason", F.coalesce(*reasons)).select(*df.columns, "reason")
+    return marked.where(F.col("reason").isNull()).drop("reason"), marked.where(F.col("reason").isNotNull())
 
 
 def load_from_csv(spark: SparkSession, csv_dir: str, root: str) -> dict[str, DataFrame]:
@@ -75,6 +77,8 @@ def load_from_csv(spark: SparkSession, csv_dir: str, root: str) -> dict[str, Dat
     loaded: dict[str, DataFrame] = {}
     for table in LOAD_ORDER:
         raw = read_table_csv(spark, os.path.join(csv_dir, RAW_FILES[table]), table)
+        if table in DATE_COLUMNS:
+            unparsed_dates(raw, table).write.mode("overwrite").parquet(os.path.join(root, "_quarantine", f"{table}_dates"))
         # Cleaned once; the audits, the quarantine and the table read the copy.
         clean = CLEANERS[table](raw).checkpoint(eager=True)
         good, dup = split_duplicate_keys(clean, table)

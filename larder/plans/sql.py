@@ -24,17 +24,3 @@ def run_query(spark: SparkSession, sql: str, params: dict[str, Any] | None = Non
     if tables:
         register_views(tables)
     return spark.sql(sql, args=params or None)
-
-
-def build_search_sql(base: str, filters: list[tuple[str, str, str]], order_by: str) -> tuple[str, list[str]]:
-    """Compose ``base WHERE 1=1 AND ...`` from (column, operator, param) triples.
-
-    Only column names chosen by the caller enter the text; values are always
-    parameters.  Returns the SQL and the parameter names used.
-    """
-    sql = base + " WHERE 1=1"
-    names = []
-    for column, op, param in filters:
-        sql += f" AND {column} {op} :{param}"
-        names.append(param)
-    return sql + f" ORDER BY {order_by}", names

@@ -1,10 +1,15 @@
 """CSV sources and sinks.
 
-Raw files are read with every column as text: records may span lines
-(addresses hold newlines), so ``multiLine`` is on and quotes are escaped by
-doubling.  A multi-line CSV file cannot be split between tasks, so at scale
-the raw files should be converted once (``read_table_csv`` -> clean ->
-parquet) and every later job reads the parquet copy.
+Raw files are read with every column as text; quotes are escaped by doubling.
+Provider and receiver records may span lines (addresses hold newlines), so
+``multiLine`` is on for them and such a file is one task.  Listings and claims
+are one line per record and their files are split between tasks.  At scale the
+raw files are converted once (``read_table_csv`` -> clean -> parquet) and every
+later job reads the parquet copy.
+
+A line with more or fewer fields than the header raises: nothing is cut or
+filled silently.  That also holds for a record over several lines where
+``multiLine`` is off.
 """
 
 from __future__ import annotations
@@ -17,21 +22,27 @@ from larder.schemas import SCHEMAS
 
 CSV_READ_OPTIONS = {
     "header": "true",
-    "multiLine": "true",
     "escape": '"',
     "quote": '"',
-    "mode": "PERMISSIVE",
+    "mode": "FAILFAST",
     "inferSchema": "false",
+    # Pruned columns are not parsed, and lines of wrong length would pass.
+    "columnPruning": "false",
 }
+#: Tables whose records never span lines.
+ONE_LINE = ("food_listings", "claims")
 
 
-def read_table_csv(spark: SparkSession, path: str, table: str | None = None) -> DataFrame:
+def read_table_csv(spark: SparkSession, path: str, table: str | None = None, multi_line: bool | None = None) -> DataFrame:
     """A1: CSV with header -> DataFrame of strings, pandas NA tokens as null.
 
     With ``table`` the declared columns are selected (in declared order);
-    a missing column raises, as it would in the load.
+    a missing column raises, as it would in the load.  ``multi_line`` (default:
+    on, but for ``ONE_LINE`` tables) allows newlines inside quoted values.
     """
-    raw = spark.read.options(**CSV_READ_OPTIONS).csv(path)
+    if multi_line is None:
+        multi_line = table not in ONE_LINE
+    raw = spark.read.options(**CSV_READ_OPTIONS, multiLine=multi_line).csv(path)
     cols = [f.name for f in SCHEMAS[table].fields] if table else raw.columns
     return raw.select(*[na_to_null(F.col(f"`{c}`")).alias(c) for c in cols])
 

@@ -23,6 +23,7 @@ data and are joined by whatever AQE measures at run time.
 from __future__ import annotations
 
 import os
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,20 +79,43 @@ def first_line_per_part(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("f.l_shipdate").alias("l_shipdate"))
 
 
+#: Part keys lie below this bound (10^18), line numbers below 10^19; together they
+#: fill a decimal(38,0), the widest value a hash aggregate keeps in place.
+_PART_RANGE = 10**18
+_SHIFT = Decimal(10**19)
+
+
 def first_line_per_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(l_orderkey, l_partkey) of the least line per order."""
+    """(l_orderkey, l_partkey) of the least line per order.
+
+    Only the part is wanted, so the least (line number, part key) decides and
+    the two are packed into one number, line number first: the minimum of a
+    number is hash-aggregated, that of a struct would sort every map task's
+    lines.  Part keys must lie in [0, 10^18); a key outside fails the job.
+    """
     li = read_driver(spark, sf_dir, "lineitem")
-    first = li.groupBy("l_orderkey").agg(
-        F.min(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")).alias("f")
+    part = F.col("l_partkey").cast("bigint")
+    fits = part.isNull() | ((part >= 0) & (part < F.lit(_PART_RANGE)))
+    # A null part sorts first among the lines of one number, as it does in a struct.
+    low = F.when(fits, F.coalesce(part + 1, F.lit(0)).cast("decimal(19,0)")).otherwise(
+        F.raise_error(F.lit("l_partkey out of range")).cast("decimal(19,0)")
     )
-    return first.select("l_orderkey", F.col("f.l_partkey").alias("l_partkey"))
+    packed = F.col("l_linenumber").cast("decimal(18,0)") * F.lit(_SHIFT) + low
+    first = li.groupBy("l_orderkey").agg(F.min(packed.cast("decimal(38,0)")).alias("f"))
+    part_of = (F.col("f") % F.lit(_SHIFT)).cast("bigint")
+    return first.select("l_orderkey", F.when(part_of > 0, part_of - 1).alias("l_partkey"))
 
 
 def food_listings(spark: SparkSession, sf_dir: str, provider_df: DataFrame | None = None) -> DataFrame:
     part = read_driver(spark, sf_dir, "part")
     first = first_line_per_part(spark, sf_dir)
-    prov = (provider_df if provider_df is not None else providers(spark, sf_dir)).select(
-        F.col("Provider_ID").alias("_pid"), F.col("Type").alias("_ptype"), F.col("City").alias("_pcity")
+    # Grouped by its key, the provider side is known to be unique: Catalyst drops
+    # the join (and the shuffle on a possibly hot supplier) where no column of it
+    # is used.
+    prov = (provider_df if provider_df is not None else providers(spark, sf_dir)).groupBy(
+        F.col("Provider_ID").alias("_pid")
+    ).agg(F.min(F.struct("Type", "City")).alias("_p")).select(
+        "_pid", F.col("_p.Type").alias("_ptype"), F.col("_p.City").alias("_pcity")
     )
     listed = part.join(first, part.p_partkey == first.l_partkey, "left")
     return listed.join(prov, listed.l_suppkey == prov._pid, "left").select(

@@ -39,8 +39,13 @@ def scan_table(spark: SparkSession, name: str) -> DataFrame:
 
 
 def new_rows_only(existing: DataFrame, incoming: DataFrame, table: str) -> DataFrame:
-    """Rows of ``incoming`` whose key is not in ``existing`` (duplicate-safe append)."""
+    """Rows of ``incoming`` whose key is not in ``existing`` (duplicate-safe append).
+
+    A key that ``incoming`` repeats enters once, with its smallest row.
+    """
     key = PRIMARY_KEYS[table]
+    others = [c for c in incoming.columns if c != key]
+    incoming = incoming.groupBy(key).agg(F.min(F.struct(*others)).alias("_row")).select(key, "_row.*").select(*incoming.columns)
     keys = existing.select(F.col(key).alias("_k"))
     return incoming.join(keys, incoming[key] == keys["_k"], "left_anti")
 
