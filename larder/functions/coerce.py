@@ -10,22 +10,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Accepted dates, one pattern each: (pattern, groups of year, month, day).
+# A time of day after a date: hour, minute, second with fraction, AM/PM, zone.
+_CLOCK = (
+    r"(?:(?:T|\s)\s*(\d{1,2}):(\d{2})(?::(\d{2}(?:\.\d{1,6})?)\d{0,3})?"
+    r"\s*([AaPp][Mm])?\s*(?:Z|UTC|[+-]\d{2}:?\d{2})?)?$"
+)
+# Accepted dates and their parts as year|month|day|hour|minute|second|half.
 # Numbers with the year last are read month first, as pandas reads them; a
 # first number over 12 is no month, so such text is not parsed.
 _DATES = (
-    (r"^(\d{4})([-/])(\d{1,2})\2(\d{1,2})$", (1, 3, 4)),
-    (r"^(\d{4})(\d{2})(\d{2})$", (1, 2, 3)),
-    (r"^(\d{1,2})([-/])(\d{1,2})\2(\d{4})$", (4, 1, 3)),
-)
-_NAMED_DATES = (
-    (r"^([A-Za-z]{3,9})\.?\s+(\d{1,2})(?:,\s*|\s+)(\d{4})$", (3, 1, 2)),
-    (r"^(\d{1,2})[\s-]([A-Za-z]{3,9})[\s-](\d{4})$", (3, 2, 1)),
-)
-# A date, then perhaps a time of day: hour, minute, second with fraction, AM/PM, zone.
-_DATE_TIME = (
-    r"^(.*?)(?:(?:T|\s)\s*(\d{1,2}):(\d{2})(?::(\d{2}(?:\.\d{1,6})?)\d{0,3})?"
-    r"\s*([AaPp][Mm])?\s*(?:Z|UTC|[+-]\d{2}:?\d{2})?)?$"
+    (r"^(\d{4})([-/])(\d{1,2})\2(\d{1,2})", "$1|$3|$4|$5|$6|$7|$8"),
+    (r"^(\d{4})(\d{2})(\d{2})", "$1|$2|$3|$4|$5|$6|$7"),
+    (r"^(\d{1,2})([-/])(\d{1,2})\2(\d{4})", "$4|$1|$3|$5|$6|$7|$8"),
+    (r"^([A-Za-z]{3,9})\.?\s+(\d{1,2})(?:,\s*|\s+)(\d{4})", "$3|$1|$2|$4|$5|$6|$7"),
+    (r"^(\d{1,2})[\s-]([A-Za-z]{3,9})[\s-](\d{4})", "$3|$2|$1|$4|$5|$6|$7"),
 )
 
 # --- fixed values: English month names ----------------------------------------
@@ -91,48 +89,41 @@ def try_key(c: str | Column) -> Column:
 def coerce_timestamp(c: str | Column, source_type: T.DataType | None = None) -> Column:
     """String -> timestamp_ntz; text that is no date becomes null.
 
-    Timestamps pass through; dates become midnight.  Text is taken apart by
-    pattern and put together once with ``try_make_timestamp_ntz``, so neither
-    bad nor unusual text raises (a failed parse per layout would cost an
-    exception each).  A zone suffix is accepted and not applied: the column has
-    no zone, and the clock time stays as written.  Fractions keep six digits.
+    Timestamps pass through; dates become midnight.  Text is rewritten by
+    pattern to one list of parts and put together once with
+    ``try_make_timestamp_ntz``, so neither bad nor unusual text raises (a failed
+    parse per layout would cost an exception each).  The lambda binds the parts,
+    so the patterns run once per value however the plan is collapsed.  A zone
+    suffix is accepted and not applied: the column has no zone, and the clock
+    time stays as written.  Fractions keep six digits.
     """
     col = _col(c)
     if isinstance(source_type, (T.TimestampNTZType,)):
         return col
     if isinstance(source_type, (T.TimestampType, T.DateType)):
         return col.cast("timestamp_ntz")
-    s = F.trim(col.cast("string"))
-
-    def piece(text: Column, pattern: str, group: int) -> Column:
-        return F.regexp_extract(text, pattern, group)
-
-    def number(text: Column) -> Column:
-        return text.try_cast("int")
-
-    day_text = F.trim(piece(s, _DATE_TIME, 1))
-    month_of = F.create_map(*[F.lit(x) for i, m in enumerate(MONTHS) for x in (m, i + 1)])
-    short_of = F.create_map(*[F.lit(x) for i, m in enumerate(MONTHS) for x in (m[:3], i + 1)], F.lit("sept"), F.lit(9))
-    parts = [[], [], []]
-    for pattern, groups in _DATES:
-        for out, g in zip(parts, groups, strict=True):
-            out.append(number(piece(day_text, pattern, g)))
-    for pattern, (y, m, d) in _NAMED_DATES:
-        name = F.lower(piece(day_text, pattern, m))
-        parts[0].append(number(piece(day_text, pattern, y)))
-        parts[1].append(F.coalesce(F.try_element_at(month_of, name), F.try_element_at(short_of, name)))
-        parts[2].append(number(piece(day_text, pattern, d)))
-    year, month, day = (F.coalesce(*p) for p in parts)
-
-    half = F.lower(piece(s, _DATE_TIME, 5))
-    hour = F.coalesce(number(piece(s, _DATE_TIME, 2)), F.lit(0))
-    hour = (
-        F.when(half == "", hour)
-        .when(hour.between(1, 12), hour % 12 + F.when(half == "pm", 12).otherwise(0))
-    )
-    minute = F.coalesce(number(piece(s, _DATE_TIME, 3)), F.lit(0))
-    second = F.coalesce(piece(s, _DATE_TIME, 4).try_cast("decimal(16,6)"), F.lit(0).cast("decimal(16,6)"))
-    return F.when(second < 60, F.try_make_timestamp_ntz(year, month, day, hour, minute, second))
+    s = F.translate(F.trim(col.cast("string")), "|", "?")
+    for pattern, parts in _DATES:
+        s = F.regexp_replace(s, pattern + _CLOCK, parts)
+    names = {n: i + 1 for i, m in enumerate(MONTHS) for n in (m, m[:3])} | {"sept": 9}
+    number = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+
+    def made(a: Column) -> Column:
+        def part(i: int, kind: str = "int") -> Column:
+            return F.get(a, F.lit(i)).try_cast(kind)
+
+        month = F.coalesce(part(1), F.try_element_at(number, F.lower(F.get(a, F.lit(1)))))
+        half = F.lower(F.get(a, F.lit(6)))
+        hour = F.coalesce(part(3), F.lit(0))
+        hour = F.when(half == "", hour).when(
+            hour.between(1, 12), hour % 12 + F.when(half == "pm", 12).otherwise(0)
+        )
+        second = F.coalesce(part(5, "decimal(16,6)"), F.lit(0).cast("decimal(16,6)"))
+        return F.when(
+            second < 60, F.try_make_timestamp_ntz(part(0), month, part(2), hour, F.coalesce(part(4), F.lit(0)), second)
+        )
+
+    return F.get(F.transform(F.array(F.split(s, r"\|")), made), F.lit(0))
 
 
 def coerce_date(c: str | Column, source_type: T.DataType | None = None) -> Column:
