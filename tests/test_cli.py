@@ -18,7 +18,7 @@ def test_load_and_report(spark, capsys):
     main(["--master", "local[2]", "load", "--csv-dir", d, "--root", root])
     main(["--master", "local[2]", "report", "--root", root, "--out", out, "--as-of", "2025-03-04"])
     panels = sorted(os.listdir(out))
-    assert "overview" in panels and "items_expiring_in_next_3_days" in panels
-    assert spark.read.parquet(os.path.join(out, "items_expiring_in_next_3_days")).count() == 1
+    assert "overview" in panels and "next_to_expire" in panels
+    assert spark.read.parquet(os.path.join(out, "next_to_expire")).count() == 1
     main(["list"])
     assert "claim_status_share" in capsys.readouterr().out
