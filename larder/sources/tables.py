@@ -86,16 +86,23 @@ def write_version(df: DataFrame, root: str, table: str, version: int) -> str:
     return path
 
 
+def read_if_written(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
+    """The parquet data at ``path``; None if the path is missing.  Any other error is raised."""
+    try:
+        return (spark.read.schema(schema) if schema else spark.read).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def latest_version(spark: SparkSession, root: str, table: str) -> int | None:
     """Version named by the ``_latest`` pointer; None if no pointer was written.
 
     Only a missing path means "nothing written"; any other error is raised.
     """
-    try:
-        pointer = spark.read.schema("version long").parquet(os.path.join(root, table, "_latest"))
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
+    pointer = read_if_written(spark, os.path.join(root, table, "_latest"), "version long")
+    if pointer is None:
         return None
     row = pointer.agg(F.max("version")).first()
     return None if row[0] is None else int(row[0])

@@ -30,15 +30,13 @@ from pyspark.sql.streaming import StreamingQuery
 from larder.operators.changes import apply_changes
 from larder.schemas import PRIMARY_KEYS, SCHEMAS
 from larder.session import ensure_checkpoint_dir
-from larder.sources.tables import read_version, write_version
+from larder.sources.tables import read_if_written, read_version, write_version
 
 
 def _read_high_water(spark: SparkSession, root: str, name: str, version: int) -> DataFrame | None:
     """The auto-increment high-water mark stored with ``version`` (if any)."""
-    try:
-        return spark.read.parquet(os.path.join(root, name, f"v={version}")).select("hwm")
-    except Exception:  # noqa: BLE001 - not written for this version
-        return None
+    mark = read_if_written(spark, os.path.join(root, name, f"v={version}"))
+    return None if mark is None else mark.select("hwm")
 
 
 def change_schema(table: str) -> T.StructType:

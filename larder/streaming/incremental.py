@@ -32,6 +32,7 @@ from pyspark.sql.streaming import StreamingQuery
 from larder.operators.changes import apply_changes, assign_ids, id_floor
 from larder.schemas import PRIMARY_KEYS, SCHEMAS, children_of, ddl
 from larder.session import ensure_checkpoint_dir
+from larder.sources.tables import read_if_written
 
 BUCKET = "bucket"
 
@@ -52,7 +53,8 @@ def create_bucketed(spark: SparkSession, name: str, table: str, path: str, df: D
         f"PARTITIONED BY ({BUCKET}) LOCATION '{path}'"
     )
     key = PRIMARY_KEYS[table]
-    df.select(*_cols(table), bucket_of(key, n).alias(BUCKET)).write.mode("overwrite").insertInto(name)
+    # One task holds a whole bucket (keys are unique, so buckets are even): one file each.
+    df.select(*_cols(table), bucket_of(key, n).alias(BUCKET)).repartition(n, BUCKET).write.mode("overwrite").insertInto(name)
 
 
 def read_bucketed(spark: SparkSession, name: str, table: str, buckets: list[int] | None = None) -> DataFrame:
@@ -80,7 +82,7 @@ def _overwrite_present_buckets(spark: SparkSession, staged: DataFrame, name: str
     old = spark.conf.get(key)
     spark.conf.set(key, "dynamic")
     try:
-        staged.write.mode("overwrite").insertInto(name)
+        staged.repartition(BUCKET).write.mode("overwrite").insertInto(name)  # one file a bucket
     finally:
         spark.conf.set(key, old)
 
@@ -167,9 +169,7 @@ def start_incremental_feed(spark: SparkSession, changes_dir: str, names: dict[st
     from larder.streaming.change_feed import change_schema
 
     key = PRIMARY_KEYS[table]
-    try:
-        spark.read.parquet(os.path.join(state_dir, "v=0")).count()
-    except Exception:  # noqa: BLE001 - first start: the mark before any batch
+    if read_if_written(spark, os.path.join(state_dir, "v=0")) is None:  # first start: the mark before any batch
         spark.table(names[table]).agg(F.max(F.col(key).cast("bigint")).alias("hwm")).write.mode(
             "overwrite").parquet(os.path.join(state_dir, "v=0"))
 
