@@ -12,7 +12,7 @@ after the last word.  Two scores are given:
   windows are scored in batches with a causal mask.  A word's probability is
   half that of its ids (and of a word starting after them, given that one
   starts with them, which makes it a distribution over words) and half that of
-  the unigram over the frequent words.
+  the unigram of ``base_score``.
 
 Corpus statistics cover all training documents and come from Spark
 aggregations: word counts, from them the counts of subword ids (each distinct
@@ -22,8 +22,11 @@ a bounded sample: the windows of about ``fit_rows`` documents, at most
 ``fit_windows``.
 
 Scoring holds a bounded table of frequent words (at most ``frequent``; every
-word that could be a hot key is in it) and sends the rest of a document's
-words, aggregated, through a join with the counts.
+word that could be a hot key is in it).  The rest of a document's words go
+through a join with the counts, each word once a document with the
+probabilities that its occurrences have by their ids: there their unigram half,
+taken as that of an unseen word before, gets the true count.  ``frequent``
+decides where a count is looked up, not whether.
 
 Results: a null or empty text is the end alone.  ``held_out`` rows (crc32 of
 the id mod 7 is 2) are not learned from; a null id is never held out.  Words
@@ -192,10 +195,10 @@ def fit_model(per_id: np.ndarray, starts_word: np.ndarray, inputs, targets, mask
     return net.tables()
 
 
-def word_scores(net: attention.Tables, flat: np.ndarray, per_row: np.ndarray, tokens: np.ndarray, unigram: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """ln P of each word or end of a chunk.
+def spelt_scores(net: attention.Tables, flat: np.ndarray, per_row: np.ndarray, tokens: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """ln P by its ids of each word or end of a chunk.
 
-    ``tokens``: ids of each; ``unigram``: ln P of each alone; ``last``: ends.
+    ``tokens``: ids of each; ``last``: ends.
     """
     lp, start = np.zeros(len(flat), np.float32), np.zeros(len(flat), np.float32)
     for before, target, mask, _, at in batches(flat, per_row, attention.WINDOW, attention.OVERLAP):
@@ -205,7 +208,7 @@ def word_scores(net: attention.Tables, flat: np.ndarray, per_row: np.ndarray, to
     first = np.cumsum(tokens) - tokens
     spelt = np.add.reduceat(lp, first, dtype=np.float64) - start[first]
     spelt[:-1] += np.where(last[:-1], 0.0, start[first[1:]])
-    return np.logaddexp(spelt, unigram) - np.log(2.0)
+    return spelt
 
 
 def score_documents(
@@ -295,15 +298,16 @@ def score_documents(
                 counted[~last] = np.where(hit, log_of[at], 0.0) if len(known) else 0.0
                 tokens = np.ones(len(last), np.int64)
                 tokens[~last] = w.tokens
-                each = word_scores(net, flat, per_row, tokens, (counted - smooth) * np.log(10.0), last)
+                spelt = spelt_scores(net, flat, per_row, tokens, last)
+                each = np.logaddexp(spelt, (counted - smooth) * np.log(10.0)) - np.log(2.0)
                 lm = np.bincount(np.repeat(np.arange(chunk.rows), n_words + 1), each, chunk.rows).astype(np.float64)
                 r, h = w.row[~hit], w.hash[~hit]
                 by = np.lexsort((h, r))
-                r, h = r[by], h[by]
+                r, h, own_spelt = r[by], h[by], spelt[~last][~hit][by]
                 new = np.ones(len(r), bool)
                 new[1:] = (r[1:] != r[:-1]) | (h[1:] != h[:-1])
                 place = np.flatnonzero(new)
-                times = np.diff(np.append(place, len(r)))
+                spans = pa.array(np.append(place, len(r)).astype(np.int32))
                 cuts = pa.array(np.searchsorted(r[place], np.arange(chunk.rows + 1)).astype(np.int32))
                 own = batch.slice(chunk.first, chunk.rows)
                 yield pa.RecordBatch.from_arrays(
@@ -312,28 +316,43 @@ def score_documents(
                         pa.array(n_words.astype(np.int64) + 1), pa.array(n_known.astype(np.int64)),
                         pa.array(base), pa.array(lm / np.log(10.0)),
                         pa.ListArray.from_arrays(cuts, pa.array(h[place].view(np.int64))),
-                        pa.ListArray.from_arrays(cuts, pa.array(times.astype(np.int32))),
+                        pa.ListArray.from_arrays(cuts, pa.ListArray.from_arrays(spans, pa.array(own_spelt))),
                     ],
-                    names=["row", "doc_id", "held_out", "n_tokens", "common", "base", "score", "hashes", "times"],
+                    names=["row", "doc_id", "held_out", "n_tokens", "common", "base", "score", "hashes", "spelt"],
                 )
 
     id_type = rows.schema["doc_id"].dataType.simpleString()
     scored = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text").mapInArrow(
         judge,
-        f"row long, doc_id {id_type}, held_out boolean, n_tokens long, common long, base double, score double, hashes array<long>, times array<int>",
+        f"row long, doc_id {id_type}, held_out boolean, n_tokens long, common long, base double, score double, hashes array<long>, spelt array<array<double>>",
     )
     scored = stored(spark, scored, "scored")
-    pairs = scored.select("row", F.explode(F.arrays_zip("hashes", "times")).alias("p"))
+    pairs = scored.select("row", F.explode(F.arrays_zip("hashes", "spelt")).alias("p"))
+
+    def mixed(spelt, unigram):
+        """ln(P by ids + P alone), from the logarithms of both."""
+        return F.greatest(spelt, unigram) + F.log1p(F.exp(-F.abs(spelt - unigram)))
+
+    ln10 = float(np.log(10.0))
+    alone = (F.log10(F.col("n") + 1.0) - smooth) * ln10
+    # What the true count adds to the score that took the word as unseen.
+    lift = F.aggregate("spelt", F.lit(0.0), lambda a, x: a + mixed(x, F.col("alone")) - mixed(x, F.lit(-smooth * ln10)))
+    times = F.size("spelt")
     found = (
-        pairs.select("row", F.col("p.hashes").alias("hash"), F.col("p.times").alias("times"))
-        .join(rare, "hash")
+        pairs.select("row", F.col("p.hashes").alias("hash"), F.col("p.spelt").alias("spelt"))
+        .join(rare.select("hash", "n", alone.alias("alone")), "hash")
         .groupBy("row")
-        .agg(F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more"), F.sum("times").alias("seen"))
+        .agg(
+            F.sum(times * F.log10(F.col("n") + 1.0)).alias("more"), F.sum(times).alias("seen"),
+            # Fixed point: the sum does not depend on the order of the words.
+            F.sum((lift / ln10).cast("decimal(24,12)")).cast("double").alias("lift"),
+        )
     )
     end_known = 1 if n_train else 0
     base = F.col("base") + F.coalesce("more", F.lit(0.0)) + end_log - F.col("n_tokens") * smooth
     return scored.join(found, "row", "left").select(
         "doc_id", "held_out", "n_tokens",
         (F.col("common") + F.coalesce("seen", F.lit(0)) + end_known).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score",
+        F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"),
+        (F.col("score") + F.coalesce("lift", F.lit(0.0))).alias("score"),
     )

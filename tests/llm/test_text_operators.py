@@ -183,3 +183,11 @@ def test_lm_base_brute_force_and_gain(spark, odd_docs, no_docs):
     out = [r for r in lm.score_documents(spark, table(spark, SF_SMALL, "documents")).collect() if r.held_out]
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
     assert lm.score_documents(spark, no_docs).count() == 0
+
+
+def test_lm_score_uses_every_count(spark, odd_docs):
+    docs = odd_docs.select("doc_id", "text").where("doc_id is null or doc_id <> 2").union(table(spark, SF_SMALL, "documents").select("doc_id", "text").limit(60))
+    by_table = [sorted(((repr(r.doc_id), r.n_known, r.score) for r in lm.score_documents(spark, docs, frequent=n).collect()), key=lambda r: r[:2]) for n in (0, 200, 1_000_000)]
+    for other in by_table[1:]:
+        assert [r[:2] for r in other] == [r[:2] for r in by_table[0]]
+        assert [r[2] for r in other] == pytest.approx([r[2] for r in by_table[0]], rel=1e-6)
