@@ -163,8 +163,8 @@ class Attention:
         n, w = inputs.shape
         x = p["e"][inputs] + p["pos"][:w]
         q, k, v = x @ p["wq"], x @ p["wk"], x @ p["wv"]
-        s = q @ k.transpose(0, 2, 1) / np.sqrt(d)
-        s = np.where(np.tril(np.ones((w, w), bool)), s, -1e9)
+        s = q @ k.transpose(0, 2, 1) * np.float32(d**-0.5)
+        s = np.where(np.tril(np.ones((w, w), bool)), s, np.float32(-1e9))
         a = np.exp(s - s.max(2, keepdims=True))
         a /= a.sum(2, keepdims=True)
         o = a @ v
@@ -179,22 +179,23 @@ class Attention:
         loss = float(-(np.log(np.maximum(picked, 1e-30)) * weight).sum())
         dz = y * weight[..., None]
         np.put_along_axis(dz, kind[..., None], np.take_along_axis(dz, kind[..., None], 2) - weight[..., None], 2)
-        flat = lambda t: t.reshape(n * w, -1)
-        g = {"wc": flat(h).T @ flat(dz), "b": flat(dz).sum(0)}
+        # Summed window by window: products this small stay in one thread.
+        over = lambda a, b: (a.transpose(0, 2, 1) @ b).sum(0)
+        g = {"wc": over(h, dz), "b": dz.sum((0, 1))}
         dh = dz @ p["wc"].T
-        g["wo"] = flat(o).T @ flat(dh)
+        g["wo"] = over(o, dh)
         do = dh @ p["wo"].T
         da = do @ v.transpose(0, 2, 1)
         dv = a.transpose(0, 2, 1) @ do
-        ds = a * (da - (da * a).sum(2, keepdims=True)) / np.sqrt(d)
+        ds = a * (da - (da * a).sum(2, keepdims=True)) * np.float32(d**-0.5)
         dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        g["wq"], g["wk"], g["wv"] = flat(x).T @ flat(dq), flat(x).T @ flat(dk), flat(x).T @ flat(dv)
+        g["wq"], g["wk"], g["wv"] = over(x, dq), over(x, dk), over(x, dv)
         dx = dh + dq @ p["wq"].T + dk @ p["wk"].T + dv @ p["wv"].T
         g["pos"] = np.zeros_like(p["pos"])
         g["pos"][:w] = dx.sum(0)
         ids, place = np.unique(inputs, return_inverse=True)
-        rows = np.zeros((len(ids), d), np.float32)
-        np.add.at(rows, place.ravel(), flat(dx))
+        at = (place.reshape(-1, 1) * d + np.arange(d)).ravel()
+        rows = np.bincount(at, dx.ravel(), len(ids) * d).reshape(-1, d).astype(np.float32)
         return loss, g, (ids, rows)
 
     def step(self, g, sparse, rate: float) -> None:
@@ -206,10 +207,26 @@ class Attention:
         self.state["e"][ids] += rows * rows
         self.p["e"][ids] -= rate * rows / (np.sqrt(self.state["e"][ids]) + 1e-6)
 
-    def fit(self, inputs, targets, mask, *, epochs: int = 3, batch: int = 128, rate: float = 0.08, seed: int = 5) -> list[float]:
-        rng = np.random.default_rng(seed)
-        total = np.bincount(self.kind[targets[mask > 0]], minlength=len(self.p["b"])) + 1.0
+    def begin(self, per_id: np.ndarray) -> None:
+        """The bias of each class from the counts of its ids."""
+        total = np.bincount(self.kind, per_id, len(self.p["b"])) + 1.0
         self.p["b"] = np.log(total / total.sum()).astype(np.float32)
+
+    def rows(self, of: dict) -> np.ndarray:
+        """Parameters (or their states) as one array of rows of ``dim`` numbers, the ids' first."""
+        return np.concatenate([of[k].reshape(-1, self.dim) for k in self.p])
+
+    def load(self, weights: np.ndarray, state: np.ndarray) -> None:
+        """The inverse of ``rows`` for both."""
+        for of, rows in ((self.p, weights), (self.state, state)):
+            at = 0
+            for k in self.p:
+                n = of[k].size // self.dim
+                of[k] = rows[at : at + n].reshape(of[k].shape).astype(np.float32)
+                at += n
+
+    def fit(self, inputs, targets, mask, *, epochs: int = 1, batch: int = 128, rate: float = 0.08, seed: int = 5) -> list[float]:
+        rng = np.random.default_rng(seed)
         losses = []
         for _ in range(epochs):
             order = rng.permutation(len(inputs))

@@ -17,9 +17,17 @@ after the last word.  Two scores are given:
 Corpus statistics cover all training documents and come from Spark
 aggregations: word counts, from them the counts of subword ids (each distinct
 word is cut into subwords once), from these the classes of the model's output
-and the probabilities inside them.  The attention weights alone are fitted to
-a bounded sample: the windows of about ``fit_rows`` documents, at most
-``fit_windows``.
+and the probabilities inside them.
+
+The model is trained on every window of every training document, on the
+executors.  Document clusters (they form the classes) start from about
+``fit_rows`` documents and are moved by k-means rounds over all of them.
+Attention weights start in one task on a share of the documents drawn by hash
+(about ``SEED_IDS`` ids; small tables lie in it whole and are shown several
+times); the other documents are dealt over ``ROUNDS`` rounds.  In a round every
+partition trains on from the same weights, and what the partitions changed is
+averaged, by the windows behind it.  The averages depend a little on how the
+table is cut into partitions; which windows are learned from does not.
 
 Scoring holds a bounded table of frequent words (at most ``frequent``; every
 word that could be a hot key is in it).  The rest of a document's words go
@@ -43,13 +51,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.llm import attention
-from larder.llm.common import LOWER, NOT_SPACE, Chunk, held_out, stored, text_chunks, words_of
+from larder.llm.common import CHUNK_BYTES, LOWER, NOT_SPACE, Chunk, held_out, stored, text_chunks, words_of
 from larder.llm.sentencepiece_codec import MODEL_PATH
 
 BOS, END = 1, 2
 FREQUENT = 300_000
 FIT_ROWS = 1000
-FIT_WINDOWS = 60_000
+SEED_IDS = 1_000_000
+ROUNDS = 4
+CLUSTER_ROUNDS = 3
+#: Ids whose counts tell clusters of documents apart.
+TOP_IDS = 3000
+#: Windows shuffled at once while training.
+BUFFER = 4096
 BATCH = 256
 
 
@@ -150,48 +164,190 @@ def batches(flat: np.ndarray, per_row: np.ndarray, window: int, overlap: int, si
         yield before, flat[at], mask, run[b], at
 
 
-def _fit_windows(train: DataFrame, n_train: int, model, rows: int, limit: int):
-    """(inputs, targets, mask, document) of the windows of a bounded sample of the training documents, on the driver."""
-    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    window = attention.WINDOW
+def _id_runs(train: DataFrame, model, kind: str) -> DataFrame:
+    """(draw, key, ids as bytes) of every training document."""
 
     def cut(batches_in):
         ids = Ids(model.value)
         for batch in batches_in:
             for chunk in text_chunks(batch.column(0)):
                 flat, per_row, _ = ids.runs(chunk)
-                key = np.asarray(batch.column(1).slice(chunk.first, chunk.rows))
-                for before, target, mask, row, _ in batches(flat, per_row, window, attention.OVERLAP):
-                    out = np.concatenate([before, np.where(mask, target, -1)], axis=1).astype("<i4")
-                    yield pa.RecordBatch.from_arrays([pa.array(key[row]), pa.array([r.tobytes() for r in out], pa.binary())], names=["key", "w"])
-
-    picked = train.where(draw < min(1.0, rows / max(1, n_train))).select("text", F.xxhash64("text").alias("key")).dropDuplicates()
-    found = picked.mapInArrow(cut, "key long, w binary").limit(limit).toArrow()
-    found = sorted(zip(found.column("key").to_pylist(), found.column("w").to_pylist(), strict=True))
-    both = np.frombuffer(b"".join([w for _, w in found]), "<i4").reshape(-1, 2 * window)
-    target = both[:, window:]
-    _, document = np.unique(np.array([k for k, _ in found], np.int64), return_inverse=True)
-    return both[:, :window], np.maximum(target, 0), (target >= 0).astype(np.float32), document
-
-
-def fit_model(per_id: np.ndarray, starts_word: np.ndarray, inputs, targets, mask, document) -> attention.Tables:
-    """Classes from the corpus counts of ids, attention weights from the sample."""
-    k = attention.CLUSTERS
-    per_cluster = np.zeros((k, len(per_id)))
-    seen = mask > 0
-    if len(inputs) and document.max() >= 4 * k:
-        top = np.argsort(-per_id, kind="stable")[:3000]
-        column = np.full(len(per_id), -1)
-        column[top] = np.arange(len(top))
-        doc, col = np.broadcast_to(document[:, None], targets.shape)[seen], column[targets[seen]]
-        histograms = np.zeros((document.max() + 1, len(top)), np.float32)
-        np.add.at(histograms, (doc[col >= 0], col[col >= 0]), 1)
-        label = attention.document_clusters(histograms, k)
-        np.add.at(per_cluster, (label[np.broadcast_to(document[:, None], targets.shape)[seen]], targets[seen]), 1)
-    kind, inner, inside = attention.classes_of(per_id, starts_word, per_cluster)
-    net = attention.Attention(len(per_id), kind, inner, inside)
-    if len(inputs):
-        net.fit(inputs, targets, mask, epochs=max(1, min(20, -(-30_000 // len(inputs)))))
+                data = pa.py_buffer(flat.astype(kind))
+                size = np.dtype(kind).itemsize
+                offsets = np.concatenate(([0], np.cumsum(per_row * size)))
+                runs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), chunk.rows, [None, pa.py_buffer(offsets.astype(np.int64)), data]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(chunk.first, chunk.rows) for i in (1, 2)), runs], names=["draw", "key", "ids"])
+
+    key = F.xxhash64("doc_id", "text")
+    draw = F.pmod(key, F.lit(1 << 30)) / float(1 << 30)
+    return train.select("text", draw.alias("draw"), key.alias("key")).mapInArrow(cut, "draw double, key long, ids binary")
+
+
+def _runs(column: pa.Array, kind: str, limit: int = CHUNK_BYTES):
+    """(ids, ids per row) of a column of ``_id_runs``, in chunks."""
+    if not len(column):
+        return
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    first = 0
+    while first < len(column):
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1)
+        flat = np.frombuffer(column.buffers()[2], np.uint8)[offsets[first] : offsets[last]].view(kind).astype(np.int32)
+        yield flat, np.diff(offsets[first : last + 1]) // np.dtype(kind).itemsize
+        first = last
+
+
+def _summed(parts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(slots, sums) of the columns c0.. of all partitions by slot; the driver gets a row a slot."""
+    every = parts.groupBy("slot").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(width)]).toArrow()
+    return every.column("slot").to_numpy(), np.stack([every.column(f"c{i}").to_numpy() for i in range(width)], 1)
+
+
+def _slots(slot: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array(np.ascontiguousarray(values[:, i], np.float64)) for i in range(values.shape[1])]
+    return pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), *columns], names=["slot", *(f"c{i}" for i in range(values.shape[1]))])
+
+
+def _slot_schema(width: int) -> str:
+    return "slot int, " + ", ".join(f"c{i} double" for i in range(width))
+
+
+def _shares(flat: np.ndarray, per_row: np.ndarray, column: np.ndarray, top: int):
+    """Roots of the shares of the top ids in each row, 200 rows at a time."""
+    starts = np.concatenate(([0], np.cumsum(per_row)))
+    for a in range(0, len(per_row), 200):
+        b = min(len(per_row), a + 200)
+        col = column[flat[starts[a] : starts[b]]]
+        row = np.repeat(np.arange(b - a), per_row[a:b])[col >= 0]
+        x = np.bincount(row * top + col[col >= 0], minlength=(b - a) * top).reshape(b - a, top)
+        yield np.sqrt(x / np.maximum(x.sum(1, keepdims=True), 1)).astype(np.float32)
+
+
+def cluster_counts(spark: SparkSession, runs: DataFrame, per_id: np.ndarray, n_train: int, kind: str, fit_rows: int) -> np.ndarray:
+    """(clusters, ids) counts of every training document's ids by its cluster."""
+    k, top = attention.CLUSTERS, min(TOP_IDS, len(per_id))
+    if n_train <= 4 * k:
+        return np.zeros((k, len(per_id)))
+    column = np.full(len(per_id), -1)
+    column[np.argsort(-per_id, kind="stable")[:top]] = np.arange(top)
+
+    def histograms(batches_in):
+        for batch in batches_in:
+            for flat, per_row in _runs(batch.column(0), kind):
+                for x in _shares(flat, per_row, column, top):
+                    yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary())], names=["x"])
+
+    # Where the rounds start: some documents, a row of bounded size each.
+    some = runs.where(F.col("draw") < min(1.0, fit_rows / n_train)).select("ids").mapInArrow(histograms, "x binary").toArrow()
+    some = sorted(set(some.column("x").to_pylist()))
+    if len(some) <= 4 * k:
+        return np.zeros((k, len(per_id)))
+    x = np.frombuffer(b"".join(some), np.float32).reshape(-1, top)
+    label = attention.document_clusters(np.square(x), k)
+    centres = np.array([x[label == j].mean(0) if (label == j).any() else x.mean(0) for j in range(k)])
+
+    def nearest(x, centres):
+        return (x @ centres.T - (centres**2).sum(1) / 2).argmax(1)
+
+    for _ in range(CLUSTER_ROUNDS):
+        sent = spark.sparkContext.broadcast(centres)
+
+        def assign(batches_in, sent=sent):
+            sums, n = np.zeros((top, k)), np.zeros(k)
+            for batch in batches_in:
+                for flat, per_row in _runs(batch.column(0), kind):
+                    for x in _shares(flat, per_row, column, top):
+                        own = nearest(x, sent.value)
+                        n += np.bincount(own, minlength=k)
+                        for j in np.unique(own):
+                            sums[:, j] += x[own == j].sum(0)
+            yield _slots(np.arange(top + 1), np.vstack([sums, n]))
+
+        slot, sums = _summed(runs.select("ids").mapInArrow(assign, _slot_schema(k)), k)
+        sums = sums[np.argsort(slot)]
+        n = sums[-1]
+        centres = np.where(n[:, None] > 0, sums[:-1].T / np.maximum(n, 1)[:, None], centres).astype(np.float32)
+    sent_last = spark.sparkContext.broadcast(centres)
+    size = len(per_id)
+
+    def count(batches_in):
+        out = np.zeros((size, k))
+        for batch in batches_in:
+            for flat, per_row in _runs(batch.column(0), kind):
+                own = np.concatenate([nearest(x, sent_last.value) for x in _shares(flat, per_row, column, top)])
+                out += np.bincount(flat * k + np.repeat(own, per_row), minlength=size * k).reshape(size, k)
+        seen = np.flatnonzero(out.any(1))
+        yield _slots(seen, out[seen])
+
+    slot, counts = _summed(runs.select("ids").mapInArrow(count, _slot_schema(k)), k)
+    per_cluster = np.zeros((k, size))
+    per_cluster[:, slot] = counts.T
+    return per_cluster
+
+
+def train_part(net: attention.Attention, columns, kind: str, epochs: int = 1) -> int:
+    """Train on every window of the columns of ``_id_runs``; the number of windows."""
+    parts, held, shown = [], 0, 0
+
+    def show():
+        nonlocal parts, held, shown
+        net.fit(*(np.concatenate(x) for x in zip(*parts, strict=True)), epochs=epochs, seed=5 + shown)
+        shown, parts, held = shown + held, [], 0
+
+    for ids in columns:
+        for flat, per_row in _runs(ids, kind):
+            for before, target, mask, _, _ in batches(flat, per_row, attention.WINDOW, attention.OVERLAP):
+                parts.append((before, target, mask.astype(np.float32)))
+                held += len(before)
+                if held >= (BUFFER if epochs == 1 else 10 * BUFFER):
+                    show()
+    if held:
+        show()
+    return shown
+
+
+def fit_model(
+    spark: SparkSession, train: DataFrame, n_train: int, model, per_id: np.ndarray, starts_word: np.ndarray, fit_rows: int, seed_ids: int
+) -> attention.Tables:
+    """Classes from the corpus counts of ids and clusters, attention weights from all windows."""
+    kind = "<u2" if len(per_id) <= 1 << 16 else "<i4"
+    runs = stored(spark, _id_runs(train, model, kind), "id_runs")
+    classes = attention.classes_of(per_id, starts_word, cluster_counts(spark, runs, per_id, n_train, kind, fit_rows))
+    net = attention.Attention(len(per_id), *classes)
+    net.begin(per_id)
+    total = int(per_id.sum())
+    share = min(1.0, seed_ids / max(1, total))
+    shown = min(total, seed_ids) / (attention.WINDOW - attention.OVERLAP)
+    epochs = int(max(1, min(20, 30_000 // max(1, shown))))
+    d = net.dim
+
+    def learn(part: DataFrame, epochs: int) -> None:
+        sent = spark.sparkContext.broadcast((classes, net.p, net.state))
+
+        def work(batches_in):
+            classes, p, state = sent.value
+            own = attention.Attention(len(classes[0]), *classes)
+            own.p, own.state = ({k: v.copy() for k, v in x.items()} for x in (p, state))
+            n = train_part(own, (b.column(0) for b in batches_in), kind, epochs)
+            if n:
+                change = np.hstack([own.rows(own.p) - own.rows(p), own.rows(own.state) - own.rows(state)])
+                slot = np.flatnonzero(change.any(1))
+                yield _slots(slot, np.hstack([change[slot] * float(n), np.full((len(slot), 1), float(n))]))
+
+        slot, sums = _summed(part.select("ids").mapInArrow(work, _slot_schema(2 * d + 1)), 2 * d + 1)
+        change = sums[:, :-1] / np.maximum(sums[:, -1:], 1)
+        weights, state = net.rows(net.p), net.rows(net.state)
+        weights[slot] += change[:, :d].astype(np.float32)
+        state[slot] += change[:, d:].astype(np.float32)
+        net.load(weights, state)
+        sent.unpersist()
+
+    if total:
+        # One task for the share of bounded size; its rows in a fixed order.
+        learn(runs.where(F.col("draw") < share).repartition(1).sortWithinPartitions("key"), epochs)
+    for i in range(ROUNDS if share < 1 else 0):
+        low, high = (share + (1 - share) * j / ROUNDS for j in (i, i + 1))
+        mine = F.col("draw") >= low
+        learn(runs.where(mine if i == ROUNDS - 1 else mine & (F.col("draw") < high)), 1)
     return net.tables()
 
 
@@ -220,7 +376,7 @@ def score_documents(
     model_path: str = MODEL_PATH,
     frequent: int = FREQUENT,
     fit_rows: int = FIT_ROWS,
-    fit_windows: int = FIT_WINDOWS,
+    seed_ids: int = SEED_IDS,
 ) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row."""
     with open(model_path, "rb") as file:  # the driver's own file, a few hundred KB
@@ -257,14 +413,14 @@ def score_documents(
     common = words.where(scale >= least).toArrow()
     rare = words.where(scale < least).select("hash", "n")
 
-    # The attention model: classes from all counts, weights from the sample.
+    # The attention model: classes from all counts, weights from all windows.
     id_counts = words.select(F.explode("ids").alias("id"), "n").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     per_id = np.zeros(Ids(model.value).encoder.get_piece_size(), np.int64)
     per_id[id_counts.column("id").to_numpy()] = id_counts.column("n").to_numpy()
     per_id[END] += n_train
     encoder = Ids(model.value).encoder
     starts_word = np.array([i in (BOS, END) or encoder.id_to_piece(i).startswith("\u2581") for i in range(len(per_id))])
-    tables = fit_model(per_id, starts_word, *_fit_windows(train, n_train, model, fit_rows, fit_windows))
+    tables = fit_model(spark, train, n_train, model, per_id, starts_word, fit_rows, seed_ids)
     smooth = float(np.log10(total + kinds + 1.0))
     end_log = float(np.log10(n_train + 1.0))
 

@@ -191,3 +191,29 @@ def test_lm_score_uses_every_count(spark, odd_docs):
     for other in by_table[1:]:
         assert [r[:2] for r in other] == [r[:2] for r in by_table[0]]
         assert [r[2] for r in other] == pytest.approx([r[2] for r in by_table[0]], rel=1e-6)
+
+
+def test_lm_trains_on_every_window(spark, monkeypatch):
+    docs = [(i, f"alpha{i % 5} beta gamma " * (1 + i % 7)) for i in range(120)] + [(500, "one long tale of words " * 4000), (501, None), (502, "")]
+    docs = [d for d in docs if zlib.crc32(str(d[0]).encode()) % 7 != 2]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    shown, trained = [], spark.sparkContext.accumulator(0)
+    train = lm.train_part
+
+    def counted(*args, **kwargs):
+        n = train(*args, **kwargs)
+        trained.add(n)
+        return n
+
+    monkeypatch.setattr(lm, "train_part", counted)
+    import sentencepiece
+
+    encoder = sentencepiece.SentencePieceProcessor(model_file=lm.MODEL_PATH)
+    ids = [sum(len(encoder.encode(w)) for w in words_of_text.split()) + 1 for words_of_text in (t or "" for _, t in docs)]
+    step = lm.attention.WINDOW - lm.attention.OVERLAP
+    want = sum(max(1, -(-(n - lm.attention.OVERLAP) // step)) for n in ids)
+    for seed_ids in (10**9, 5000):
+        before = trained.value
+        assert lm.score_documents(spark, df, seed_ids=seed_ids).count() == len(docs)
+        shown.append(trained.value - before)
+    assert shown == [want, want]
