@@ -6,7 +6,8 @@ marker for a word that repeats the one before it, all hashed into ``buckets``
 places.  Each place has a learned vector; the vectors of all features of a
 document are averaged, a softmax layer turns the mean into class
 probabilities.  Vectors and layer are trained by numpy stochastic gradient
-descent with a linearly falling rate.
+descent with a linearly falling rate.  The layer's bias holds the odds of the
+labels: training uses those of its sample, scoring those of all labelled rows.
 
 Training is fitted to a bounded sample: about ``per_class`` labelled rows of
 each class (ids are drawn by a hash, repeated texts count once); features of a sampled text are counted over the whole text on the
@@ -125,7 +126,7 @@ def train(bags, labels: np.ndarray, *, buckets: int, dim: int, epochs: int, rate
 
 
 def sample_bags(texts: DataFrame, marks: DataFrame, *, per_class: int, buckets: int):
-    """(bags, labels) of the bounded sample.
+    """(bags, labels, count of each label in ``marks``) of the bounded sample.
 
     ``marks`` (k, label 0/1) is thinned to about ``per_class`` ids of each
     label; these few ids, at most twice as many as asked for, go to the texts
@@ -164,7 +165,7 @@ def sample_bags(texts: DataFrame, marks: DataFrame, *, per_class: int, buckets:
     labels = np.concatenate([np.asarray(x) for x in found.column("label").chunks]) if len(bags) else np.zeros(0, int)
     # The order of rows must not depend on the partitioning.
     order = sorted(range(len(bags)), key=lambda i: (labels[i], bags[i][0].tobytes(), bags[i][1].tobytes()))
-    return [bags[i] for i in order], labels[order].astype(int)
+    return [bags[i] for i in order], labels[order].astype(int), counts
 
 
 def fit(
@@ -184,12 +185,15 @@ def fit(
     marks = labels.select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("label"))
     marks = marks.where(F.col("label").isin(0, 1) & ~held_out("k", 5)).dropDuplicates()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    bags, y = sample_bags(texts, marks, per_class=per_class, buckets=buckets)
+    bags, y, counts = sample_bags(texts, marks, per_class=per_class, buckets=buckets)
     if len(set(y.tolist())) < 2:
         share = np.clip(y.mean() if len(y) else 0.5, 1e-6, 1 - 1e-6)
         return Model(np.zeros((buckets, 2), np.float32), np.log(np.array([1 - share, share])))
     epochs = max(epochs, -(-STEPS // len(bags)))  # small samples are shown more often
-    return train(bags, y, buckets=buckets, dim=dim, epochs=epochs, rate=rate)
+    model = train(bags, y, buckets=buckets, dim=dim, epochs=epochs, rate=rate)
+    # Each label is thinned apart: the odds of the sample give way to those of all labelled rows.
+    share = np.array([counts[0], counts[1]], float) / (counts[0] + counts[1])
+    return Model(model.table, np.log(share).astype(np.float32))
 
 
 def score(

@@ -217,3 +217,14 @@ def test_lm_trains_on_every_window(spark, monkeypatch):
         assert lm.score_documents(spark, df, seed_ids=seed_ids).count() == len(docs)
         shown.append(trained.value - before)
     assert shown == [want, want]
+
+
+def test_quality_prior_does_not_depend_on_the_sample(spark):
+    rows = [(i, f"fine prose number {i} about ships", 1) for i in range(600)] + [(1000 + i, f"spam {i} buy buy now", 0) for i in range(150)]
+    made = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    labels = made.select("doc_id", "quality")
+    seen = [r[2] for r in rows if zlib.crc32(str(r[0]).encode()) % 5 != 0]
+    for per_class in (40, 10_000):
+        model = quality.fit(made.select("doc_id", "text"), labels, per_class=per_class)
+        scored, s, _ = quality.score(spark, spark.createDataFrame([("",)], "text string"), model)
+        assert scored.first()[s] == pytest.approx(np.mean(seen), abs=1e-4)
