@@ -8,9 +8,11 @@ conversation is a ``prefix`` of it and goes (anti-join); of equal
 conversations the one with the smallest id is ``kept`` and the others are
 ``copy``.  Kept conversations are rendered.
 
-A conversation may hold any number of turns: it is worked in blocks of
-``BLOCK`` turn numbers, whose sizes and hashes are chained by a second, small
-window, and is rendered in parts of at most one block.
+A conversation may hold any number of turns, whatever their numbers: distinct
+turns are sorted over all partitions, a turn's position is its place in its
+partition behind the turns of its conversation in the partitions before, and
+blocks are cut every ``BLOCK`` positions.  Their hashes are chained by a second,
+small window; a block is rendered as one part.
 
 Results.  Turns are ordered by (turn, role, text), nulls first, but null turn
 numbers last; repeated rows count once.  Null roles and texts differ from
@@ -33,7 +35,7 @@ BLOCK = 1024
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
-def turn_hashes(convs: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str, block: int = BLOCK) -> DataFrame:
+def turn_hashes(spark: SparkSession, convs: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str, block: int = BLOCK) -> DataFrame:
     """(conv_id, key, block, role, text, position, n_turns, h1, h2) of each distinct turn.
 
     ``h1`` and ``h2`` identify the conversation's first ``position`` turns.
@@ -42,29 +44,25 @@ def turn_hashes(convs: DataFrame, conv_col: str, turn_col: str, role_col: str, t
     rows = convs.select(
         conv.alias("conv_id"),
         F.when(conv.isNull(), "null").otherwise(F.concat(F.lit("c"), conv.cast("string"))).alias("key"),
-        F.coalesce(F.floor(F.col(turn_col) / block), F.lit((1 << 62))).alias("block"),
         F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"),
-    )
-    order = [F.col("turn").asc_nulls_last(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first()]
-    inside = Window.partitionBy("key", "block").orderBy(*order)
-    whole = F.struct("turn", "role", "text")
-    rows = (
-        rows.withColumn("before", F.lag(whole).over(inside))
-        .withColumn("rank", F.row_number().over(inside))
-        .where((F.col("rank") == 1) | ~F.col("before").eqNullSafe(whole))
-        .withColumn("local", F.row_number().over(inside))
-        .drop("before", "rank")
-    )
-    # Sizes of the blocks before, and of the whole conversation.
-    sizes = rows.groupBy("key", "block").agg(F.count(F.lit(1)).alias("size"))
+    ).dropDuplicates(["key", "turn", "role", "text"])
+    order = [F.col("key"), F.col("turn").asc_nulls_last(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first()]
+    # ``place`` rises in this order: the partition's number, then the place in it.
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id())
+    rows = stored(spark, rows, "sorted_turns").withColumn("piece", F.shiftright("place", 33))
+    # Sizes of a conversation's pieces: one row for each partition that holds some of it.
     by_conv = Window.partitionBy("key")
-    earlier = by_conv.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(
-        "key", "block",
-        F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("offset"),
+    pieces = rows.groupBy("key", "piece").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("size"))
+    before = by_conv.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.select(
+        "key", "piece", "first",
+        F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"),
         F.sum("size").over(by_conv).alias("n_turns"),
     )
-    rows = rows.join(sizes, ["key", "block"]).withColumn("position", F.col("local") + F.col("offset"))
+    rows = rows.join(pieces, ["key", "piece"]).withColumn("position", F.col("place") - F.col("first") + F.col("offset") + 1)
+    rows = rows.withColumn("block", F.floor((F.col("position") - 1) / block))
+    inside = Window.partitionBy("key", "block").orderBy("position")
+    earlier = by_conv.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
 
     def value(c):
         return F.coalesce(F.concat(F.lit("v"), F.col(c)), F.lit("n"))
@@ -73,7 +71,7 @@ def turn_hashes(convs: DataFrame, conv_col: str, turn_col: str, role_col: str, t
     term2 = F.xxhash64(F.lit(1), value("text"), "position", value("role"))
     running = inside.rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("x1", F.bit_xor(term1).over(running)).withColumn("x2", F.bit_xor(term2).over(running))
-    ends = rows.groupBy("key", "block").agg(F.max(F.struct("local", "x1", "x2")).alias("e"))
+    ends = rows.groupBy("key", "block").agg(F.max(F.struct("position", "x1", "x2")).alias("e"))
     ends = ends.select(
         "key", "block",
         F.coalesce(F.bit_xor("e.x1").over(earlier), F.lit(0)).alias("y1"),
@@ -112,15 +110,14 @@ def collapse(turns: DataFrame) -> DataFrame:
 
 
 def render(turns: DataFrame, kept: DataFrame) -> DataFrame:
-    """(key, part, text) of the conversations in ``kept``; a part holds at most one block."""
+    """(key, part, text) of the (key, part) in ``kept``; a part is one block."""
     text = F.coalesce("text", F.lit(""))
     for marker in (OPEN, CLOSE):
         text = F.replace(text, F.lit(marker), F.lit(marker[:1] + " " + marker[1:]))
     one = F.concat(F.lit(OPEN), F.coalesce("role", F.lit("unknown")), F.lit("\n"), text, F.lit(CLOSE), F.lit("\n"))
-    rows = turns.join(kept.select("key"), "key", "left_semi").select("key", "block", "position", one.alias("one"))
-    parts = rows.groupBy("key", "block").agg(F.array_sort(F.collect_list(F.struct("position", "one"))).alias("all"))
-    number = F.row_number().over(Window.partitionBy("key").orderBy("block")) - 1
-    return parts.select("key", number.cast("long").alias("part"), F.array_join(F.col("all.one"), "").alias("text"))
+    rows = turns.withColumnRenamed("block", "part").join(kept, ["key", "part"], "left_semi").select("key", "part", "position", one.alias("one"))
+    parts = rows.groupBy("key", "part").agg(F.array_sort(F.collect_list(F.struct("position", "one"))).alias("all"))
+    return parts.select("key", "part", F.array_join(F.col("all.one"), "").alias("text"))
 
 
 def format_chats(
@@ -135,7 +132,9 @@ def format_chats(
 ) -> DataFrame:
     """(conv_id, n_turns, status, kept_in, part, text): kept conversations with
     their rendered parts, the others with null part and text."""
-    turns = stored(spark, turn_hashes(convs, conv_col, turn_col, role_col, text_col, block), "turns")
+    turns = stored(spark, turn_hashes(spark, convs, conv_col, turn_col, role_col, text_col, block), "turns")
     told = stored(spark, collapse(turns), "chats")
-    parts = render(turns, told.where("status = 'kept'"))
-    return told.join(parts, "key", "left").select("conv_id", "n_turns", "status", "kept_in", "part", "text")
+    numbers = F.when(F.col("status") == "kept", F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_turns") - 1) / block)))
+    told = told.select("*", F.explode_outer(numbers).alias("part"))
+    parts = render(turns, told.where("part is not null").select("key", "part"))
+    return told.join(parts, ["key", "part"], "left").select("conv_id", "n_turns", "status", "kept_in", "part", "text")

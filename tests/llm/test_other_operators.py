@@ -118,3 +118,14 @@ def test_pipeline(spark, odd_docs, no_docs):
             out = stage(spark, docs, SF_SMALL)
             assert out.columns == docs.columns and out.count() <= docs.count()
     assert corpus_pipeline.STAGES[-1][1](spark, odd_docs, SF_SMALL).count() == odd_docs.count()
+
+
+def test_chat_blocks_are_bounded_whatever_the_turn_numbers(spark):
+    rows = [(None, None, "user", f"n{i:03}") for i in range(95)] + [(None, 7, "user", f"s{i:03}") for i in range(40)] + [(1, 5000 * i, "user", f"f{i:03}") for i in range(12)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    assert chat.turn_hashes(spark, df, "conv_id", "turn", "role", "text", 10).groupBy("key", "block").count().agg(F.max("count")).first()[0] == 10
+    got = chat.format_chats(spark, df, block=10).collect()
+    for conv, want in ((None, [r[3] for r in rows[95:135] + rows[:95]]), (1, [r[3] for r in rows[135:]])):
+        parts = sorted((r for r in got if r.conv_id == conv), key=lambda r: r.part)
+        assert [r.part for r in parts] == list(range(-(-len(want) // 10))) and all(r.text.count("<|im_start|>") <= 10 for r in parts)
+        assert "".join(r.text for r in parts) == "".join(f"<|im_start|>user\n{x}<|im_end|>\n" for x in want)
