@@ -129,3 +129,31 @@ def test_chat_blocks_are_bounded_whatever_the_turn_numbers(spark):
         parts = sorted((r for r in got if r.conv_id == conv), key=lambda r: r.part)
         assert [r.part for r in parts] == list(range(-(-len(want) // 10))) and all(r.text.count("<|im_start|>") <= 10 for r in parts)
         assert "".join(r.text for r in parts) == "".join(f"<|im_start|>user\n{x}<|im_end|>\n" for x in want)
+
+
+WRAPPED = {
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:""",
+    "BSD": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions
+are met:""",
+    "GPL": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at""",
+}
+
+
+def test_wrapped_notices(spark):
+    rows = [(i, f"Some prose.\n\n{t}\n\nmore", f) for i, (f, t) in enumerate(WRAPPED.items())]
+    rows += [(10 + i, "\n".join(["/*", " *", *(" * " + x for x in t.split("\n")), " *", " */"]), f) for i, (f, t) in enumerate(WRAPPED.items())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, want string")
+    got, _ = licenses.scan(spark, docs, licenses.fit(spark))
+    assert {r.doc_id: r.licences for r in got.collect()} == {r[0]: r[2] for r in rows}
