@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.llm import chat, decontamination, hamming, language, licenses, lm, minhash, quality, sentencepiece_codec, warc
+from larder.llm import chat, decontamination, fingerprints, hamming, language, licenses, lm, minhash, quality, sentencepiece_codec, warc
 from larder.llm.common import table
 from larder.llm.oracles import ORACLES
 
@@ -53,6 +53,10 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.licence_scan(spark, table(spark, sf_dir, "documents"))
 
 
+def _op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.neighbour_digests(spark, table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_classifier": _op1,
     "op2_benchmark_decontamination": _op2,
@@ -64,6 +68,7 @@ QUERIES: dict[str, Query] = {
     "op8_lm_scoring": _op8,
     "op9_chat_formatting": _op9,
     "op10_licence_scan": _op10,
+    "op11_document_fingerprints": _op11,
 }
 
 
