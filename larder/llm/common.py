@@ -176,6 +176,14 @@ def words_of(chunk: Chunk, inside: np.ndarray) -> Words:
     return Words(start, end, row, span_hashes(data, start, end, LOWER))
 
 
+def span_texts(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """Each [start, end) of the bytes as a string column, A-Z lower-cased."""
+    size = end - start
+    offsets = np.concatenate(([0], np.cumsum(size)))
+    place = np.repeat(start - offsets[:-1], size) + np.arange(int(offsets[-1]))
+    return pa.StringArray.from_buffers(len(start), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(LOWER[data[place]]))
+
+
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: np.ndarray) -> np.ndarray:
     """Polynomial hash of each [start, end) of ``fold[data]``, mixed; pieces bound the memory."""
     out = np.zeros(len(start), np.uint64)

@@ -51,7 +51,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.llm import attention
-from larder.llm.common import CHUNK_BYTES, LOWER, NOT_SPACE, Chunk, held_out, stored, text_chunks, words_of
+from larder.llm.common import CHUNK_BYTES, NOT_SPACE, Chunk, held_out, span_texts, stored, text_chunks, words_of
 from larder.llm.sentencepiece_codec import MODEL_PATH
 
 BOS, END = 1, 2
@@ -67,14 +67,6 @@ BUFFER = 4096
 BATCH = 256
 
 
-def _spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
-    """The byte ranges as a string column, A-Z lower-cased."""
-    size = end - start
-    offsets = np.concatenate(([0], np.cumsum(size)))
-    place = np.repeat(start - offsets[:-1], size) + np.arange(int(offsets[-1]))
-    return pa.StringArray.from_buffers(len(start), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(LOWER[data[place]]))
-
-
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(word, n) over all rows; words are counted per chunk before the shuffle."""
 
@@ -84,7 +76,7 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 words = words_of(chunk, NOT_SPACE)
                 _, first, n = np.unique(words.hash, return_index=True, return_counts=True)
                 yield pa.RecordBatch.from_arrays(
-                    [_spans(chunk.data, words.start[first], words.end[first]), pa.array(n.astype(np.int64))], names=["word", "n"]
+                    [span_texts(chunk.data, words.start[first], words.end[first]), pa.array(n.astype(np.int64))], names=["word", "n"]
                 )
 
     parts = docs.select(text_col).mapInArrow(count, "word string, n long")
@@ -135,7 +127,7 @@ class Ids:
         new = np.flatnonzero(self.hashes[at] != keys) if len(self.hashes) else np.arange(len(keys))
         if len(new):
             known = len(self.hashes)
-            self.learn(keys[new], _spans(chunk.data, words.start[first[new]], words.end[first[new]]).to_pylist())
+            self.learn(keys[new], span_texts(chunk.data, words.start[first[new]], words.end[first[new]]).to_pylist())
             if len(self.hashes) < known + len(new):  # the table was emptied: all words are looked up again
                 return self.runs(chunk)
         at = np.searchsorted(self.hashes, keys)[which]

@@ -76,9 +76,45 @@ SELECT c.conv_id, CAST(c.n AS BIGINT) AS n_turns,
 FROM convs c JOIN firsts f ON c.said = f.said LEFT JOIN longer l ON c.said = l.said
 """
 
+# Every phrase of one to three words of a piece, counted by its text.
+OP13 = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+said AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, size, list_slice(w, p, p + size - 1) AS g
+  FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS p
+        FROM said, (SELECT unnest([1, 2, 3]) AS size) WHERE len(w) >= size)),
+f AS (SELECT lang, size, array_to_string(g, ' ') AS phrase, any_value(g) AS g, count(*) AS n FROM grams GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang),
+counts AS (SELECT lang, phrase, any_value(size) AS size, any_value(g) AS g, sum(n) AS n FROM f GROUP BY lang, phrase),
+cand AS (SELECT lang, phrase, size, g, n AS a FROM counts WHERE size > 1 AND n >= 10),
+inside AS (
+  SELECT lang, max(a) AS longer, phrase FROM (
+    SELECT lang, a, array_to_string(list_slice(g, 1, 2), ' ') AS phrase FROM cand WHERE size = 3
+    UNION ALL SELECT lang, a, array_to_string(list_slice(g, 2, 3), ' ') FROM cand WHERE size = 3) GROUP BY lang, phrase),
+kept AS (SELECT c.* FROM cand c LEFT JOIN inside i ON c.size = 2 AND c.lang = i.lang AND c.phrase = i.phrase
+         WHERE i.longer IS NULL OR 100 * i.longer < 50 * c.a),
+cuts AS (
+  SELECT k.lang, k.phrase, k.a, c.k AS cut, x.n AS l, y.n AS r,
+         (CAST(1000000 AS HUGEINT) * CAST(k.a AS HUGEINT) * CAST(k.a AS HUGEINT)) // (CAST(x.n AS HUGEINT) * CAST(y.n AS HUGEINT)) AS score
+  FROM kept k, (SELECT unnest([1, 2]) AS k) c, counts x, counts y
+  WHERE c.k < k.size AND x.lang = k.lang AND y.lang = k.lang
+    AND x.phrase = array_to_string(list_slice(k.g, 1, c.k), ' ') AND y.phrase = array_to_string(list_slice(k.g, c.k + 1, k.size), ' ')),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS nth FROM cuts),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best WHERE nth = 1)
+SELECT r.lang, CAST(r.rank AS BIGINT) AS rank, r.phrase, CAST(r.a AS BIGINT) AS a, CAST(r.l AS BIGINT) AS l, CAST(r.r AS BIGINT) AS r,
+       t.n, CAST(r.score AS BIGINT) AS score
+FROM ranked r JOIN totals t USING (lang) WHERE r.rank <= 2000
+"""
+
 ORACLES: dict[str, str] = {
     "op2_benchmark_decontamination": OP2,
     "op5_warc_archives": OP5,
     "op7_hamming_top_k": OP7,
     "op9_chat_formatting": OP9,
+    "op13_phrase_collocations": OP13,
 }
