@@ -76,6 +76,37 @@ SELECT c.conv_id, CAST(c.n AS BIGINT) AS n_turns,
 FROM convs c JOIN firsts f ON c.said = f.said LEFT JOIN longer l ON c.said = l.said
 """
 
+# Whole rebuilt conversations as lists, a node as a list; CRC-32 bit by bit over the decimal id.
+OP12 = """
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id AS c, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role, text) AS w FROM said GROUP BY conv_id),
+steps AS (
+  SELECT c, w, list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(CAST(c AS VARCHAR), ''),
+           lambda x: list_prepend(CAST(ascii(x) AS BIGINT), list_transform(range(8), lambda y: CAST(-1 AS BIGINT)))))) AS ops FROM own),
+crcs AS (
+  SELECT c, w, xor(list_reduce(ops, lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, CAST(3988292384 AS BIGINT))
+                                                       ELSE a >> 1 END), CAST(4294967295 AS BIGINT)) % 6 AS h FROM steps),
+built AS (
+  SELECT a.c, list_concat(list_slice(coalesce(b.w, []), 1, a.h), list_slice(a.w, a.h + 1, len(a.w))) AS seq
+  FROM crcs a LEFT JOIN own b ON b.c = a.c - a.c % 100),
+prefixes AS (SELECT c, seq, d, list_slice(seq, 1, d) AS node FROM (SELECT c, seq, unnest(range(0, len(seq) + 1)) AS d FROM built)),
+nodes AS (
+  SELECT node, d, min(c) AS conv_id, count(*) AS n,
+         coalesce(string_agg(CASE WHEN len(seq) = d THEN CAST(c AS VARCHAR) END, ',' ORDER BY c), '') AS ends
+  FROM prefixes GROUP BY node, d),
+linked AS (
+  SELECT v.*, p.conv_id AS parent_conv_id, CASE WHEN v.d > 0 THEN (v.n - 1) * length(v.node[v.d].text) ELSE 0 END AS own,
+         (SELECT count(*) FROM nodes k WHERE k.d = v.d + 1 AND list_slice(k.node, 1, v.d) = v.node) AS n_children
+  FROM nodes v LEFT JOIN nodes p ON v.d = p.d + 1 AND list_slice(v.node, 1, v.d - 1) = p.node),
+below AS (
+  SELECT list_slice(node, 1, a) AS node, a AS d, count(*) FILTER (n_children = 0) AS n_leaves, sum(own) AS saved
+  FROM (SELECT node, n_children, own, unnest(range(0, d + 1)) AS a FROM linked) GROUP BY ALL)
+SELECT l.conv_id, CAST(l.d AS BIGINT) AS depth, l.parent_conv_id, CAST(l.n AS BIGINT) AS n_convs, CAST(l.n_children AS BIGINT) AS n_children,
+       CAST(b.n_leaves AS BIGINT) AS n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, sha256(l.ends) AS ends_sha256
+FROM linked l JOIN below b ON l.node = b.node AND l.d = b.d
+"""
+
 # Every phrase of one to three words of a piece, counted by its text.
 OP13 = r"""
 WITH pieces AS (
@@ -116,5 +147,6 @@ ORACLES: dict[str, str] = {
     "op5_warc_archives": OP5,
     "op7_hamming_top_k": OP7,
     "op9_chat_formatting": OP9,
+    "op12_conversation_trie": OP12,
     "op13_phrase_collocations": OP13,
 }

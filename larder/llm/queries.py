@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.llm import chat, decontamination, fingerprints, hamming, language, licenses, lm, minhash, phrases, quality, sentencepiece_codec, warc
+from larder.llm import chat, decontamination, fingerprints, hamming, language, licenses, lm, minhash, phrases, quality, sentencepiece_codec, tries, warc
 from larder.llm.common import table
 from larder.llm.oracles import ORACLES
 
@@ -57,6 +57,10 @@ def _op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.neighbour_digests(spark, table(spark, sf_dir, "documents"))
 
 
+def _op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.rebuilt_trie(spark, table(spark, sf_dir, "conversations"))
+
+
 def _op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(spark, table(spark, sf_dir, "documents"))
 
@@ -73,6 +77,7 @@ QUERIES: dict[str, Query] = {
     "op9_chat_formatting": _op9,
     "op10_licence_scan": _op10,
     "op11_document_fingerprints": _op11,
+    "op12_conversation_trie": _op12,
     "op13_phrase_collocations": _op13,
 }
 
