@@ -29,13 +29,17 @@ null ids are kept; an empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larder.llm.common import stored
+
 MIN_PROBABILITY = 0.5
 MIN_OVERLAP = 0.6
 UNKNOWN = "unknown"
@@ -45,11 +49,12 @@ ANCHORS = (
     "licen[cs]e[sd]?", "licensing", "licensee", "licensor", "copyright", "copyleft", "spdx", "gnu", "gpl", "lgpl", "agpl",
     "apache", "bsd", "mozilla", "mpl", "creative commons", "cc by", "cc0", "redistributions?", "redistribute[ds]?",
     "warranty", "warranties", "sublicense", "unlicense", "public domain",
+    "hereby granted",
 )
 # What every one of them holds: found first, by plain search in the lower-cased text.
 ROOTS = (
     "licen", "copyright", "copyleft", "spdx", "gnu", "gpl", "apache", "bsd", "mozilla", "mpl", "creative commons", "cc by",
-    "cc0", "redistribut", "warrant", "public domain",
+    "cc0", "redistribut", "warrant", "public domain", "hereby granted",
 )
 
 # Short notices by which works name their licence family.
@@ -60,6 +65,12 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "This project is released under the Apache 2.0 license.",
         "SPDX-License-Identifier: Apache-2.0",
     ),
+    "AGPL": (
+        "Licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation.",
+        "Licensed under the AGPL version 3.",
+        "SPDX-License-Identifier: AGPL-3.0-only",
+    ),
     "BSD": (
         "Released under the BSD 3-Clause License.",
         "Licensed under the BSD license.",
@@ -87,12 +98,24 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "To the extent possible under law, the author has dedicated this work to the public domain under CC0.",
         "SPDX-License-Identifier: CC0-1.0",
     ),
+    "EPL-2.0": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.",
+        "Licensed under the Eclipse Public License, version 2.0.",
+        "SPDX-License-Identifier: EPL-2.0",
+    ),
     "GPL": (
+        "Licensed under the GNU General Public License, version 3.",
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.",
         "Licensed under the GPL version 2 or later.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ),
+    "ISC": (
+        "Released under the ISC License.",
+        "Licensed under the ISC license.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "SPDX-License-Identifier: ISC",
+    ),
     "LGPL": (
         "This library is licensed under the GNU Lesser General Public License, version 2.1.",
         "Licensed under the LGPL version 3.",
@@ -110,6 +133,11 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Licensed under the Mozilla Public License 2.0.",
         "SPDX-License-Identifier: MPL-2.0",
     ),
+    "Unlicense": (
+        "Released under the Unlicense.",
+        "This is free and unencumbered software released into the public domain.",
+        "SPDX-License-Identifier: Unlicense",
+    ),
 }
 
 # Sentences with licence words that name no licence (own examples).
@@ -155,6 +183,11 @@ def bigrams_of(words: Column) -> Column:
     return F.array_distinct(F.when(F.size(words) > 1, windows(words, 2)).otherwise(words))
 
 
+def of_words(text: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of the words of ``text``; they are found once, whatever ``body`` does with them."""
+    return F.get(F.transform(F.array(words_of(text)), lambda words: body(words)), F.lit(0))
+
+
 def training_texts(seed: int = 11) -> list[tuple[str, str]]:
     """(family, text): notices, variants with words lost or added, and the unknown class."""
     rng = random.Random(seed)
@@ -184,25 +217,26 @@ def training_texts(seed: int = 11) -> list[tuple[str, str]]:
 
 @dataclass
 class Model:
-    """``weights`` (gram, w array per class), their grams, intercepts, class names, temperature."""
+    """``weights`` (gram, w array per class), intercepts, class names, temperature."""
 
     weights: DataFrame
-    grams: list[str]
     intercepts: list[float]
     classes: list[str]
     temperature: float
 
 
-def fit(spark: SparkSession, *, regularisation: float = 0.0005, iterations: int = 80) -> Model:
-    """Train and calibrate; the material is ``TEMPLATES`` and ``ORDINARY``, a few hundred rows."""
+@lru_cache(maxsize=8)
+def _learned(regularisation: float, iterations: int) -> tuple[list[tuple[str, list[float]]], list[float], list[str], float]:
+    """What ``fit`` learns: the same numbers for the same arguments."""
+    spark = SparkSession.active()
     classes = [*sorted(TEMPLATES), UNKNOWN]
     rows = [(i, classes.index(c), t) for i, (c, t) in enumerate(training_texts())]
     data = spark.createDataFrame(rows, "i int, label int, text string").coalesce(1)
-    data = data.select("i", F.col("label").cast("double").alias("label"), ngrams_of(words_of(F.col("text"))).alias("grams")).cache()
+    data = data.select("i", F.col("label").cast("double").alias("label"), of_words(F.col("text"), ngrams_of).alias("grams")).cache()
     kept_out = F.col("i") % 5 == 0
     count = CountVectorizer(inputCol="grams", outputCol="features", binary=True).fit(data.where(~kept_out))
     learner = LogisticRegression(maxIter=iterations, regParam=regularisation, family="multinomial", standardization=False)
-    model = learner.fit(count.transform(data.where(~kept_out)))
+    model = learner.fit(count.transform(data.where(~kept_out)).select("label", "features"))
     told = model.transform(count.transform(data.where(kept_out))).select("label", "rawPrediction").collect()
     data.unpersist()
     logits = [(int(r["label"]), r["rawPrediction"].toArray()) for r in told]
@@ -218,8 +252,13 @@ def fit(spark: SparkSession, *, regularisation: float = 0.0005, iterations: int
     temperature = min((0.25 * 2 ** (n / 4) for n in range(0, 21)), key=loss)
     matrix = model.coefficientMatrix.toArray()
     table = [(gram, [float(x) for x in matrix[:, j]]) for j, gram in enumerate(count.vocabulary)]
-    weights = spark.createDataFrame(table, "gram string, w array<double>")
-    return Model(weights, [gram for gram, _ in table], [float(x) for x in model.interceptVector], classes, float(temperature))
+    return table, [float(x) for x in model.interceptVector], classes, float(temperature)
+
+
+def fit(spark: SparkSession, *, regularisation: float = 0.0005, iterations: int = 80) -> Model:
+    """Train and calibrate; the material is ``TEMPLATES`` and ``ORDINARY``, a few hundred rows."""
+    table, intercepts, classes, temperature = _learned(regularisation, iterations)
+    return Model(spark.createDataFrame(table, "gram string, w array<double>"), intercepts, classes, temperature)
 
 
 def scan(
@@ -246,35 +285,40 @@ def scan(
     paragraphs = F.concat(F.split(F.col("text"), "\n"), F.transform(runs, lambda p: F.translate(p, "\r\n", "  ")))
     lines = F.when(hinted, F.filter(paragraphs, lambda p: p.rlike(anchors)))
     rows = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", lines.alias("lines"))
-    found = rows.select("row", "doc_id", F.posexplode_outer("lines").alias("paragraph", "text"))
-    words = words_of(F.col("text"))
+    # Written once: rows with their licence paragraphs, or with none.
+    found = stored(spark, rows.select("row", "doc_id", F.posexplode_outer("lines").alias("paragraph", "text")), "licence_paragraphs")
 
-    # Sum the weights of each paragraph's n-grams, class by class.
+    # Sum the weights of each paragraph's n-grams, class by class; the texts stay behind.
     k = len(model.classes)
-    # Only n-grams with a weight are exploded: a run of lines can be a whole text.
-    weighed = F.array_intersect(ngrams_of(words), F.array(*[F.lit(g) for g in model.grams]))
-    grams = found.select("*", F.explode_outer(weighed).alias("gram"))
+    at = ["row", "paragraph"]
+    grams = found.where("paragraph is not null").select(*at, F.explode(of_words(F.col("text"), ngrams_of)).alias("gram"))
     sums = (
-        grams.join(F.broadcast(model.weights), "gram", "left")  # fixed by the templates
-        .groupBy("row", "doc_id", "paragraph", "text")
-        .agg(*[F.sum(F.coalesce(F.col("w")[i], F.lit(0.0))).alias(f"z{i}") for i in range(k)])
+        grams.join(F.broadcast(model.weights), "gram")  # fixed by the templates
+        .groupBy(*at)
+        .agg(*[F.sum(F.col("w")[i]).alias(f"z{i}") for i in range(k)])
     )
     logits = F.array(*[(F.col(f"z{i}") + model.intercepts[i]) / model.temperature for i in range(k)])
-    judged = sums.select("row", "doc_id", "paragraph", "text", logits.alias("z"))
-    judged = judged.withColumn("top", F.array_max("z"))
+    judged = sums.select(*at, logits.alias("z")).withColumn("top", F.array_max("z"))
     judged = judged.select(
-        "row", "doc_id", "paragraph", "text",
+        *at,
         F.element_at(F.array(*[F.lit(c) for c in model.classes]), F.array_position("z", F.col("top")).cast("int")).alias("best"),
         (1 / F.aggregate("z", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))).alias("probability"),
     )
-    family = F.when((F.col("best") != UNKNOWN) & (F.col("probability") >= min_probability), F.col("best")).otherwise(UNKNOWN)
+    # A paragraph without any n-gram of the model names no licence.
+    judged = found.join(judged, at, "left").withColumn("probability", F.coalesce("probability", F.lit(0.0)))
+    sure_enough = (F.col("best") != UNKNOWN) & (F.col("probability") >= min_probability)
+    family = F.when(sure_enough, F.col("best")).otherwise(UNKNOWN)
     judged = judged.withColumn("family", F.when(F.col("paragraph").isNotNull(), family))
 
     # Compare with each notice of the predicted family.
     notices = spark.createDataFrame([(f, t) for f, ts in TEMPLATES.items() for t in ts], "family string, notice string")
-    notices = notices.groupBy("family").agg(F.collect_list(bigrams_of(words_of(F.col("notice")))).alias("notices"))
-    own = bigrams_of(words)
-    overlap = F.array_max(F.transform("notices", lambda n: F.size(F.array_intersect(n, own)) / F.size(n)))
+    notices = notices.groupBy("family").agg(F.collect_list(of_words(F.col("notice"), bigrams_of)).alias("notices"))
+    own = F.when(F.col("family") != UNKNOWN, of_words(F.col("text"), bigrams_of))
+
+    def overlap_of(own: Column) -> Column:
+        return F.array_max(F.transform("notices", lambda n: F.size(F.array_intersect(n, own)) / F.size(n)))
+
+    overlap = F.get(F.transform(F.array(own), overlap_of), F.lit(0))
     compared = judged.join(F.broadcast(notices), "family", "left").select(
         "row", "doc_id", "paragraph", "text", "family", "probability", F.coalesce(overlap, F.lit(0.0)).alias("overlap")
     )
