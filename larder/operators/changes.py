@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from larder.operators.rekey import audit_mapping
 from larder.schemas import PRIMARY_KEYS, SCHEMAS, children_of
 from larder.session import ensure_checkpoint_dir
 
@@ -207,10 +208,15 @@ def delete_rows(tables: dict[str, DataFrame], table: str, keys: DataFrame) -> di
 # --- M6: key changes cascade ----------------------------------------------------------------
 
 def rekey_rows(tables: dict[str, DataFrame], table: str, mapping: DataFrame) -> dict[str, DataFrame]:
-    """M6: change primary keys (``mapping``: old_id, new_id); references in
-    child tables follow (ON UPDATE CASCADE)."""
+    """M6: change primary keys (``mapping``: old_id, new_id) at once; references in
+    child tables follow (ON UPDATE CASCADE).
+
+    Changes that would give a key twice are left out; ``rekey.audit_mapping``
+    lists them.  ``rekey.compose_moves`` makes a mapping of moves in sequence.
+    """
     key = PRIMARY_KEYS[table]
-    m = (mapping.select(F.col("old_id").cast("bigint").alias("_old"), F.col("new_id").cast("bigint").alias("_new")).distinct())
+    valid, _ = audit_mapping(tables[table].select(key), mapping)
+    m = valid.select(F.col("old_id").alias("_old"), F.col("new_id").alias("_new"))
     out = dict(tables)
 
     def remap(df: DataFrame, column: str) -> DataFrame:
