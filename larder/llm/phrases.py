@@ -17,9 +17,9 @@ bit table of fixed size tells most of those that do not, before anything is
 shuffled.  It has no misses, so counts stay exact.
 
 Scores are integers: products are decimals of 38 digits, enough for counts
-below 10^16.  The best phrases of a language are cut by a window that Spark
-limits inside each task first, so a language of a third of all rows sends
-``top`` rows a task.
+below 10^16.  The best phrases of a language are cut in ``SHARES`` shares first,
+each by a window that Spark limits inside every task, so a language of a third of
+all rows sends ``top`` rows a share to one task in the end.
 
 Results: see ``collocations``.  A null text has no words, a null language is
 ``und`` (and shares its counts with rows marked ``und``).  Repeated rows count
@@ -52,6 +52,8 @@ HEAD = 65_536
 BITS = 1 << 24
 #: Pairs held before they are counted or sorted.
 HELD = 1 << 20
+#: Shares of a language whose best phrases are found apart.
+SHARES = 16
 #: Words of the broadcast table of frequent words have at most so many characters.
 SHORT = 64
 
@@ -420,8 +422,11 @@ def collocations(
     for size, phrases in candidates.items():
         part = _scored(spark, _kept(phrases, size, candidates, absorbed), size, candidates, short, words)
         out = part if out is None else out.union(part)
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    out = out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    # The best of each share of a language, then the best of these: SHARES * top rows a language in one task.
+    order = (F.desc("score"), F.desc("a"), "phrase")
+    share = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(SHARES))).orderBy(*order)
+    out = out.withColumn("rank", F.row_number().over(share)).where(F.col("rank") <= top)
+    out = out.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     return out.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
