@@ -16,7 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.functions.coerce import cast_key, coerce_date, coerce_quantity, coerce_timestamp, positive_quantity, try_key
+from larder.functions.coerce import (
+    cast_key, coerce_date, coerce_quantity, coerce_timestamp, day_first_of, layout_counts, positive_quantity, try_key,
+)
 from larder.functions.text import clean_address, clean_text, digits_only, strip_title
 from larder.schemas import SCHEMAS
 
@@ -73,21 +75,21 @@ def clean_receivers(raw: DataFrame) -> DataFrame:
     )
 
 
-def clean_listings(raw: DataFrame) -> DataFrame:
+def clean_listings(raw: DataFrame, day_first: bool | Column = False) -> DataFrame:
     """C12 listings: coerce expiry; keep positive numeric quantity; strip and
     title-case the five text columns; drop fully duplicated rows."""
     typed = raw.where(positive_quantity("Quantity", _type(raw, "Quantity"))).select(
         _strict_key(raw, "Food_ID").alias("Food_ID"),
         strip_title("Food_Name").alias("Food_Name"),
         coerce_quantity("Quantity", _type(raw, "Quantity")).alias("Quantity"),
-        coerce_date("Expiry_Date", _type(raw, "Expiry_Date")).alias("Expiry_Date"),
+        coerce_date("Expiry_Date", _type(raw, "Expiry_Date"), day_first).alias("Expiry_Date"),
         _lenient_key(raw, "Provider_ID").alias("Provider_ID"),
         *[strip_title(c).alias(c) for c in LISTING_TITLE_COLUMNS[1:]],
     )
     return _conform(typed.dropDuplicates(), "food_listings")
 
 
-def clean_claims(raw: DataFrame) -> DataFrame:
+def clean_claims(raw: DataFrame, day_first: bool | Column = False) -> DataFrame:
     """C12 claims: coerce Timestamp; strip and title-case Status; drop
     duplicated rows; keep rows whose three IDs are all > 0 and whose
     Timestamp parsed."""
@@ -96,7 +98,7 @@ def clean_claims(raw: DataFrame) -> DataFrame:
         _lenient_key(raw, "Food_ID").alias("Food_ID"),
         _lenient_key(raw, "Receiver_ID").alias("Receiver_ID"),
         strip_title("Status").alias("Status"),
-        coerce_timestamp("Timestamp", _type(raw, "Timestamp")).alias("Timestamp"),
+        coerce_timestamp("Timestamp", _type(raw, "Timestamp"), day_first).alias("Timestamp"),
     )
     valid = (
         (F.col("Claim_ID") > 0) & (F.col("Food_ID") > 0) & (F.col("Receiver_ID") > 0)
@@ -111,11 +113,17 @@ def clean_claims(raw: DataFrame) -> DataFrame:
 DATE_COLUMNS = {"food_listings": "Expiry_Date", "claims": "Timestamp"}
 
 
-def unparsed_dates(raw: DataFrame, table: str) -> DataFrame:
+def column_day_first(raw: DataFrame, table: str) -> Column | bool:
+    """Whether the table's date column, still text, is written day first."""
+    c = DATE_COLUMNS[table]
+    return day_first_of(layout_counts(raw, c)) if isinstance(_type(raw, c), T.StringType) else False
+
+
+def unparsed_dates(raw: DataFrame, table: str, day_first: bool | Column = False) -> DataFrame:
     """Rows of ``raw`` whose date text is present but not a date (C5 makes it
     null, and claims without a timestamp are dropped): for a quarantine."""
     c = DATE_COLUMNS[table]
-    return raw.where(F.col(c).isNotNull() & coerce_timestamp(c, _type(raw, c)).isNull())
+    return raw.where(F.col(c).isNotNull() & coerce_timestamp(c, _type(raw, c), day_first).isNull())
 
 
 CLEANERS = {

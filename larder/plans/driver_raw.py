@@ -13,7 +13,7 @@ import os
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.functions.coerce import coerce_date, coerce_timestamp
+from larder.functions.coerce import coerce_date, coerce_timestamp, day_first_of, layout_counts
 from larder.operators import changes as CH
 from larder.operators import clean as CL
 from larder.operators import integrity as IN
@@ -21,7 +21,7 @@ from larder.plans.driver_jobs import st
 from larder.plans.registry import register
 from larder.schemas import FOREIGN_KEYS, LOAD_ORDER, MAX_LENGTHS, PRIMARY_KEYS
 from larder.session import scratch_path
-from larder.sources.csv import read_table_csv, write_csv
+from larder.sources.csv import read_table_csv, read_table_csv_split, write_csv
 from larder.sources.tables import create_schema, load_tables, scan_table
 
 # Layouts that hold a date alone, and those with a time of day (to the second).
@@ -67,6 +67,93 @@ def _layouts(t):
     return text.select("Claim_ID", coerce_date("d").alias("day"), coerce_timestamp("m").alias("moment"))
 
 
+# A column that is written day first; every second value would also read month first.
+DAY_FIRST = ("dd/MM/yyyy", "d-M-yyyy", "dd/MM/yyyy HH:mm:ss", "d/M/yyyy h:mm:ss a", "yyyy-MM-dd")
+
+
+@register(
+    "parse_day_first_column",
+    """SELECT Claim_ID, CASE WHEN Claim_ID % 5 IN (2, 3) THEN Timestamp + to_seconds(Claim_ID % 86400) ELSE Timestamp END AS moment,
+              CAST(Timestamp AS DATE) AS day FROM claims""",
+)
+def _day_first(t):
+    key = F.col("Claim_ID")
+    clock = F.make_dt_interval(secs=(key % 86400).cast("decimal(18,6)"))
+    timed = F.pmod(key, F.lit(5)).isin(2, 3)
+    moment = F.when(timed, F.col("Timestamp") + clock).otherwise(F.col("Timestamp"))
+    text = t.claims.select("Claim_ID", rendered(moment, key, DAY_FIRST).alias("m"), F.date_format("Timestamp", "dd-MM-yyyy").alias("d"))
+    # One layout a column, found from all of it.
+    m, d = (day_first_of(layout_counts(text, c)) for c in ("m", "d"))
+    return text.select("Claim_ID", coerce_timestamp("m", day_first=m).alias("moment"), coerce_date("d", day_first=d).alias("day"))
+
+
+@register(
+    "column_layouts",
+    """SELECT 'day first' AS column_name, count(*) FILTER (day(Timestamp) > 12) AS n_day_first, CAST(0 AS BIGINT) AS n_month_first,
+              count(*) FILTER (day(Timestamp) <= 12) AS n_open, count(*) FILTER (day(Timestamp) > 12) > 0 AS day_first FROM claims
+       UNION ALL
+       SELECT 'month first', CAST(0 AS BIGINT), count(*) FILTER (day(Timestamp) > 12), count(*) FILTER (day(Timestamp) <= 12), false FROM claims""",
+)
+def _column_layouts(t):
+    # Counts of the two halves of each column, added up.
+    out = None
+    for name, layout in (("day first", "dd/MM/yyyy"), ("month first", "MM-dd-yyyy")):
+        text = t.claims.select("Claim_ID", F.date_format("Timestamp", layout).alias("d"))
+        halves = [layout_counts(text.where(F.pmod("Claim_ID", F.lit(2)) == i), "d") for i in (0, 1)]
+        both = halves[0].unionByName(halves[1])
+        one = both.agg(*[F.sum(c).alias(c) for c in both.columns]).select(
+            F.lit(name).alias("column_name"), "*", day_first_of(both).alias("day_first")
+        )
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+# --- A1: lines that do not fit ------------------------------------------------------------
+
+
+def faulty_lines(t) -> tuple[DataFrame, DataFrame]:
+    """Claims as lines of text, of six keys in turn one with a field too many,
+    one without its last and one without its last two fields, one with an open
+    quote, one with a quoted comma; read back as rows and rejects."""
+    turn = F.pmod("Claim_ID", F.lit(6))
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("Claim_ID", "Food_ID", "Receiver_ID", "Status")]
+    head, status, when = F.concat_ws(",", *parts[:3]), parts[3], F.date_format("Timestamp", "yyyy-MM-dd")
+    line = (
+        F.when(turn == 0, F.concat_ws(",", head, status, when, F.lit("more")))
+        .when(turn == 1, F.concat_ws(",", head, status))
+        .when(turn == 2, head)
+        .when(turn == 3, F.concat(head, F.lit(',"'), status, F.lit(","), when))
+        .when(turn == 4, F.concat(head, F.lit(',"'), status, F.lit(', ""so""",'), when))
+        .otherwise(F.concat_ws(",", head, status, when))
+    )
+    path = scratch_path(t.spark, "claim_lines")
+    t.claims.select(line.alias("value")).write.text(path)
+    return read_table_csv_split(t.spark, path, "claims", header=False)
+
+
+@register(
+    "split_lines_rows",
+    """SELECT CAST(Claim_ID AS VARCHAR) AS Claim_ID, CAST(Food_ID AS VARCHAR) AS Food_ID, CAST(Receiver_ID AS VARCHAR) AS Receiver_ID,
+              CASE Claim_ID % 6 WHEN 2 THEN NULL WHEN 4 THEN Status || ', "so"' ELSE Status END AS Status,
+              CASE WHEN Claim_ID % 6 IN (1, 2) THEN NULL ELSE strftime(Timestamp, '%Y-%m-%d') END AS Timestamp
+       FROM claims WHERE Claim_ID % 6 NOT IN (0, 3)""",
+)
+def _split_rows(t):
+    return faulty_lines(t)[0]
+
+
+@register(
+    "split_lines_rejects",
+    """SELECT concat_ws(',', Claim_ID, coalesce(CAST(Food_ID AS VARCHAR), ''), coalesce(CAST(Receiver_ID AS VARCHAR), ''))
+              || CASE WHEN Claim_ID % 6 = 0 THEN ',' || Status || ',' || strftime(Timestamp, '%Y-%m-%d') || ',more'
+                      ELSE ',"' || Status || ',' || strftime(Timestamp, '%Y-%m-%d') END AS line,
+              CASE WHEN Claim_ID % 6 = 0 THEN 'too many fields' ELSE 'open quote' END AS reason
+       FROM claims WHERE Claim_ID % 6 IN (0, 3)""",
+)
+def _split_rejects(t):
+    return faulty_lines(t)[1]
+
+
 # --- C5, C6, C8-C10: raw listings and claims ------------------------------------------------
 
 

@@ -7,7 +7,9 @@ original load had no such step: one bad reference failed the whole insert.
 
 Quarantined rows are written next to the tables (``_quarantine/<table>``),
 with a ``reason`` column, instead of failing the load.  Raw rows whose date text
-is no date are written as they are to ``_quarantine/<table>_dates``.
+is no date are written as they are to ``_quarantine/<table>_dates``, lines that do
+not fit the table to ``_quarantine/<table>_lines``.  Whether a date column is
+written day first is found from the whole column before it is parsed.
 """
 
 from __future__ import annotations
@@ -17,10 +19,10 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.operators.clean import CLEANERS, DATE_COLUMNS, unparsed_dates
+from larder.operators.clean import CLEANERS, DATE_COLUMNS, column_day_first, unparsed_dates
 from larder.schemas import LOAD_ORDER, PRIMARY_KEYS, parents_of
 from larder.session import ensure_checkpoint_dir
-from larder.sources.csv import read_table_csv
+from larder.sources.csv import read_table_csv_split
 from larder.sources.tables import write_version
 
 # --- fixed values: raw file name of each table ---------------------------------
@@ -76,11 +78,17 @@ def load_from_csv(spark: SparkSession, csv_dir: str, root: str) -> dict[str, Dat
     ensure_checkpoint_dir(spark)
     loaded: dict[str, DataFrame] = {}
     for table in LOAD_ORDER:
-        raw = read_table_csv(spark, os.path.join(csv_dir, RAW_FILES[table]), table)
+        # The file is parsed once; what follows reads the checkpointed rows.
+        raw, lines = read_table_csv_split(spark, os.path.join(csv_dir, RAW_FILES[table]), table)
+        lines.write.mode("overwrite").parquet(os.path.join(root, "_quarantine", f"{table}_lines"))
         if table in DATE_COLUMNS:
-            unparsed_dates(raw, table).write.mode("overwrite").parquet(os.path.join(root, "_quarantine", f"{table}_dates"))
+            day_first = column_day_first(raw, table)
+            unparsed_dates(raw, table, day_first).write.mode("overwrite").parquet(os.path.join(root, "_quarantine", f"{table}_dates"))
+            raw = CLEANERS[table](raw, day_first)
+        else:
+            raw = CLEANERS[table](raw)
         # Cleaned once; the audits, the quarantine and the table read the copy.
-        clean = CLEANERS[table](raw).checkpoint(eager=True)
+        clean = raw.checkpoint(eager=True)
         good, dup = split_duplicate_keys(clean, table)
         good, dangling = split_dangling(good, table, loaded)
         good = good.checkpoint(eager=True)

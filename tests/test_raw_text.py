@@ -4,10 +4,10 @@ import datetime as dt
 
 import pytest
 from conftest import SF_SMALL
-from larder.functions.coerce import coerce_timestamp
+from larder.functions.coerce import coerce_timestamp, day_first_of, layout_counts
 from larder.operators import clean as CL
 from larder.operators import metrics as M
-from larder.sources.csv import read_table_csv
+from larder.sources.csv import read_table_csv, read_table_csv_split
 from larder.sources.driver import DriverTables
 from larder.sources.tables import new_rows_only
 
@@ -82,3 +82,82 @@ def test_adapter_plans(spark):
     assert "SortAggregate" not in plan(t.claims)  # the first line is hash-aggregated
     cleaned = CL.clean_listings(t.food_listings)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(p_size,0)" in cleaned
+
+
+DAY_FIRST = {
+    "25/05/2025": dt.datetime(2025, 5, 25),
+    "03/05/2025": dt.datetime(2025, 5, 3),
+    "3-5-2025 10:00": dt.datetime(2025, 5, 3, 10, 0),
+    "3/5/2025 12:05 AM": dt.datetime(2025, 5, 3, 0, 5),
+    "05/25/2025": None,
+    "2025-03-05": DAY,
+    "Mar 5, 2025": DAY,
+    "20250305": DAY,
+    "x/y/z": None,
+    "": None,
+    None: None,
+}
+
+
+def test_a_column_has_one_layout(spark):
+    df = spark.createDataFrame([(k,) for k in DAY_FIRST], "s string")
+    # Two values demand day first, one demands month first: the column is day first.
+    counts = layout_counts(df, "s")
+    assert counts.collect()[0].asDict() == {"n_day_first": 1, "n_month_first": 1, "n_open": 3}
+    more = df.unionByName(spark.createDataFrame([("31/12/2024",)], "s string"))
+    one = day_first_of(layout_counts(more, "s"))
+    got = {r.s: r.t for r in df.select("s", coerce_timestamp("s", day_first=one).alias("t")).collect()}
+    assert got == DAY_FIRST
+    # A tie and a column without evidence are read month first; counts of parts add up.
+    for frame in (df, df.where("s = '03/05/2025'"), df.limit(0)):
+        row = frame.sparkSession.range(1).select(day_first_of(layout_counts(frame, "s")).alias("d")).first()
+        assert row.d is False
+    parts = layout_counts(more, "s").unionByName(layout_counts(df.where("s = '25/05/2025'"), "s"))
+    assert spark.range(1).select(day_first_of(parts).alias("d")).first().d is True
+
+
+def test_claims_of_a_day_first_file(spark, tmp_path):
+    (tmp_path / "c.csv").write_text("Claim_ID,Food_ID,Receiver_ID,Status,Timestamp\n1,2,3,ok,03/05/2025\n2,2,3,ok,25/05/2025 10:00\n3,2,3,ok,05/25/2025\n4,2,3,ok,26/05/2025\n")
+    raw = read_table_csv(spark, str(tmp_path / "c.csv"), "claims")
+    one = CL.column_day_first(raw, "claims")
+    got = {r.Claim_ID: r.Timestamp for r in CL.clean_claims(raw, one).collect()}
+    assert got == {1: dt.datetime(2025, 5, 3), 2: dt.datetime(2025, 5, 25, 10), 4: dt.datetime(2025, 5, 26)}
+    assert [r.Timestamp for r in CL.unparsed_dates(raw, "claims", one).collect()] == ["05/25/2025"]
+
+
+LINES = '''1,2,3,ok,2025-01-01
+2,2,3,ok
+3,2
+4,2,3,ok,2025-01-01,more
+5,2,3,"ok,2025-01-01
+6,2,3,"o, ""k\"\"",2025-01-01
+7,2,3,"a" b "c",2025-01-01,x
+
+8,,NA,,
+'''
+
+
+def test_lines_that_do_not_fit_are_set_aside(spark, tmp_path):
+    (tmp_path / "c.csv").write_text("Claim_ID,Food_ID,Receiver_ID,Status,Timestamp\n" + LINES)
+    rows, rejects = read_table_csv_split(spark, str(tmp_path / "c.csv"), "claims")
+    got = {r.Claim_ID: tuple(r)[1:] for r in rows.collect()}
+    assert got == {
+        "1": ("2", "3", "ok", "2025-01-01"), "2": ("2", "3", "ok", None), "3": ("2", None, None, None),
+        "6": ("2", "3", 'o, "k"', "2025-01-01"), "8": (None, None, None, None),
+    }
+    lost = {r.line: r.reason for r in rejects.collect()}
+    assert lost == {
+        "4,2,3,ok,2025-01-01,more": "too many fields", '5,2,3,"ok,2025-01-01': "open quote", '7,2,3,"a" b "c",2025-01-01,x': "too many fields",
+    }
+    # Fitting lines give the same either way; the columns may stand in another order.
+    (tmp_path / "d.csv").write_text("Status,Timestamp,Claim_ID,Receiver_ID,Food_ID,Extra\nok,2025-01-01,1,3,2,z\n")
+    same, none = read_table_csv_split(spark, str(tmp_path / "d.csv"), "claims")
+    assert same.collect() == read_table_csv(spark, str(tmp_path / "d.csv"), "claims").collect() and none.count() == 0
+
+
+def test_split_records_over_lines(spark, tmp_path):
+    (tmp_path / "p.csv").write_text('Provider_ID,Name,Type,Address,City,Contact\n1,a,b,"street 1\ntown",c,1\n2,a,b\n3,a,b,"x",c,1,9\n')
+    rows, rejects = read_table_csv_split(spark, str(tmp_path / "p.csv"), "providers")
+    got = {r.Provider_ID: (r.Address, r.City) for r in rows.collect()}
+    assert got == {"1": ("street 1\ntown", "c"), "2": (None, None)}
+    assert [tuple(r) for r in rejects.collect()] == [('3,a,b,"x",c,1,9', "too many fields")]
