@@ -46,7 +46,7 @@ def register(name: str, oracle: str | None):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     # Importing the query modules fills REGISTRY.
-    from larder.plans import driver_batches, driver_panels, driver_queries, driver_raw  # noqa: F401
+    from larder.plans import driver_audits, driver_batches, driver_panels, driver_queries, driver_raw  # noqa: F401
 
     def bind(q: Query):
         return lambda spark, sf_dir: q.build(DriverTables(spark, sf_dir))
@@ -55,6 +55,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from larder.plans import driver_batches, driver_panels, driver_queries, driver_raw  # noqa: F401
+    from larder.plans import driver_audits, driver_batches, driver_panels, driver_queries, driver_raw  # noqa: F401
 
     return {name: ORACLE_VIEWS_SQL + q.oracle for name, q in REGISTRY.items() if q.oracle is not None}
