@@ -2,8 +2,10 @@
 
 Mapping (see FIXTURES.md section 3):
 
-* providers     <- supplier (+ nation, region): ID, name, region as Type, nation as City
-* receivers     <- customer (+ nation): ID, name, market segment as Type, nation as City
+* providers     <- supplier (+ nation, region): ID, name, region as Type, nation as City,
+  Address and Contact made of the key
+* receivers     <- customer (+ nation): ID, name, market segment as Type, nation as City,
+  Contact made of the key
 * food_listings <- part + its first lineitem (least (orderkey, linenumber,
   suppkey, shipdate)): supplier is the provider, ship date the expiry
 * claims        <- orders + its first lineitem (least (linenumber, partkey,
@@ -44,6 +46,20 @@ def _nation_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("n_nationkey", "n_name", "r_name")
 
 
+def contact(key: str):
+    """A phone number made of the key; every seventh party has none."""
+    k = F.col(key).cast("bigint")
+    number = F.concat(F.lit("+"), (k % 90 + 10).cast("string"), F.lit(" (555) "), F.lpad((k % 100000).cast("string"), 5, "0"), F.lit("-x"))
+    return F.when(k % 7 != 0, number)
+
+
+def address(key: str, city: str):
+    """A street address of two lines with stray spaces; every fifth provider has none."""
+    k = F.col(key).cast("bigint")
+    text = F.concat(F.lit("  No. "), k.cast("string"), F.lit(",\n Main  Street\t"), F.coalesce(F.col(city), F.lit("?")))
+    return F.when(k % 5 != 0, text)
+
+
 def providers(spark: SparkSession, sf_dir: str) -> DataFrame:
     supplier = read_driver(spark, sf_dir, "supplier")
     geo = _nation_region(spark, sf_dir)
@@ -51,9 +67,9 @@ def providers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("s_suppkey").cast("bigint").alias("Provider_ID"),
         F.col("s_name").alias("Name"),
         F.col("r_name").alias("Type"),
-        F.lit(None).cast("string").alias("Address"),
+        address("s_suppkey", "n_name").alias("Address"),
         F.col("n_name").alias("City"),
-        F.lit(None).cast("string").alias("Contact"),
+        contact("s_suppkey").alias("Contact"),
     )
 
 
@@ -65,7 +81,7 @@ def receivers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("c_name").alias("Name"),
         F.col("c_mktsegment").alias("Type"),
         F.col("n_name").alias("City"),
-        F.lit(None).cast("string").alias("Contact"),
+        contact("c_custkey").alias("Contact"),
     )
 
 
@@ -202,14 +218,20 @@ class DriverTables:
 ORACLE_VIEWS_SQL = """
 WITH providers AS (
   SELECT CAST(s.s_suppkey AS BIGINT) AS Provider_ID, s.s_name AS Name, r.r_name AS Type,
-         CAST(NULL AS VARCHAR) AS Address, n.n_name AS City, CAST(NULL AS VARCHAR) AS Contact
+         CASE WHEN s.s_suppkey % 5 <> 0 THEN
+           '  No. ' || CAST(s.s_suppkey AS VARCHAR) || ',' || chr(10) || ' Main  Street' || chr(9) || coalesce(n.n_name, '?') END AS Address,
+         n.n_name AS City,
+         CASE WHEN s.s_suppkey % 7 <> 0 THEN
+           '+' || CAST(s.s_suppkey % 90 + 10 AS VARCHAR) || ' (555) ' || lpad(CAST(s.s_suppkey % 100000 AS VARCHAR), 5, '0') || '-x' END AS Contact
   FROM supplier s
   LEFT JOIN nation n ON s.s_nationkey = n.n_nationkey
   LEFT JOIN region r ON n.n_regionkey = r.r_regionkey
 ),
 receivers AS (
   SELECT CAST(c.c_custkey AS BIGINT) AS Receiver_ID, c.c_name AS Name, c.c_mktsegment AS Type,
-         n.n_name AS City, CAST(NULL AS VARCHAR) AS Contact
+         n.n_name AS City,
+         CASE WHEN c.c_custkey % 7 <> 0 THEN
+           '+' || CAST(c.c_custkey % 90 + 10 AS VARCHAR) || ' (555) ' || lpad(CAST(c.c_custkey % 100000 AS VARCHAR), 5, '0') || '-x' END AS Contact
   FROM customer c LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey
 ),
 part_first AS (
