@@ -19,8 +19,8 @@ from larder.operators import clean as CL
 from larder.operators import integrity as IN
 from larder.plans.driver_jobs import st
 from larder.plans.registry import register
-from larder.schemas import FOREIGN_KEYS, LOAD_ORDER, MAX_LENGTHS, PRIMARY_KEYS
-from larder.session import scratch_path
+from larder.schemas import FOREIGN_KEYS, LOAD_ORDER, MAX_LENGTHS, PRIMARY_KEYS, SCHEMAS
+from larder.session import ensure_checkpoint_dir, scratch_path
 from larder.sources.csv import read_table_csv, read_table_csv_split, write_csv
 from larder.sources.tables import create_schema, load_tables, scan_table
 
@@ -385,10 +385,15 @@ def _export(t):
     return through_csv(odd, "receivers")
 
 
+def row_text(columns: list[str]) -> str:
+    """SQL of a row as one text, the same in both engines."""
+    return "concat_ws('|', " + ", ".join(f"coalesce(CAST({c} AS {{text}}), '-')" for c in columns) + ")"
+
+
 @register(
     "load_reload_tables",
     " UNION ALL ".join(
-        f"SELECT '{tb}' AS table_name, COUNT(*) AS n_rows, COUNT(DISTINCT {k}) AS n_keys, CAST(SUM({k}) AS BIGINT) AS key_sum FROM {tb}"
+        f"SELECT '{tb}' AS table_name, {k} AS key_value, {row_text(SCHEMAS[tb].names).format(text='VARCHAR')} AS row_text FROM {tb}"
         for tb, k in PRIMARY_KEYS.items()
     ),
 )
@@ -405,9 +410,13 @@ def _load(t):
     load_tables(spark, tables, name)
     out = None
     for n in LOAD_ORDER:
-        k = PRIMARY_KEYS[n]
-        one = scan_table(spark, f"{name}.{n}").select(F.lit(n).alias("table_name"), F.col(k).alias("k")).groupBy("table_name").agg(
-            F.count(F.lit(1)).alias("n_rows"), F.countDistinct("k").alias("n_keys"), F.sum("k").alias("key_sum")
+        one = scan_table(spark, f"{name}.{n}").select(
+            F.lit(n).alias("table_name"), F.col(PRIMARY_KEYS[n]).alias("key_value"),
+            F.expr(row_text(SCHEMAS[n].names).format(text="STRING")).alias("row_text"),
         )
         out = one if out is None else out.unionByName(one)
+    ensure_checkpoint_dir(spark)
+    out = out.checkpoint(eager=True)
+    # The database was for this load only; its tables' files lie in the scratch folder.
+    spark.sql(f"DROP DATABASE {name} CASCADE")
     return out

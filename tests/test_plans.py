@@ -36,3 +36,17 @@ def test_search_sql_binds_parameters(spark):
     out = run_query(spark, sql, {"name": "%supplier#%", "city": "%nation_1%"}, {"larder_providers": t.providers})
     ids = [r.Provider_ID for r in out.collect()]
     assert ids == sorted(ids, reverse=True) and len(ids) > 0
+
+
+def test_views_of_the_caller_are_left_alone(spark):
+    spark.range(3).createOrReplaceTempView("providers")
+    t = DriverTables(spark, SF_SMALL)
+    out = run_query(spark, "SELECT count(*) AS n FROM providers p JOIN receivers r ON p.City = r.City WHERE p.City <> :c", {"c": "x"}, {"providers": t.providers, "receivers": t.receivers})
+    assert spark.table("providers").count() == 3 and not spark.catalog.tableExists("receivers")
+    assert out.first().n == t.providers.join(t.receivers, "City").where("City <> 'x'").count()
+    try:
+        run_query(spark, "SELECT nothing FROM providers", None, {"providers": t.providers})
+    except Exception as error:  # noqa: BLE001
+        assert "nothing" in str(error)
+    assert spark.table("providers").count() == 3
+    spark.catalog.dropTempView("providers")
