@@ -16,9 +16,11 @@ batch rewrites only the buckets that hold an affected row:
    (dynamic partition overwrite; a bucket left empty is overwritten with
    no rows by a static partition overwrite).
 
-Replaying a batch after a failure is safe: updates, deletes and set-null are
-idempotent, and inserts carry IDs fixed from the high-water mark stored for
-the batch before, so a second run finds them present and adds nothing.
+Replaying a batch after a failure: updates, deletes and set-null are idempotent,
+and inserts carry IDs fixed from the high-water mark stored for the batch before,
+so a second run finds them present and adds nothing.  A batch that updates a key
+before it inserts it is the exception (the second run would find the row there to
+update); such batches go through a ledger (``referential.unapplied``).
 """
 
 from __future__ import annotations
