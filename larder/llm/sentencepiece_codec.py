@@ -12,7 +12,7 @@ and ``build`` makes an equivalent ``tokenizers`` pipeline:
 No piece of the usual vocabularies has the marker behind another character.
 If so, a normalised text falls into units (a run of markers and what follows)
 that are encoded and decoded independently, which changes no result: ``Codec``
-hands each distinct unit to the library once per task (up to ``KEPT`` units).  Otherwise, and for
+hands each distinct unit to the library once per task (it forgets them beyond ``KEPT`` bytes).  Otherwise, and for
 models that normalise more than spaces, texts go in whole.
 
 Batches of bounded size are encoded by the library's own threads (``threads``
@@ -46,8 +46,10 @@ from larder.llm.common import SAME, Chunk, extended, free_names, span_hashes, te
 #: Where the public tokenizer files lie (a parameter of every entry point).
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of text encoded at once, and rows decoded at once.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 BATCH_ROWS = 256
+#: Threads of the libraries in a task.
+THREADS = 2
 
 # Fixed values of the model format: kinds of pieces, kinds of models, marker.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -203,6 +205,10 @@ class Known:
         self.count = np.zeros(0, np.int32)
         self.fine = self.equal = np.zeros(0, bool)
 
+    @property
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in vars(self).values())
+
     def missing(self, keys: np.ndarray) -> np.ndarray:
         if not len(self.keys):
             return np.arange(len(keys))
@@ -231,12 +237,13 @@ class Known:
 class Codec:
     """Encodes the rows of a chunk and checks the result."""
 
-    #: Units handed over at once, and units remembered.
-    PART, KEPT = 4096, 2_000_000
+    #: Units handed over at once, and bytes of units remembered.
+    PART, KEPT = 4096, 48 << 20
 
-    def __init__(self, data: bytes, verify: str | None):
+    def __init__(self, data: bytes, verify: str | None, threads: int = 1):
+        self.threads = threads
         self.model = read_model(data)
-        self.whole = build(self.model)
+        self._whole = None
         self.verify = verify
         self.judge = None
         self.known = Known()
@@ -249,6 +256,13 @@ class Codec:
         #: For models that only mark spaces, and whose pieces allow splitting.
         self.units = build(m, whole=False) if plain and splits_safely(m) else None
 
+    @property
+    def whole(self):
+        """The pipeline for whole texts, built when a text needs it."""
+        if self._whole is None:
+            self._whole = build(self.model)
+        return self._whole
+
     def encode(self, chunk: Chunk) -> Coded:
         if self.units is not None and MARK.encode() not in chunk.data.tobytes():
             coded = self._by_units(chunk)
@@ -264,7 +278,7 @@ class Codec:
         texts = self._texts(chunk)
         ids = [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
         back = self.whole.decode_batch(ids, skip_special_tokens=False)
-        equal = [x == y for x, y in zip(ids, self.judge.encode(texts), strict=True)] if self.judge else []
+        equal = [x == y for x, y in zip(ids, self.judge.encode(texts, num_threads=self.threads), strict=True)] if self.judge else []
         offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int64)
         return Coded(
             np.fromiter(chain.from_iterable(ids), np.int32, int(offsets[-1])), offsets,
@@ -282,8 +296,12 @@ class Codec:
             back = self.units.decode_batch(ids, skip_special_tokens=False)
             fine += [x == y for x, y in zip(part, back, strict=True)]
             if self.verify == "units":
-                # As a text of its own a unit gets the prefix that it already has.
-                equal += [x == y for x, y in zip(ids, self.judge.encode([u[1:] for u in part], num_threads=1), strict=True)]
+                # As a text of its own a unit gets the prefix that it already has; an
+                # empty text gets none, so a single space is judged behind a letter.
+                theirs = self.judge.encode([u[1:] for u in part], num_threads=self.threads)
+                if " " in part:
+                    theirs[part.index(" ")] = self.judge.encode("a ")[len(self.judge.encode("a")) :]
+                equal += [x == y for x, y in zip(ids, theirs, strict=True)]
             counts += [len(x) for x in ids]
             flat.append(np.fromiter(chain.from_iterable(ids), np.int32, sum(map(len, ids))))
         text = np.frombuffer(b"".join([raw[a:b] for a, b in spans]), np.uint8)
@@ -302,7 +320,7 @@ class Codec:
         end = np.append(start[1:], len(data))[: len(start)]
         key = span_hashes(data, start, end, SAME)
         keys, first, which = np.unique(key, return_index=True, return_inverse=True)
-        if len(self.known.keys) > self.KEPT:
+        if self.known.nbytes > self.KEPT:
             self.known = Known()
         fresh = self.known.missing(keys)
         if len(fresh):
@@ -328,7 +346,7 @@ class Codec:
 
         parity = every(known.equal) if self.verify == "units" else np.zeros(0, bool)
         if self.verify == "texts":
-            theirs = self.judge.encode(self._texts(chunk))
+            theirs = self.judge.encode(self._texts(chunk), num_threads=self.threads)
             parity = np.array([ids[a:b].tolist() == t for a, b, t in zip(id_offsets[:-1], id_offsets[1:], theirs, strict=True)], bool)
         return Coded(ids, id_offsets, every(known.fine), parity)
 
@@ -339,7 +357,7 @@ def encode(
     *,
     text_col: str = "text",
     model_path: str = MODEL_PATH,
-    threads: int = 1,
+    threads: int = THREADS,
     verify: str | None = "units",
 ) -> tuple[DataFrame, dict[str, str]]:
     """``docs`` with (ids, n_tokens, round_trip, parity); also returns their names.
@@ -356,22 +374,27 @@ def encode(
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
         os.environ["RAYON_NUM_THREADS"] = str(threads)
-        gc.disable()  # millions of small lists, no cycles; ends with the task
-        codec = Codec(sent.value, verify)
-        for batch in batches:
-            for chunk in text_chunks(batch.column(text_col), BATCH_BYTES):
-                coded = codec.encode(chunk)
-                parity = pa.array(coded.parity) if verify else pa.nulls(chunk.rows, pa.bool_())
-                lists = pa.ListArray.from_arrays(pa.array(coded.offsets.astype(np.int32)), pa.array(coded.ids))
-                yield extended(
-                    batch.slice(chunk.first, chunk.rows), list(names.values()),
-                    [lists, pa.array(np.diff(coded.offsets)), pa.array(coded.round_trip), parity],
-                )
+        collecting = gc.isenabled()
+        gc.disable()  # millions of small lists, no cycles
+        try:
+            codec = Codec(sent.value, verify, threads)
+            for batch in batches:
+                for chunk in text_chunks(batch.column(text_col), BATCH_BYTES):
+                    coded = codec.encode(chunk)
+                    parity = pa.array(coded.parity) if verify else pa.nulls(chunk.rows, pa.bool_())
+                    lists = pa.ListArray.from_arrays(pa.array(coded.offsets.astype(np.int32)), pa.array(coded.ids))
+                    yield extended(
+                        batch.slice(chunk.first, chunk.rows), list(names.values()),
+                        [lists, pa.array(np.diff(coded.offsets)), pa.array(coded.round_trip), parity],
+                    )
+        finally:
+            if collecting:  # the worker goes on to other tasks
+                gc.enable()
 
     return docs.mapInArrow(run, schema), names
 
 
-def decode(spark: SparkSession, encoded: DataFrame, *, ids_col: str = "ids", model_path: str = MODEL_PATH, threads: int = 1) -> tuple[DataFrame, str]:
+def decode(spark: SparkSession, encoded: DataFrame, *, ids_col: str = "ids", model_path: str = MODEL_PATH, threads: int = THREADS) -> tuple[DataFrame, str]:
     """``encoded`` with the text of its ids (null ids: null); also returns the column's name."""
     with open(model_path, "rb") as file:
         sent = spark.sparkContext.broadcast(file.read())
