@@ -4,8 +4,8 @@ One head of one layer over ``dim`` numbers per token.  The next token's class
 is predicted by softmax; the id within its class follows the corpus counts.
 Classes are made of ids of one kind (a word's start or not, the cluster of
 documents where the id is at home) and of about equal mass, so a frequent id
-has a class of its own.  All products with the id vectors are tables, so
-scoring gathers rows instead of multiplying.
+has a class of its own.  Products with the id vectors are tables, so scoring
+gathers them.  Arrays of a batch's size are kept from batch to batch.
 """
 
 from __future__ import annotations
@@ -99,47 +99,98 @@ def windows_of(starts: np.ndarray, sizes: np.ndarray, window: int = WINDOW, over
     return starts[run] + first, np.where(k == 0, 0, overlap), length, run
 
 
+#: Multiply-adds up to which BLAS libraries keep a product in the calling thread.  Tasks
+#: have a core each: products that wake other threads cost several times as much.
+ONE_THREAD = 1 << 18
+
+
+def rows_times(x: np.ndarray, m: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+    """``x @ m`` of many rows, in products of at most ``ONE_THREAD``."""
+    if out is None:
+        out = np.empty((len(x), m.shape[1]), np.float32)
+    step = max(1, ONE_THREAD // m.size)
+    for a in range(0, len(x), step):
+        np.matmul(x[a : a + step], m, out=out[a : a + step])
+    return out
+
+
+def sum_of_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``a.T @ b`` of many rows, in products of at most ``ONE_THREAD``."""
+    out = np.zeros((a.shape[1], b.shape[1]), np.float32)
+    step = max(1, ONE_THREAD // out.size)
+    for i in range(0, len(a), step):
+        out += a[i : i + step].T @ b[i : i + step]
+    return out
+
+
+def _masked_softmax(q: np.ndarray, k: np.ndarray, out: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Causal attention shares of (n, w, d) queries and keys, in ``out``."""
+    np.matmul(q, k.transpose(0, 2, 1), out=out)
+    np.minimum(out, 60.0, out=out)
+    np.exp(out, out=out)
+    out *= mask
+    out /= out.sum(2, keepdims=True)
+    return out
+
+
+class Buffers:
+    """Arrays of the size of a batch, kept from batch to batch."""
+
+    def __init__(self):
+        self.held: dict[tuple, np.ndarray] = {}
+
+    def get(self, name: str, *shape: int) -> np.ndarray:
+        if self.held.get(name) is None or self.held[name].shape != shape:
+            self.held[name] = np.empty(shape, np.float32)
+        return self.held[name]
+
+    def mask(self, w: int) -> np.ndarray:
+        if self.held.get("mask") is None or len(self.held["mask"]) != w:
+            self.held["mask"] = np.tril(np.ones((w, w), np.float32))
+        return self.held["mask"]
+
+
 @dataclass
 class Tables:
-    """What scoring needs; see ``Attention.tables``."""
-
-    q: np.ndarray
-    k: np.ndarray
-    v: np.ndarray
-    out: np.ndarray
-    pq: np.ndarray
-    pk: np.ndarray
-    pv: np.ndarray
-    pout: np.ndarray
-    mix: np.ndarray
+    """What scoring needs; see ``Attention.tables``.
+
+    ``rows`` and ``places``: embedding, query, key and value of each id and of
+    each place in a window, side by side; ``last``: from (attended values,
+    embedding) to the classes.
+    """
+
+    rows: np.ndarray
+    places: np.ndarray
+    last: np.ndarray
+    bias: np.ndarray
     kind: np.ndarray
     inner: np.ndarray
     inside: int
 
+    def __post_init__(self):
+        self._buffers = Buffers()
+
     def log_probabilities(self, inputs: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """ln P(target) and ln P(a word starts) at each place of (batch, window)
         inputs; places after a window's end hold any ids and are to be left out
         by the caller."""
         n, w = inputs.shape
-        q = self.q[inputs] + self.pq[:w]
-        k = self.k[inputs] + self.pk[:w]
-        v = self.v[inputs] + self.pv[:w]
-        scores = q @ k.transpose(0, 2, 1)
-        np.minimum(scores, 60.0, out=scores)
-        np.exp(scores, out=scores)
-        scores *= np.tril(np.ones((w, w), np.float32))
-        total = scores.sum(2, keepdims=True)
-        o = (scores @ v) / np.maximum(total, 1e-30)
-        z = (o.reshape(n * w, -1) @ self.mix).reshape(n, w, -1)
-        z += self.out[inputs]
-        z += self.pout[:w]
-        kind = self.kind[targets]
-        picked = np.take_along_axis(z, kind[..., None], 2)[..., 0]
+        d, c, buffers = self.rows.shape[1] // 4, len(self.bias), self._buffers
+        x = np.take(self.rows, inputs.ravel(), 0, out=buffers.get("x", n * w, 4 * d), mode="clip").reshape(n, w, 4 * d)
+        x += self.places[:w]
+        a = _masked_softmax(x[..., d : 2 * d], x[..., 2 * d : 3 * d], buffers.get("a", n, w, w), buffers.mask(w))
+        # The attended values take the place of the queries, next to the embedding.
+        np.matmul(a, x[..., 3 * d :], out=x[..., d : 2 * d])
+        z = rows_times(x.reshape(n * w, -1)[:, : 2 * d], self.last, buffers.get("z", n * w, c))
+        z += self.bias
         np.minimum(z, 80.0, out=z)
+        goal = targets.ravel()
+        picked = z.reshape(-1)[np.arange(n * w) * c + self.kind[goal]]
         np.exp(z, out=z)
-        begin = z[..., self.inside :].sum(2)
-        every = np.log(np.maximum(z[..., : self.inside].sum(2) + begin, 1e-30))
-        return np.minimum(picked, 80.0) - every + self.inner[targets], np.log(np.maximum(begin, 1e-30)) - every
+        begin = z[:, self.inside :].sum(1)
+        every = np.log(np.maximum(z[:, : self.inside].sum(1) + begin, 1e-30))
+        own = picked - every + self.inner[goal]
+        return own.reshape(n, w), (np.log(np.maximum(begin, 1e-30)) - every).reshape(n, w)
 
 
 class Attention:
@@ -156,47 +207,55 @@ class Attention:
             "wc": normal(dim, n_classes, scale=dim**-0.5), "b": np.zeros(n_classes, np.float32),
         }
         self.state = {k: np.zeros_like(v) for k, v in self.p.items()}
+        self.buffers = Buffers()
 
     def loss_and_gradients(self, inputs, targets, mask):
-        """Mean negative ln P(class) over the masked places, and its gradients."""
-        p, d = self.p, self.dim
+        """Mean negative ln P(class) over the masked places, and its gradients.
+
+        Products run over the places of all windows, sums over ids over sorted places.
+        """
+        p, d, buffers = self.p, self.dim, self.buffers
         n, w = inputs.shape
-        x = p["e"][inputs] + p["pos"][:w]
-        q, k, v = x @ p["wq"], x @ p["wk"], x @ p["wv"]
-        s = q @ k.transpose(0, 2, 1) * np.float32(d**-0.5)
-        s = np.where(np.tril(np.ones((w, w), bool)), s, np.float32(-1e9))
-        a = np.exp(s - s.max(2, keepdims=True))
-        a /= a.sum(2, keepdims=True)
-        o = a @ v
-        h = x + o @ p["wo"]
-        z = h @ p["wc"] + p["b"]
-        z -= z.max(2, keepdims=True)
-        y = np.exp(z)
-        y /= y.sum(2, keepdims=True)
-        kind = self.kind[targets]
-        picked = np.take_along_axis(y, kind[..., None], 2)[..., 0]
-        weight = mask / mask.sum()
-        loss = float(-(np.log(np.maximum(picked, 1e-30)) * weight).sum())
-        dz = y * weight[..., None]
-        np.put_along_axis(dz, kind[..., None], np.take_along_axis(dz, kind[..., None], 2) - weight[..., None], 2)
-        # Summed window by window: products this small stay in one thread.
-        over = lambda a, b: (a.transpose(0, 2, 1) @ b).sum(0)
-        g = {"wc": over(h, dz), "b": dz.sum((0, 1))}
-        dh = dz @ p["wc"].T
-        g["wo"] = over(o, dh)
-        do = dh @ p["wo"].T
-        da = do @ v.transpose(0, 2, 1)
-        dv = a.transpose(0, 2, 1) @ do
-        ds = a * (da - (da * a).sum(2, keepdims=True)) * np.float32(d**-0.5)
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        g["wq"], g["wk"], g["wv"] = over(x, dq), over(x, dk), over(x, dv)
-        dx = dh + dq @ p["wq"].T + dk @ p["wk"].T + dv @ p["wv"].T
+        flat = inputs.ravel()
+        r = np.float32(d**-0.5)
+        x = np.take(p["e"], flat, 0, out=buffers.get("x", n * w, d), mode="clip")
+        x.reshape(n, w, d)[...] += p["pos"][:w]
+        q, k, v = (rows_times(x, m).reshape(n, w, d) for m in (p["wq"] * r, p["wk"], p["wv"]))
+        a = _masked_softmax(q, k, buffers.get("a", n, w, w), buffers.mask(w))
+        o = np.matmul(a, v).reshape(n * w, d)
+        h = rows_times(o, p["wo"], buffers.get("h", n * w, d))
+        h += x
+        c = len(p["b"])
+        z = rows_times(h, p["wc"], buffers.get("z", n * w, c))
+        z += p["b"]
+        np.minimum(z, 80.0, out=z)
+        np.exp(z, out=z)
+        total = z.sum(1)
+        at = np.arange(n * w) * c + self.kind[targets.ravel()]
+        weight = (mask / mask.sum()).ravel()
+        y = z.reshape(-1)
+        loss = float(-(np.log(np.maximum(y[at] / total, 1e-30)) * weight).sum())
+        z *= (weight / total)[:, None]
+        y[at] -= weight
+        g = {"wc": sum_of_products(h, z), "b": z.sum(0)}
+        dx = rows_times(z, p["wc"].T)
+        g["wo"] = sum_of_products(o, dx)
+        do = rows_times(dx, p["wo"].T).reshape(n, w, d)
+        ds = np.matmul(do, v.transpose(0, 2, 1), out=buffers.get("ds", n, w, w))
+        dv = (a.transpose(0, 2, 1) @ do).reshape(n * w, d)
+        ds -= np.einsum("nij,nij->ni", ds, a)[..., None]
+        ds *= a
+        dq, dk = np.matmul(ds, k).reshape(n * w, d), np.matmul(ds.transpose(0, 2, 1), q).reshape(n * w, d)
+        dq *= r
+        g["wq"], g["wk"], g["wv"] = (sum_of_products(x, y) for y in (dq, dk, dv))
+        for part, m in ((dq, "wq"), (dk, "wk"), (dv, "wv")):
+            dx += rows_times(part, p[m].T)
         g["pos"] = np.zeros_like(p["pos"])
-        g["pos"][:w] = dx.sum(0)
-        ids, place = np.unique(inputs, return_inverse=True)
-        at = (place.reshape(-1, 1) * d + np.arange(d)).ravel()
-        rows = np.bincount(at, dx.ravel(), len(ids) * d).reshape(-1, d).astype(np.float32)
-        return loss, g, (ids, rows)
+        g["pos"][:w] = dx.reshape(n, w, d).sum(0)
+        order = np.argsort(flat, kind="stable")
+        ids = flat[order]
+        first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+        return loss, g, (ids[first], np.add.reduceat(dx[order], first, axis=0))
 
     def step(self, g, sparse, rate: float) -> None:
         """AdaGrad: stochastic gradient descent with a rate per parameter."""
@@ -240,8 +299,5 @@ class Attention:
     def tables(self) -> Tables:
         p, r = self.p, np.float32(self.dim**-0.5)
         f = lambda t: np.ascontiguousarray(t, np.float32)
-        return Tables(
-            f(p["e"] @ p["wq"] * r), f(p["e"] @ p["wk"]), f(p["e"] @ p["wv"]), f(p["e"] @ p["wc"] + p["b"]),
-            f(p["pos"] @ p["wq"] * r), f(p["pos"] @ p["wk"]), f(p["pos"] @ p["wv"]), f(p["pos"] @ p["wc"]),
-            f(p["wo"] @ p["wc"]), self.kind, self.inner, self.inside,
-        )
+        rows, places = (np.hstack([t, t @ p["wq"] * r, t @ p["wk"], t @ p["wv"]]) for t in (p["e"], p["pos"]))
+        return Tables(f(rows), f(places), f(np.vstack([p["wc"], p["wo"] @ p["wc"]])), f(p["b"]), self.kind, self.inner, self.inside)

@@ -45,6 +45,8 @@ no rows; other columns are not read.
 
 from __future__ import annotations
 
+from dataclasses import fields
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -235,44 +237,44 @@ def cluster_counts(spark: SparkSession, runs: DataFrame, per_id: np.ndarray, n_t
         return np.zeros((k, len(per_id)))
     x = np.frombuffer(b"".join(some), np.float32).reshape(-1, top)
     label = attention.document_clusters(np.square(x), k)
-    centres = np.array([x[label == j].mean(0) if (label == j).any() else x.mean(0) for j in range(k)])
+    centres = np.array([x[label == j].mean(0) if (label == j).any() else x.mean(0) for j in range(k)], np.float32)
 
     def nearest(x, centres):
-        return (x @ centres.T - (centres**2).sum(1) / 2).argmax(1)
+        return (attention.rows_times(x, centres.T) - (centres**2).sum(1) / 2).argmax(1)
 
-    for _ in range(CLUSTER_ROUNDS):
+    size = len(per_id)
+    # The last round counts ids by cluster instead of moving the centres once more.
+    for last in [False] * (CLUSTER_ROUNDS - 1) + [True]:
         sent = spark.sparkContext.broadcast(centres)
 
-        def assign(batches_in, sent=sent):
+        def assign(batches_in, sent=sent, last=last):
             sums, n = np.zeros((top, k)), np.zeros(k)
+            counts = np.zeros(size * k if last else 0)
             for batch in batches_in:
                 for flat, per_row in _runs(batch.column(0), kind):
+                    own = []
                     for x in _shares(flat, per_row, column, top):
-                        own = nearest(x, sent.value)
-                        n += np.bincount(own, minlength=k)
-                        for j in np.unique(own):
-                            sums[:, j] += x[own == j].sum(0)
-            yield _slots(np.arange(top + 1), np.vstack([sums, n]))
+                        own.append(nearest(x, sent.value))
+                        if not last:
+                            n += np.bincount(own[-1], minlength=k)
+                            for j in np.unique(own[-1]):
+                                sums[:, j] += x[own[-1] == j].sum(0)
+                    if last:
+                        counts += np.bincount(flat * k + np.repeat(np.concatenate(own), per_row), minlength=size * k)
+            if last:
+                every = counts.reshape(size, k)
+                seen = np.flatnonzero(every.any(1))
+                yield _slots(seen, every[seen])
+            else:
+                yield _slots(np.arange(top + 1), np.vstack([sums, n]))
 
         slot, sums = _summed(runs.select("ids").mapInArrow(assign, _slot_schema(k)), k)
-        sums = sums[np.argsort(slot)]
-        n = sums[-1]
-        centres = np.where(n[:, None] > 0, sums[:-1].T / np.maximum(n, 1)[:, None], centres).astype(np.float32)
-    sent_last = spark.sparkContext.broadcast(centres)
-    size = len(per_id)
-
-    def count(batches_in):
-        out = np.zeros((size, k))
-        for batch in batches_in:
-            for flat, per_row in _runs(batch.column(0), kind):
-                own = np.concatenate([nearest(x, sent_last.value) for x in _shares(flat, per_row, column, top)])
-                out += np.bincount(flat * k + np.repeat(own, per_row), minlength=size * k).reshape(size, k)
-        seen = np.flatnonzero(out.any(1))
-        yield _slots(seen, out[seen])
-
-    slot, counts = _summed(runs.select("ids").mapInArrow(count, _slot_schema(k)), k)
+        if not last:
+            sums = sums[np.argsort(slot)]
+            n = sums[-1]
+            centres = np.where(n[:, None] > 0, sums[:-1].T / np.maximum(n, 1)[:, None], centres).astype(np.float32)
     per_cluster = np.zeros((k, size))
-    per_cluster[:, slot] = counts.T
+    per_cluster[:, slot] = sums.T
     return per_cluster
 
 
@@ -425,7 +427,8 @@ def score_documents(
     offsets = np.concatenate(([0], np.cumsum(sizes_of[order])))
     flat_ids = np.asarray(taken.flatten(), dtype=np.int32) if table.num_rows else np.zeros(0, np.int32)
     logs = np.log10(table.column("n").to_numpy()[order] + 1.0) if table.num_rows else np.zeros(0)
-    sent = spark.sparkContext.broadcast((hashes[order], offsets, flat_ids, logs, vars(tables)))
+    parts = {f.name: getattr(tables, f.name) for f in fields(tables)}
+    sent = spark.sparkContext.broadcast((hashes[order], offsets, flat_ids, logs, parts))
 
     def judge(batches_in):
         known, starts, ids_of, log_of, parts = sent.value
