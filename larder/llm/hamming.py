@@ -11,8 +11,9 @@ k-th verified distance is covered, so the result is exact, ties included.
 
 Equal codes are one entry of the index (with its k smallest ids) and one
 query, so groups of equal vectors cost nothing extra.  Index and queries are
-dealt by hash into blocks of bounded size; each pair of blocks is one task's
-work, and the k best of every block are merged.
+dealt by hash into blocks.  A task builds the tables of an index block once and
+streams the queries of a query block past them; a query costs what it meets, not
+the block's size.  The k best of every block are merged.
 
 Results: per query k rows by (distance, id), the query itself among them.  Rows
 without an id or a vector take no part; a null component is a 0 bit, as are
@@ -27,15 +28,17 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larder.llm.common import stored
 
 K = 10
-INDEX_BLOCK = 1 << 14
-QUERY_BLOCK = 1 << 11
+INDEX_BLOCK = 1 << 13
+#: An entry of the index is copied once for so many queries.
+QUERY_BLOCK = 1 << 17
+#: Partitions that the pairs of blocks are dealt to, at most.
+MAX_PARTITIONS = 20_000
 #: Queries searched together inside a task.
 BATCH = 128
 
@@ -79,8 +82,8 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
 
 
-def search_block(queries: np.ndarray, codes: np.ndarray, first_id: np.ndarray, k: int):
-    """(query, code, distance) numbers of the k best codes of each query, by (distance, first_id)."""
+def segment_tables(codes: np.ndarray) -> tuple[list[tuple[int, int]], list[tuple[np.ndarray, np.ndarray]]]:
+    """(bit ranges, per range the codes sorted by its value and where each value starts) of a block."""
     n, dims = len(codes), codes.shape[1] * 8
     size = int(np.clip(np.ceil(np.log2(max(n, 2))), 4, 16))
     m = -(-dims // size)
@@ -90,12 +93,25 @@ def search_block(queries: np.ndarray, codes: np.ndarray, first_id: np.ndarray, k
     for value, (a, b) in zip(_segments(codes, cuts), cuts, strict=True):
         order = np.argsort(value, kind="stable")
         tables.append((order, np.searchsorted(value[order], np.arange((1 << (b - a)) + 1))))
+    return cuts, tables
+
+
+def search_block(queries: np.ndarray, codes: np.ndarray, first_id: np.ndarray, k: int, built=None):
+    """(query, code, distance) numbers of the k best codes of each query, by (distance, first_id).
+
+    The work of a query is that of the codes that it meets; ``built`` are the
+    block's ``segment_tables``.
+    """
+    n, dims = len(codes), codes.shape[1] * 8
+    cuts, tables = segment_tables(codes) if built is None else built
+    m = len(cuts)
     out = []
     for at in range(0, len(queries), BATCH):
         part = queries[at : at + BATCH]
         values = _segments(part, cuts)
         far = dims + 1
-        found = np.full((len(part), n), far, np.int32)
+        # Pairs met so far, as query * n + code, sorted, with their distances.
+        met, distance = np.zeros(0, np.int64), np.zeros(0, np.int64)
         counts = np.zeros((len(part), far + 1), np.int64)
         kth = np.full(len(part), far)
         active = np.arange(len(part))
@@ -111,11 +127,16 @@ def search_block(queries: np.ndarray, codes: np.ndarray, first_id: np.ndarray, k
                 if total:
                     ends = np.cumsum(each)
                     code = order[np.repeat(begin.ravel() - (ends - each), each) + np.arange(total)]
-                    query = np.repeat(active, (stop - begin).sum(1))
-                    new = found[query, code] == far
-                    query, code = query[new], code[new]
+                    # A segment's value has one radius: a pair comes up once a segment.
+                    pair = np.sort(np.repeat(active, (stop - begin).sum(1)) * n + code)
+                    place = np.searchsorted(met, pair)
+                    new = np.ones(len(pair), bool)
+                    inside = place < len(met)
+                    new[inside] = met[place[inside]] != pair[inside]
+                    pair, place = pair[new], place[new]
+                    query, code = np.divmod(pair, n)
                     d = _distances(part[query], codes[code])
-                    found[query, code] = d
+                    met, distance = np.insert(met, place, pair), np.insert(distance, place, d)
                     np.add.at(counts, (query, d), 1)
             sums = np.cumsum(counts[active], axis=1)
             enough = sums >= min(k, n)
@@ -123,8 +144,9 @@ def search_block(queries: np.ndarray, codes: np.ndarray, first_id: np.ndarray, k
             active = active[kth[active] > step]  # covered so far: m * radius + j = step
             if not len(active):
                 break
-        query, code = np.nonzero(found <= np.minimum(kth, dims)[:, None])
-        d = found[query, code]
+        query, code = np.divmod(met, n)
+        near = distance <= np.minimum(kth, dims)[query]
+        query, code, d = query[near], code[near], distance[near]
         rank = np.lexsort((first_id[code], d, query))
         query, code, d = query[rank], code[rank], d[rank]
         place = np.arange(len(query)) - np.searchsorted(query, query)
@@ -178,20 +200,42 @@ def top_k(
         "code", F.lit(0).cast("long").alias("first_id"), F.lit(True).alias("asked"),
     )
 
-    def search(table: pa.Table) -> pa.Table:
-        mark = table.column("asked")
-        entries, queries = table.filter(pc.invert(mark)), table.filter(mark)
-        if not entries.num_rows or not queries.num_rows:
-            nothing = pa.array([], pa.binary())
-            return pa.table({"asked_code": nothing, "code": nothing, "first_id": pa.array([], pa.int64()), "distance": pa.array([], pa.int64())})
-        codes, wanted = _matrix(entries.column("code"), width), _matrix(queries.column("code"), width)
-        q, c, d = search_block(wanted, codes, entries.column("first_id").to_numpy(), k)
-        return pa.table({
-            "asked_code": queries.column("code").take(pa.array(q)), "code": entries.column("code").take(pa.array(c)),
-            "first_id": entries.column("first_id").take(pa.array(c)), "distance": pa.array(d.astype(np.int64)),
-        })
-
-    near = left.union(right).groupBy("block", "part").applyInArrow(search, "asked_code binary, code binary, first_id long, distance long")
+    names = ["asked_code", "code", "first_id", "distance"]
+
+    def search(batches):
+        """Blocks one after the other, each block's entries before its queries."""
+        at = None
+        entries: list[pa.Table] = []
+        built = codes = first_id = column = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            key = np.stack([table.column("block").to_numpy(), table.column("part").to_numpy(), table.column("asked").to_numpy(zero_copy_only=False)], 1)
+            edge = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(1)))
+            for first, last in zip(edge, np.append(edge[1:], len(key)), strict=True):
+                rows = table.slice(int(first), int(last - first))
+                here, asked = tuple(key[first, :2].tolist()), bool(key[first, 2])
+                if here != at:
+                    at, entries, built = here, [], None
+                if not asked:
+                    entries.append(rows)
+                    continue
+                if not entries:
+                    continue
+                if built is None:
+                    block = pa.concat_tables(entries).combine_chunks()
+                    column, first_id = block.column("code"), block.column("first_id").to_numpy()
+                    codes = _matrix(column, width)
+                    built = segment_tables(codes)
+                q, c, d = search_block(_matrix(rows.column("code"), width), codes, first_id, k, built)
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column("code").combine_chunks().take(pa.array(q)), column.combine_chunks().take(pa.array(c)), pa.array(first_id[c]), pa.array(d.astype(np.int64))],
+                    names=names,
+                )
+
+    # A fixed number of partitions: pairs of blocks are few rows but much work,
+    # so the run time must not join them by their size.
+    dealt = left.union(right).repartition(min(4 * blocks * parts, MAX_PARTITIONS), "block", "part").sortWithinPartitions("block", "part", "asked")
+    near = dealt.mapInArrow(search, "asked_code binary, code binary, first_id long, distance long")
     best = Window.partitionBy("asked_code").orderBy("distance", "first_id")
     near = near.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k)
     expanded = near.join(index, "code").select("asked_code", "distance", F.explode("ids").alias("neighbor_id"))
