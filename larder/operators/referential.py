@@ -24,7 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -103,7 +103,13 @@ def _fold(events: DataFrame, fks: list[ForeignKey]) -> DataFrame:
     schema = T.StructType([T.StructField(c, t) for c, t in fields + [(f"r{i}", T.LongType()) for i in range(n)]])
     names = schema.names
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    # Arrow keeps whole numbers whole where a column holds nulls.
+    kinds = [pa.string() if c in ("kind", "reason") else pa.int64() for c in names]
+
+    def told(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = begin = None
         values: list = [None] * n
         until: list = [None] * n
@@ -129,9 +135,8 @@ def _fold(events: DataFrame, fks: list[ForeignKey]) -> DataFrame:
                 out.append((key, "alive", begin, None, None, None, *values))
 
         for batch in batches:
-            for row in batch.itertuples(index=False, name=None):
-                k, seq, op = row[:3]
-                refs = [tuple(None if pd.isna(x) else x for x in row[3 + 4 * i : 7 + 4 * i]) for i in range(n)]
+            for k, seq, op, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                refs = [rest[4 * i : 4 * i + 4] for i in range(n)]
                 if k != key:
                     if key is not None:
                         close()
@@ -154,15 +159,15 @@ def _fold(events: DataFrame, fks: list[ForeignKey]) -> DataFrame:
                         if a:
                             values[i], until[i] = value, end
             if out:
-                yield pd.DataFrame(out, columns=names).astype({c: "Int64" for c in names if c not in ("kind", "reason")})
+                yield told(out)
                 out = []
         if key is not None:
             close()
         if out:
-            yield pd.DataFrame(out, columns=names).astype({c: "Int64" for c in names if c not in ("kind", "reason")})
+            yield told(out)
 
     flat = ["key", "seq", "op", *[f"{c}{i}" for i in range(n) for c in ("r", "a", "ok", "u")]]
-    return events.select(*flat).repartition("key").sortWithinPartitions("key", "seq").mapInPandas(run, schema)
+    return events.select(*flat).repartition("key").sortWithinPartitions("key", "seq").mapInArrow(run, schema)
 
 
 def apply_batch(
