@@ -141,8 +141,11 @@ def _put_together(s: Column, day_first: bool) -> Column:
     number = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
 
     def made(a: Column) -> Column:
-        def part(i: int, kind: str = "int") -> Column:
-            return F.get(a, F.lit(i)).try_cast(kind)
+        # Inside a lambda a failed cast costs an exception, also of a ``try_cast``: text that
+        # is empty or no number is null before it.
+        def part(i: int) -> Column:
+            text = F.get(a, F.lit(i))
+            return F.when((text != "") & _all_digits(text), text).try_cast("int")
 
         month = F.coalesce(part(1), F.try_element_at(number, F.lower(F.get(a, F.lit(1)))))
         half = F.lower(F.get(a, F.lit(6)))
@@ -150,7 +153,7 @@ def _put_together(s: Column, day_first: bool) -> Column:
         hour = F.when(half == "", hour).when(
             hour.between(1, 12), hour % 12 + F.when(half == "pm", 12).otherwise(0)
         )
-        second = F.coalesce(part(5, "decimal(16,6)"), F.lit(0).cast("decimal(16,6)"))
+        second = F.coalesce(F.nullif(F.get(a, F.lit(5)), F.lit("")).try_cast("decimal(16,6)"), F.lit(0).cast("decimal(16,6)"))
         return F.when(
             second < 60, F.try_make_timestamp_ntz(part(0), month, part(2), hour, F.coalesce(part(4), F.lit(0)), second)
         )
@@ -167,7 +170,7 @@ def layout_counts(df: DataFrame, column: str) -> DataFrame:
     kept and merged (``sum`` by name) as more of the column arrives.
     """
     text = F.trim(F.col(column).cast("string"))
-    first, second = (F.regexp_extract(text, _YEAR_LAST, i).try_cast("int") for i in (1, 3))
+    first, second = (F.nullif(F.regexp_extract(text, _YEAR_LAST, i), F.lit("")).try_cast("int") for i in (1, 3))
     return df.select(first.alias("a"), second.alias("b")).agg(
         F.count_if((F.col("a") > 12) & F.col("b").between(1, 12)).alias("n_day_first"),
         F.count_if((F.col("b") > 12) & F.col("a").between(1, 12)).alias("n_month_first"),

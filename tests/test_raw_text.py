@@ -1,6 +1,7 @@
 """Date layouts, strict CSV lines, and plans of the driver adapter."""
 
 import datetime as dt
+import re
 
 import pytest
 from conftest import SF_SMALL
@@ -161,3 +162,12 @@ def test_split_records_over_lines(spark, tmp_path):
     got = {r.Provider_ID: (r.Address, r.City) for r in rows.collect()}
     assert got == {"1": ("street 1\ntown", "c"), "2": (None, None)}
     assert [tuple(r) for r in rejects.collect()] == [('3,a,b,"x",c,1,9', "too many fields")]
+
+
+def test_empty_parts_of_a_date_reach_no_cast(spark):
+    # A failed cast inside a lambda costs an exception a value, also where it gives null.
+    text = spark.createDataFrame([("5/3/2025",)], "s string")
+    for day_first in (False, day_first_of(layout_counts(text, "s"))):
+        plan = text.select(coerce_timestamp("s", day_first=day_first).alias("t"))._jdf.queryExecution().optimizedPlan().toString()
+        casts = [plan[max(0, m.start() - 5) : m.start()] for m in re.finditer(r"try_cast\(lambda ", plan)]
+        assert casts and set(casts) <= {"THEN ", "else "}
