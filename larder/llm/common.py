@@ -8,8 +8,10 @@ unless an operator needs one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +48,32 @@ def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Freed memory of this process goes back to the system.
+
+    Workers live on from task to task and from stage to stage; what the C library
+    and Arrow keep for later use would add up over the workers of an executor.
+    """
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not the GNU C library
+        pass
+
+
+def tidy(task: Callable) -> Callable:
+    """A ``mapInArrow`` function that gives freed memory back when its task ends."""
+
+    @wraps(task)
+    def run(batches):
+        try:
+            yield from task(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def free_names(df: DataFrame, *wanted: str) -> list[str]:
     """Column names that do not clash (in any case) with those of ``df``."""
     taken, out = {c.lower() for c in df.columns}, []

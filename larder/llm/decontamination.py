@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.llm.common import columns, extended, free_names, stored, with_fields
+from larder.llm.common import columns, extended, free_names, stored, tidy, with_fields
 
 WINDOW = 13
 #: A document is contaminated if one word in so many is hit.
@@ -180,7 +180,7 @@ def decontaminate(
                 texts = batch.column(text_col).to_pylist()
                 yield extended(batch, names, as_columns([told(text, *scan(text, *built)) for text in texts]))
 
-        return docs.mapInArrow(judge, schema), at
+        return docs.mapInArrow(tidy(judge), schema), at
 
     # Several automata: a row number ties together what each of them finds.
     (number,) = free_names(docs, "row")
@@ -201,7 +201,7 @@ def decontaminate(
                     names=["hit_row", "ranges", "items"],
                 )
 
-        hits = stored(spark, rows.select(number, text_col).mapInArrow(look, "hit_row long, ranges array<struct<a:int,b:int>>, items array<string>"), "hits")
+        hits = stored(spark, rows.select(number, text_col).mapInArrow(tidy(look), "hit_row long, ranges array<struct<a:int,b:int>>, items array<string>"), "hits")
         every = hits if every is None else every.union(hits)
     # At most a row a part for each document.
     joint = every.groupBy("hit_row").agg(F.flatten(F.collect_list("ranges")).alias("_ranges"), F.flatten(F.collect_list("items")).alias("_items"))
@@ -218,7 +218,7 @@ def decontaminate(
                 out.append(told(text, n, united((r["a"], r["b"]) for r in ranges or []), set(items or [])))
             yield extended(own, names, as_columns(out))
 
-    return both.mapInArrow(unite, schema), at
+    return both.mapInArrow(tidy(unite), schema), at
 
 
 def contamination_digest(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:

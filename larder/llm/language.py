@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.llm.common import held_out, extended, free_names, text_chunks, with_fields
+from larder.llm.common import held_out, extended, free_names, text_chunks, tidy, with_fields
 
 ORDER = 3
 PER_LANGUAGE = 600
@@ -147,7 +147,7 @@ def gram_counts(sample: DataFrame) -> DataFrame:
                     names=["lang", "gram", "n"],
                 )
 
-    counted = sample.select("lang", "text").mapInArrow(count, "lang string, gram long, n long")
+    counted = sample.select("lang", "text").mapInArrow(tidy(count), "lang string, gram long, n long")
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -205,7 +205,7 @@ def identify(
             best = np.where(known, best, len(held.languages))
             yield extended(batch, [pred, score], [pa.array(names[best], pa.string()), pa.array(np.where(known, sure, 0.0))])
 
-    return marked.mapInArrow(judge, schema).drop(letter), pred, score
+    return marked.mapInArrow(tidy(judge), schema).drop(letter), pred, score
 
 
 def language_predictions(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larder.llm.common import ALNUM, columns, free_names, mix, stored, text_chunks, words_of
+from larder.llm.common import ALNUM, columns, free_names, mix, stored, text_chunks, tidy, words_of
 from larder.llm.components import components
 
 RUN = 5
@@ -181,7 +181,7 @@ def signatures(docs: DataFrame, *, bands: int, rows: int, size: int, weights: st
                     names=["node", "bands"],
                 )
 
-    return docs.select("node", "text").mapInArrow(sign, "node long, bands array<long>")
+    return docs.select("node", "text").mapInArrow(tidy(sign), "node long, bands array<long>")
 
 
 def run_sets(docs: DataFrame, *, size: int, weights: str) -> DataFrame:
@@ -208,7 +208,7 @@ def run_sets(docs: DataFrame, *, size: int, weights: str) -> DataFrame:
                     names=["node", "runs", "times", "sketch"],
                 )
 
-    return docs.select("node", "text").mapInArrow(sets, "node long, runs binary, times binary, sketch array<tinyint>")
+    return docs.select("node", "text").mapInArrow(tidy(sets), "node long, runs binary, times binary, sketch array<tinyint>")
 
 
 def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray, weights: str) -> float:
@@ -237,7 +237,7 @@ def accepted(pairs: DataFrame, sets: DataFrame, threshold: float, weights: str)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
 
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "ra", "ta", "rb", "tb")
-    return joined.mapInArrow(judge, "a long, b long")
+    return joined.mapInArrow(tidy(judge), "a long, b long")
 
 
 def near_duplicates(

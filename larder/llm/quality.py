@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larder.llm.common import (
-    NOT_SPACE, Chunk, held_out, extended, free_names, text_chunks, with_fields, words_of,
+    NOT_SPACE, Chunk, held_out, extended, free_names, text_chunks, tidy, with_fields, words_of,
 )
 
 BUCKETS = 1 << 16
@@ -156,7 +156,7 @@ def sample_bags(texts: DataFrame, marks: DataFrame, *, per_class: int, buckets:
                     names=["label", "places", "counts"],
                 )
 
-    found = picked.select("text", "label").mapInArrow(count, "label int, places array<int>, counts array<float>").toArrow()
+    found = picked.select("text", "label").mapInArrow(tidy(count), "label int, places array<int>, counts array<float>").toArrow()
     bags = []
     for piece in found.to_batches():
         p, c = piece.column("places"), piece.column("counts")
@@ -211,7 +211,7 @@ def score(
             s = np.concatenate(parts) if parts else np.zeros(0)
             yield extended(batch, names, [pa.array(s), pa.array((s >= threshold).astype(np.int32))])
 
-    return docs.mapInArrow(judge, schema), *names
+    return docs.mapInArrow(tidy(judge), schema), *names
 
 
 def quality_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:

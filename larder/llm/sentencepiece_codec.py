@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.llm.common import SAME, Chunk, extended, free_names, span_hashes, text_chunks, with_fields
+from larder.llm.common import SAME, Chunk, extended, free_names, span_hashes, text_chunks, tidy, with_fields
 
 #: Where the public tokenizer files lie (a parameter of every entry point).
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
@@ -391,7 +391,7 @@ def encode(
             if collecting:  # the worker goes on to other tasks
                 gc.enable()
 
-    return docs.mapInArrow(run, schema), names
+    return docs.mapInArrow(tidy(run), schema), names
 
 
 def decode(spark: SparkSession, encoded: DataFrame, *, ids_col: str = "ids", model_path: str = MODEL_PATH, threads: int = THREADS) -> tuple[DataFrame, str]:
@@ -412,7 +412,7 @@ def decode(spark: SparkSession, encoded: DataFrame, *, ids_col: str = "ids", mod
                 texts = tokenizer.decode_batch([x or [] for x in ids], skip_special_tokens=False)
                 yield extended(part, [name], [pa.array([None if x is None else t for x, t in zip(ids, texts, strict=True)], pa.string())])
 
-    return encoded.mapInArrow(run, schema), name
+    return encoded.mapInArrow(tidy(run), schema), name
 
 
 def encoded_documents(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
