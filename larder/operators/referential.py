@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from larder.operators.changes import _conform, assign_ids, id_floor, update_rows
 from larder.schemas import LOAD_ORDER, PRIMARY_KEYS, SCHEMAS, ForeignKey, parents_of
-from larder.session import ensure_checkpoint_dir
+from larder.session import ensure_checkpoint_dir, written
 
 #: The ``seq`` of what was there before the batch.
 BEFORE = -(1 << 62)
@@ -54,7 +54,7 @@ def numbered(changes: DataFrame, base: DataFrame, table: str, high_water: DataFr
         sources.append(high_water.select(F.col(high_water.columns[0]).cast("bigint").alias(key)))
     floor = id_floor(*sources, key=key)
     fresh = assign_ids(changes.where(unnamed), base, key, ["seq"], floor).select(*changes.columns)
-    return changes.where(~unnamed).where(F.col(key).isNotNull()).unionByName(fresh).checkpoint(eager=True)
+    return changes.where(~unnamed).where(F.col(key).isNotNull()).unionByName(fresh).transform(written, f"changes_{table}")
 
 
 def _events(base: DataFrame, changes: DataFrame, key: str, fks: list[ForeignKey]) -> DataFrame:
@@ -178,6 +178,9 @@ def apply_batch(
     ``changes``: per table its changes (``op``, ``seq``, the key, ``set``, values);
     ``seq`` orders the changes of all tables.  ``high_water``: per table the
     highest key ever handed out, where deleted keys are not to be used again.
+
+    A table is read by several steps: one that is derived from others costs as
+    many derivations, unless it is written first (``session.written``).
     """
     spark = next(iter(tables.values())).sparkSession
     ensure_checkpoint_dir(spark)
@@ -196,7 +199,7 @@ def apply_batch(
             events = _events(base, told, key, fks)
             for i, fk in enumerate(fks):
                 events = _with_spans(events, i, spans[fk.parent])
-            folded = _fold(events, fks).checkpoint(eager=True)
+            folded = written(_fold(events, fks), f"folded_{table}")
             rejected.append(folded.where("kind = 'rejected'").select(F.lit(table).alias("table_name"), F.col("key").alias("key_value"), "seq", "reason"))
             own = told.select(F.col(key).alias("_own")).distinct()
             rest = rest.join(own, base[key] == own["_own"], "left_anti")
@@ -218,7 +221,7 @@ def apply_batch(
                     *[F.when(F.col("_cleared").isNull(), F.col(c)).alias(c) if c == fk.column else F.col(c) for c in base.columns]
                 )
         if doomed is not None:
-            doomed = doomed.groupBy("key").agg(F.min("end").alias("end")).checkpoint(eager=True)
+            doomed = written(doomed.groupBy("key").agg(F.min("end").alias("end")), f"doomed_{table}")
             rest = rest.join(doomed, rest[key] == doomed["key"], "left_anti")
             fallen = doomed.select("key", F.lit(BEFORE).alias("begin"), "end")
             lives = fallen if lives is None else lives.unionByName(fallen)

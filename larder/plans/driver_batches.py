@@ -13,6 +13,8 @@ from larder.operators import changes as CH
 from larder.operators import referential as RF
 from larder.operators import rekey as RK
 from larder.plans.registry import register
+from larder.session import written
+from larder.sources.driver import DriverTables
 
 #: New keys lie this far above the keys they are made of; phases of a batch further apart.
 N = 10**9
@@ -38,6 +40,14 @@ def exploded(rows: DataFrame, key: str, *choices: tuple[Column, Column]) -> Data
     return rows.select(F.explode(listed).alias("c")).select("c.*").withColumnRenamed("key", key)
 
 
+def once(t) -> DriverTables:
+    """``t`` with listings and claims written once: every step of a batch reads
+    them, and each reading of the adapter's views aggregates all line items."""
+    frames = t.as_dict()
+    listings, claims = (written(frames[n], n) for n in ("food_listings", "claims"))
+    return DriverTables(t.spark, t.sf_dir).use(frames | {"food_listings": listings, "claims": claims})
+
+
 def linked_batch(t) -> dict[str, DataFrame]:
     """Changes of listings (even phases) and of claims on them (odd phases).
 
@@ -94,6 +104,7 @@ _NEW_LISTING = "Food_ID % 5 = 0 AND Food_ID % 15 <> 0 AND Food_ID % 10 <> 0"
         UNION ALL SELECT Claim_ID + {4 * N}, Food_ID, Receiver_ID, 'second', NULL FROM claims WHERE Food_ID % 14 = 3""",
 )
 def _linked_claims(t):
+    t = once(t)
     return RF.apply_batch(t.as_dict(), linked_batch(t))[0]["claims"]
 
 
@@ -104,6 +115,7 @@ def _linked_claims(t):
         UNION ALL SELECT Food_ID + {N}, 'new', Quantity, NULL, Provider_ID, NULL, NULL, NULL, NULL FROM food_listings WHERE {_NEW_LISTING}""",
 )
 def _linked_listings(t):
+    t = once(t)
     return RF.apply_batch(t.as_dict(), linked_batch(t))[0]["food_listings"]
 
 
@@ -123,6 +135,7 @@ _NO_LISTING = "'Food_ID has no food_listings row'"
           UNION ALL SELECT 'claims', Claim_ID, 7, 'key is taken' FROM claims WHERE Claim_ID % 4 = 1 AND NOT {_GONE})""",
 )
 def _linked_rejected(t):
+    t = once(t)
     return RF.apply_batch(t.as_dict(), linked_batch(t))[1]
 
 

@@ -10,6 +10,9 @@ from larder.operators import changes as CH
 from larder.operators import referential as RF
 from larder.operators import rekey as RK
 from larder.schemas import FOREIGN_KEYS, PRIMARY_KEYS, SCHEMAS, parents_of
+from conftest import SF_SMALL
+from larder.plans import driver_batches
+from larder.sources.driver import DriverTables
 
 TABLES = ("providers", "receivers", "food_listings", "claims")
 
@@ -213,3 +216,10 @@ def test_rekeyed_rows_never_share_a_key(spark):
     assert (names[3], names[4], names[1]) == ("p4", "p3", "p1")
     assert out["food_listings"].count() == len(tables["food_listings"])
     assert {r["Food_ID"] for r in out["food_listings"].where("Provider_ID = 3").collect()} == {k for k, r in tables["food_listings"].items() if r["Provider_ID"] == 4}
+
+
+def test_steps_of_a_linked_batch_read_written_tables(spark):
+    t = DriverTables(spark, SF_SMALL)
+    for query in (driver_batches._linked_claims, driver_batches._linked_listings, driver_batches._linked_rejected):
+        plan = query(t)._jdf.queryExecution().optimizedPlan().toString()
+        assert "l_orderkey" not in plan and "l_partkey" not in plan
