@@ -109,28 +109,62 @@ def rows_times(x: np.ndarray, m: np.ndarray, out: np.ndarray | None = None) -> n
     if out is None:
         out = np.empty((len(x), m.shape[1]), np.float32)
     step = max(1, ONE_THREAD // m.size)
-    for a in range(0, len(x), step):
-        np.matmul(x[a : a + step], m, out=out[a : a + step])
+    whole = len(x) // step * step
+    if whole:
+        np.matmul(x[:whole].reshape(-1, step, x.shape[1]), m, out=out[:whole].reshape(-1, step, m.shape[1]))
+    if whole < len(x):
+        np.matmul(x[whole:], m, out=out[whole:])
     return out
 
 
 def sum_of_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """``a.T @ b`` of many rows, in products of at most ``ONE_THREAD``."""
-    out = np.zeros((a.shape[1], b.shape[1]), np.float32)
-    step = max(1, ONE_THREAD // out.size)
-    for i in range(0, len(a), step):
-        out += a[i : i + step].T @ b[i : i + step]
-    return out
+    step = max(1, ONE_THREAD // (a.shape[1] * b.shape[1]))
+    whole = len(a) // step * step
+    # The wider side first: libraries work on its columns some at a time.
+    out = b[whole:].T @ a[whole:]
+    if whole:
+        out += np.matmul(b[:whole].reshape(-1, step, b.shape[1]).transpose(0, 2, 1), a[:whole].reshape(-1, step, a.shape[1])).sum(0)
+    return out.T
 
 
-def _masked_softmax(q: np.ndarray, k: np.ndarray, out: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    """Causal attention shares of (n, w, d) queries and keys, in ``out``."""
-    np.matmul(q, k.transpose(0, 2, 1), out=out)
-    np.minimum(out, 60.0, out=out)
-    np.exp(out, out=out)
-    out *= mask
-    out /= out.sum(2, keepdims=True)
-    return out
+def _exponentials(x: np.ndarray, limit: float | None) -> np.ndarray:
+    """``exp(x)`` in place; a limit keeps it finite."""
+    if limit is not None:
+        np.minimum(x, limit, out=x)
+    with np.errstate(over="ignore"):
+        return np.exp(x, out=x)
+
+
+def _attended(q: np.ndarray, k: np.ndarray, v: np.ndarray, out: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(masked exponentials, in ``out``; their sums of the values) of (n, w, d) queries and keys.
+
+    The last column of the values is 1, so that of the sums is what shares are divided by.
+    """
+    for limit in (None, 60.0):
+        np.matmul(q, k.transpose(0, 2, 1), out=out)
+        _exponentials(out, limit)
+        with np.errstate(invalid="ignore"):  # infinite outside the mask
+            out *= mask
+            sums = np.matmul(out, v)
+        if np.isfinite(sums[..., -1]).all():
+            break
+    return out, sums
+
+
+def _class_masses(x: np.ndarray, m: np.ndarray, out: np.ndarray, groups: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(exp(x @ m), in ``out``; its sums by group of classes; what stood at the places ``at`` before exp)."""
+    for limit in (None, 80.0):
+        rows_times(x, m, out)
+        if limit is not None:
+            np.minimum(out, limit, out=out)
+        picked = out.reshape(-1)[at]
+        _exponentials(out, None)
+        with np.errstate(invalid="ignore"):
+            sums = rows_times(out, groups)
+        if np.isfinite(sums).all():
+            break
+    return out, sums, picked
 
 
 class Buffers:
@@ -139,10 +173,11 @@ class Buffers:
     def __init__(self):
         self.held: dict[tuple, np.ndarray] = {}
 
-    def get(self, name: str, *shape: int) -> np.ndarray:
-        if self.held.get(name) is None or self.held[name].shape != shape:
-            self.held[name] = np.empty(shape, np.float32)
-        return self.held[name]
+    def get(self, name: str, n: int, *shape: int) -> np.ndarray:
+        held = self.held.get((name, *shape))
+        if held is None or len(held) < n:
+            held = self.held[(name, *shape)] = np.empty((n, *shape), np.float32)
+        return held[:n]
 
     def mask(self, w: int) -> np.ndarray:
         if self.held.get("mask") is None or len(self.held["mask"]) != w:
@@ -154,43 +189,44 @@ class Buffers:
 class Tables:
     """What scoring needs; see ``Attention.tables``.
 
-    ``rows`` and ``places``: embedding, query, key and value of each id and of
-    each place in a window, side by side; ``last``: from (attended values,
-    embedding) to the classes.
+    ``rows`` and ``places``: query, embedding, value and a one of each id and of each
+    place in a window, side by side (a place's one is 0); embeddings are the keys,
+    values are added to them.  ``last``: from (embedding, 1) to the classes.
     """
 
     rows: np.ndarray
     places: np.ndarray
     last: np.ndarray
-    bias: np.ndarray
     kind: np.ndarray
     inner: np.ndarray
     inside: int
 
     def __post_init__(self):
         self._buffers = Buffers()
+        starts = np.arange(self.last.shape[1]) >= self.inside
+        self._groups = np.stack([~starts, starts], 1).astype(np.float32)
 
-    def log_probabilities(self, inputs: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def log_probabilities(self, inputs: np.ndarray, targets: np.ndarray, scored: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """ln P(target) and ln P(a word starts) at each place of (batch, window)
-        inputs; places after a window's end hold any ids and are to be left out
-        by the caller."""
+        inputs, or only at the ``scored`` ones, in order; places after a window's
+        end hold any ids and are to be left out by the caller."""
         n, w = inputs.shape
-        d, c, buffers = self.rows.shape[1] // 4, len(self.bias), self._buffers
-        x = np.take(self.rows, inputs.ravel(), 0, out=buffers.get("x", n * w, 4 * d), mode="clip").reshape(n, w, 4 * d)
+        d, c, buffers = len(self.last) - 1, self.last.shape[1], self._buffers
+        x = np.take(self.rows, inputs.ravel(), 0, out=buffers.get("x", n * w, 3 * d + 1), mode="clip").reshape(n, w, -1)
         x += self.places[:w]
-        a = _masked_softmax(x[..., d : 2 * d], x[..., 2 * d : 3 * d], buffers.get("a", n, w, w), buffers.mask(w))
-        # The attended values take the place of the queries, next to the embedding.
-        np.matmul(a, x[..., 3 * d :], out=x[..., d : 2 * d])
-        z = rows_times(x.reshape(n * w, -1)[:, : 2 * d], self.last, buffers.get("z", n * w, c))
-        z += self.bias
-        np.minimum(z, 80.0, out=z)
-        goal = targets.ravel()
-        picked = z.reshape(-1)[np.arange(n * w) * c + self.kind[goal]]
-        np.exp(z, out=z)
-        begin = z[:, self.inside :].sum(1)
-        every = np.log(np.maximum(z[:, : self.inside].sum(1) + begin, 1e-30))
-        own = picked - every + self.inner[goal]
-        return own.reshape(n, w), (np.log(np.maximum(begin, 1e-30)) - every).reshape(n, w)
+        # Places before the first that is scored are only attended to.
+        skip = 0 if scored is None else int(scored.any(0).argmax())
+        _, h = _attended(x[:, skip:, :d], x[..., d : 2 * d], x[..., 2 * d :], buffers.get("a", n, w, w)[:, skip:], buffers.mask(w)[skip:])
+        h /= h[..., d:].copy()
+        h[..., :d] += x[:, skip:, d : 2 * d]
+        h, goal = h.reshape(-1, d + 1), targets.ravel()
+        if scored is not None:
+            h, goal = h[np.flatnonzero(scored[:, skip:])], targets[scored]
+        z = buffers.get("z", n * w, c)[: len(h)]
+        _, mass, picked = _class_masses(h, self.last, z, self._groups, np.arange(len(h)) * c + self.kind[goal])
+        every = np.log(np.maximum(mass[:, 0] + mass[:, 1], 1e-30))
+        own, begin = picked - every + self.inner[goal], np.log(np.maximum(mass[:, 1], 1e-30)) - every
+        return (own.reshape(n, w), begin.reshape(n, w)) if scored is None else (own, begin)
 
 
 class Attention:
@@ -209,53 +245,80 @@ class Attention:
         self.state = {k: np.zeros_like(v) for k, v in self.p.items()}
         self.buffers = Buffers()
 
+    def _products(self) -> tuple[np.ndarray, np.ndarray]:
+        """What a query's embedding is multiplied with before it meets a key's, and
+        what turns embeddings into the values that are added to a place's own."""
+        p = self.p
+        return p["wq"] @ p["wk"].T * np.float32(self.dim**-0.5), p["wv"] @ p["wo"]
+
     def loss_and_gradients(self, inputs, targets, mask):
         """Mean negative ln P(class) over the masked places, and its gradients.
 
-        Products run over the places of all windows, sums over ids over sorted places.
+        Places meet the products of two weights; the gradients of both follow from
+        that of their product.  Products run over the places of all windows, those
+        with the classes over the masked ones; columns of ones give sums and the
+        gradient of the bias.
         """
         p, d, buffers = self.p, self.dim, self.buffers
         n, w = inputs.shape
         flat = inputs.ravel()
-        r = np.float32(d**-0.5)
         x = np.take(p["e"], flat, 0, out=buffers.get("x", n * w, d), mode="clip")
         x.reshape(n, w, d)[...] += p["pos"][:w]
-        q, k, v = (rows_times(x, m).reshape(n, w, d) for m in (p["wq"] * r, p["wk"], p["wv"]))
-        a = _masked_softmax(q, k, buffers.get("a", n, w, w), buffers.mask(w))
-        o = np.matmul(a, v).reshape(n * w, d)
-        h = rows_times(o, p["wo"], buffers.get("h", n * w, d))
-        h += x
+        into = np.hstack(self._products())
+        qv = buffers.get("qv", n * w, 2 * d + 1)
+        rows_times(x, into, qv[:, : 2 * d])
+        qv[:, 2 * d] = 1.0
+        k, qv = x.reshape(n, w, d), qv.reshape(n, w, -1)
+        q, v = qv[..., :d], qv[..., d:]
+        a, sums = _attended(q, k, v, buffers.get("a", n, w, w), buffers.mask(w))
+        sums = sums.reshape(n * w, -1)
+        o = np.divide(sums, sums[:, d:], out=buffers.get("o", n * w, d + 1))
+        places = np.flatnonzero(mask)
+        weight = (mask / mask.sum()).ravel()[places]
+        h = np.take(o, places, 0, out=buffers.get("h", n * w, d + 1)[: len(places)], mode="clip")
+        h[:, :d] += x[places]
         c = len(p["b"])
-        z = rows_times(h, p["wc"], buffers.get("z", n * w, c))
-        z += p["b"]
-        np.minimum(z, 80.0, out=z)
-        np.exp(z, out=z)
-        total = z.sum(1)
-        at = np.arange(n * w) * c + self.kind[targets.ravel()]
-        weight = (mask / mask.sum()).ravel()
-        y = z.reshape(-1)
-        loss = float(-(np.log(np.maximum(y[at] / total, 1e-30)) * weight).sum())
+        at = np.arange(len(places)) * c + self.kind[targets.ravel()[places]]
+        z, total, picked = _class_masses(h, np.vstack([p["wc"], p["b"]]), buffers.get("z", n * w, c)[: len(places)], np.ones((c, 1), np.float32), at)
+        total = total[:, 0]
+        loss = float((np.log(total) - picked) @ weight)
         z *= (weight / total)[:, None]
-        y[at] -= weight
-        g = {"wc": sum_of_products(h, z), "b": z.sum(0)}
-        dx = rows_times(z, p["wc"].T)
-        g["wo"] = sum_of_products(o, dx)
-        do = rows_times(dx, p["wo"].T).reshape(n, w, d)
+        z.reshape(-1)[at] -= weight
+        last = sum_of_products(h, z)
+        g = {"wc": last[:d], "b": last[d]}
+        dx = buffers.get("dx", n * w, d)
+        dx[...] = 0.0
+        dx[places] = rows_times(z, p["wc"].T)
+        do = buffers.get("do", n * w, d + 1)
+        do[:, :d] = dx
+        np.negative(np.einsum("ij,ij->i", dx, o[:, :d]), out=do[:, d])
+        do /= sums[:, d:]
+        do = do.reshape(n, w, -1)
         ds = np.matmul(do, v.transpose(0, 2, 1), out=buffers.get("ds", n, w, w))
-        dv = (a.transpose(0, 2, 1) @ do).reshape(n * w, d)
-        ds -= np.einsum("nij,nij->ni", ds, a)[..., None]
         ds *= a
-        dq, dk = np.matmul(ds, k).reshape(n * w, d), np.matmul(ds.transpose(0, 2, 1), q).reshape(n * w, d)
-        dq *= r
-        g["wq"], g["wk"], g["wv"] = (sum_of_products(x, y) for y in (dq, dk, dv))
-        for part, m in ((dq, "wq"), (dk, "wk"), (dv, "wv")):
-            dx += rows_times(part, p[m].T)
+        back = buffers.get("back", n * w, 2 * d)
+        own = back.reshape(n, w, -1)
+        np.matmul(ds, k, out=own[..., :d])
+        np.matmul(a.transpose(0, 2, 1), do[..., :d], out=own[..., d:])
+        dx += np.matmul(ds.transpose(0, 2, 1), q, out=buffers.get("dk", n, w, d)).reshape(n * w, d)
+        dx += rows_times(back, into.T)
+        met, added = np.hsplit(sum_of_products(x, back), 2)
+        met = met * np.float32(d**-0.5)
+        g["wq"], g["wk"] = met @ p["wk"], met.T @ p["wq"]
+        g["wv"], g["wo"] = added @ p["wo"].T, p["wv"].T @ added
         g["pos"] = np.zeros_like(p["pos"])
         g["pos"][:w] = dx.reshape(n, w, d).sum(0)
-        order = np.argsort(flat, kind="stable")
-        ids = flat[order]
-        first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-        return loss, g, (ids[first], np.add.reduceat(dx[order], first, axis=0))
+        return loss, g, self._by_id(flat, dx)
+
+    def _by_id(self, flat: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids that occur, sums of their rows)."""
+        seen = np.zeros(len(self.kind), bool)
+        seen[flat] = True
+        ids = np.flatnonzero(seen)
+        number = np.empty(len(seen), np.int64)
+        number[ids] = np.arange(len(ids)) * self.dim
+        slot = number[flat][:, None] + np.arange(self.dim)
+        return ids, np.bincount(slot.ravel(), rows.ravel(), len(ids) * self.dim).reshape(-1, self.dim).astype(np.float32)
 
     def step(self, g, sparse, rate: float) -> None:
         """AdaGrad: stochastic gradient descent with a rate per parameter."""
@@ -263,8 +326,9 @@ class Attention:
             self.state[key] += value * value
             self.p[key] -= rate * value / (np.sqrt(self.state[key]) + 1e-6)
         ids, rows = sparse
-        self.state["e"][ids] += rows * rows
-        self.p["e"][ids] -= rate * rows / (np.sqrt(self.state["e"][ids]) + 1e-6)
+        state = self.state["e"][ids] + rows * rows
+        self.state["e"][ids] = state
+        self.p["e"][ids] -= rate * rows / (np.sqrt(state) + 1e-6)
 
     def begin(self, per_id: np.ndarray) -> None:
         """The bias of each class from the counts of its ids."""
@@ -297,7 +361,8 @@ class Attention:
         return losses
 
     def tables(self) -> Tables:
-        p, r = self.p, np.float32(self.dim**-0.5)
+        p, (meet, add) = self.p, self._products()
         f = lambda t: np.ascontiguousarray(t, np.float32)
-        rows, places = (np.hstack([t, t @ p["wq"] * r, t @ p["wk"], t @ p["wv"]]) for t in (p["e"], p["pos"]))
-        return Tables(f(rows), f(places), f(np.vstack([p["wc"], p["wo"] @ p["wc"]])), f(p["b"]), self.kind, self.inner, self.inside)
+        one = lambda t, v: np.full((len(t), 1), v, np.float32)
+        rows, places = (np.hstack([t @ meet, t, t @ add, one(t, v)]) for t, v in ((p["e"], 1), (p["pos"], 0)))
+        return Tables(f(rows), f(places), f(np.vstack([p["wc"], p["b"]])), self.kind, self.inner, self.inside)

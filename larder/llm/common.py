@@ -181,6 +181,8 @@ class Words:
     hash: np.ndarray
     #: Subword ids of each word, where a caller has counted them.
     tokens: np.ndarray | None = None
+    #: Place of each word in a caller's table, or -1.
+    place: np.ndarray | None = None
 
 
 def words_of(chunk: Chunk, inside: np.ndarray) -> Words:

@@ -46,14 +46,16 @@ no rows; other columns are not read.
 from __future__ import annotations
 
 from dataclasses import fields
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.llm import attention
-from larder.llm.common import CHUNK_BYTES, NOT_SPACE, Chunk, held_out, span_texts, stored, text_chunks, words_of
+from larder.llm.common import CHUNK_BYTES, NOT_SPACE, Chunk, Words, held_out, span_texts, stored, text_chunks, words_of
 from larder.llm.sentencepiece_codec import MODEL_PATH
 
 BOS, END = 1, 2
@@ -67,6 +69,8 @@ TOP_IDS = 3000
 #: Windows shuffled at once while training.
 BUFFER = 4096
 BATCH = 256
+#: Windows scored at once; more would not stay in a core's cache.
+SCORED = 128
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -86,7 +90,12 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 class Ids:
-    """Subword ids of words, found by hash: a fixed table and the words met since."""
+    """Subword ids of words, found by hash: a fixed table and the words met since.
+
+    The fixed table's hashes ascend; words are looked for from the first hash that
+    begins with the same bits on.  ``starts`` and ``sizes`` say where the ids of the
+    words of both tables (the fixed one's first) stand in ``pool``.
+    """
 
     LIMIT = 1_000_000
 
@@ -94,48 +103,79 @@ class Ids:
         import sentencepiece
 
         self.encoder = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.base = (
-            np.zeros(0, np.uint64) if hashes is None else hashes,
-            np.zeros(1, np.int64) if offsets is None else offsets,
-            np.zeros(0, np.int32) if ids is None else ids,
-        )
-        self.hashes, self.offsets, self.ids = self.base
-
-    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        self.hashes = np.zeros(0, np.uint64) if hashes is None else hashes
+        self.base = (np.zeros(1, np.int64) if offsets is None else offsets, np.zeros(0, np.int32) if ids is None else ids)
+        self.bits = max(1, len(self.hashes).bit_length() + 1)
+        firsts = np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)
+        self.first = np.append(np.searchsorted(self.hashes, firsts), len(self.hashes)).astype(np.int32)
+        self.clear()
+
+    def clear(self) -> None:
+        """Forget the words met since."""
+        self.met, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.starts, self.sizes, self.pool = self.base[0][:-1], np.diff(self.base[0]), self.base[1]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids) of words as they stand after a space."""
+        if not len(texts):
+            return np.zeros(1, np.int64), np.zeros(0, np.int32)
+        # No word has a line's end in it: one string is cut faster than many are made.
+        words = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), texts), "\n")[0].as_py().split("\n")
         found = self.encoder.encode(words, num_threads=1)
         size = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for x in found for i in x), np.int32, int(size.sum()))
+        flat = np.fromiter(chain.from_iterable(found), np.int32, int(size.sum()))
         return np.concatenate(([0], np.cumsum(size))), flat
 
-    def learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        if len(self.hashes) > self.LIMIT + len(self.base[0]):
-            self.hashes, self.offsets, self.ids = self.base
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in the fixed table, whether the word is there) of each hash."""
+        if not len(self.hashes):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        slot = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        at, stop = self.first[slot].astype(np.int64), self.first[slot + 1]
+        hit = self.hashes[np.minimum(at, len(self.hashes) - 1)] == keys
+        open_ = np.flatnonzero(~hit & (at + 1 < stop))
+        while len(open_):
+            at[open_] += 1
+            same = self.hashes[at[open_]] == keys[open_]
+            hit[open_[same]] = True
+            open_ = open_[~same & (at[open_] + 1 < stop[open_])]
+        return np.where(hit, at, 0), hit
+
+    def learn(self, hashes: np.ndarray, words: pa.Array) -> None:
+        """Take up words that neither table has."""
         offsets, ids = self.encode(words)
-        every = np.concatenate([self.hashes, hashes])
-        starts = np.concatenate([self.offsets[:-1], offsets[:-1] + len(self.ids)])
-        sizes = np.concatenate([np.diff(self.offsets), np.diff(offsets)])
-        pool = np.concatenate([self.ids, ids])
+        every = np.concatenate([self.met, hashes])
         order = np.argsort(every, kind="stable")
-        self.hashes, sizes = every[order], sizes[order]
-        self.offsets = np.concatenate(([0], np.cumsum(sizes)))
-        self.ids = pool[np.repeat(starts[order] - self.offsets[:-1], sizes) + np.arange(int(self.offsets[-1]))]
+        self.met = every[order]
+        self.number = np.concatenate([self.number, len(self.starts) + np.arange(len(hashes))])[order]
+        self.starts = np.concatenate([self.starts, len(self.pool) + offsets[:-1]])
+        self.sizes = np.concatenate([self.sizes, np.diff(offsets)])
+        self.pool = np.concatenate([self.pool, ids])
+
+    def met_since(self, chunk: Chunk, words: Words, which: np.ndarray) -> np.ndarray:
+        """Numbers of the chosen words, none of them in the fixed table; new ones are taken up."""
+        keys, first, back = np.unique(words.hash[which], return_index=True, return_inverse=True)
+        if len(self.met) > self.LIMIT:
+            self.clear()
+        at = np.minimum(np.searchsorted(self.met, keys), max(0, len(self.met) - 1))
+        new = np.flatnonzero(self.met[at] != keys) if len(self.met) else np.arange(len(keys))
+        if len(new):
+            one = which[first[new]]
+            self.learn(keys[new], span_texts(chunk.data, words.start[one], words.end[one]))
+            at = np.searchsorted(self.met, keys)
+        return self.number[at][back]
 
-    def runs(self, chunk: Chunk) -> tuple[np.ndarray, np.ndarray, object]:
-        """(ids of all rows, each with its end; ids per row; the words with their ids' number)."""
+    def runs(self, chunk: Chunk) -> tuple[np.ndarray, np.ndarray, Words]:
+        """(ids of all rows, each with its end; ids per row; the words with their ids' number and place in the fixed table)."""
         words = words_of(chunk, NOT_SPACE)
-        keys, first, which = np.unique(words.hash, return_index=True, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.hashes, keys), max(0, len(self.hashes) - 1))
-        new = np.flatnonzero(self.hashes[at] != keys) if len(self.hashes) else np.arange(len(keys))
-        if len(new):
-            known = len(self.hashes)
-            self.learn(keys[new], span_texts(chunk.data, words.start[first[new]], words.end[first[new]]).to_pylist())
-            if len(self.hashes) < known + len(new):  # the table was emptied: all words are looked up again
-                return self.runs(chunk)
-        at = np.searchsorted(self.hashes, keys)[which]
-        size = self.offsets[at + 1] - self.offsets[at]
+        at, hit = self.find(words.hash)
+        words.place = np.where(hit, at, -1)
+        other = np.flatnonzero(~hit)
+        if len(other):
+            at[other] = self.met_since(chunk, words, other)
+        size = self.sizes[at]
         stop = np.cumsum(size)
-        pool = self.ids[np.repeat(self.offsets[at] - (stop - size), size) + np.arange(int(stop[-1]) if len(stop) else 0)]
+        pool = self.pool[np.repeat(self.starts[at] - (stop - size), size) + np.arange(int(stop[-1]) if len(stop) else 0)]
         per_row = np.bincount(words.row, size, chunk.rows).astype(np.int64) + 1
         flat = np.full(int(per_row.sum()), END, np.int32)
         inside = np.ones(len(flat), bool)
@@ -145,10 +185,17 @@ class Ids:
         return flat, per_row, words
 
 
-def batches(flat: np.ndarray, per_row: np.ndarray, window: int, overlap: int, size: int = BATCH):
-    """(inputs, targets, mask, row, place in ``flat``) of the windows of all rows, ``size`` windows at a time."""
+def batches(flat: np.ndarray, per_row: np.ndarray, window: int, overlap: int, size: int = BATCH, apart: bool = False):
+    """(inputs, targets, mask, row, place in ``flat``) of the windows of all rows, ``size`` windows at a time.
+
+    ``apart``: the first windows of all rows come before all others.
+    """
     starts = np.cumsum(per_row) - per_row
-    first, skip, length, run = attention.windows_of(starts, per_row, window, overlap)
+    parts = attention.windows_of(starts, per_row, window, overlap)
+    if apart:
+        order = np.argsort(parts[1] > 0, kind="stable")
+        parts = tuple(x[order] for x in parts)
+    first, skip, length, run = parts
     place = np.arange(window)
     for a in range(0, len(first), size):
         b = slice(a, a + size)
@@ -158,11 +205,11 @@ def batches(flat: np.ndarray, per_row: np.ndarray, window: int, overlap: int, si
         yield before, flat[at], mask, run[b], at
 
 
-def _id_runs(train: DataFrame, model, kind: str) -> DataFrame:
+def _id_runs(train: DataFrame, model, frequent, kind: str) -> DataFrame:
     """(draw, key, ids as bytes) of every training document."""
 
     def cut(batches_in):
-        ids = Ids(model.value)
+        ids = Ids(model.value, *frequent.value[:3])
         for batch in batches_in:
             for chunk in text_chunks(batch.column(0)):
                 flat, per_row, _ = ids.runs(chunk)
@@ -300,11 +347,11 @@ def train_part(net: attention.Attention, columns, kind: str, epochs: int = 1) ->
 
 
 def fit_model(
-    spark: SparkSession, train: DataFrame, n_train: int, model, per_id: np.ndarray, starts_word: np.ndarray, fit_rows: int, seed_ids: int
+    spark: SparkSession, train: DataFrame, n_train: int, model, frequent, per_id: np.ndarray, starts_word: np.ndarray, fit_rows: int, seed_ids: int
 ) -> attention.Tables:
     """Classes from the corpus counts of ids and clusters, attention weights from all windows."""
     kind = "<u2" if len(per_id) <= 1 << 16 else "<i4"
-    runs = stored(spark, _id_runs(train, model, kind), "id_runs")
+    runs = stored(spark, _id_runs(train, model, frequent, kind), "id_runs")
     classes = attention.classes_of(per_id, starts_word, cluster_counts(spark, runs, per_id, n_train, kind, fit_rows))
     net = attention.Attention(len(per_id), *classes)
     net.begin(per_id)
@@ -351,16 +398,28 @@ def spelt_scores(net: attention.Tables, flat: np.ndarray, per_row: np.ndarray, t
     ``tokens``: ids of each; ``last``: ends.
     """
     lp, start = np.zeros(len(flat), np.float32), np.zeros(len(flat), np.float32)
-    for before, target, mask, _, at in batches(flat, per_row, attention.WINDOW, attention.OVERLAP):
-        own, begin = net.log_probabilities(before, target)
-        lp[at[mask]] = own[mask]
-        start[at[mask]] = begin[mask]
+    for before, target, mask, _, at in batches(flat, per_row, attention.WINDOW, attention.OVERLAP, SCORED, apart=True):
+        at = at[mask]
+        lp[at], start[at] = net.log_probabilities(before, target, mask)
     first = np.cumsum(tokens) - tokens
     spelt = np.add.reduceat(lp, first, dtype=np.float64) - start[first]
     spelt[:-1] += np.where(last[:-1], 0.0, start[first[1:]])
     return spelt
 
 
+def _frequent_words(common: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ascending hashes, offsets and ids, log10 of count + 1) of (hash, n, ids) rows."""
+    if not common.num_rows:
+        return np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0)
+    table = common.combine_chunks()
+    hashes = table.column("hash").to_numpy().view(np.uint64)
+    order = np.argsort(hashes, kind="stable")
+    lists = table.column("ids").combine_chunks()
+    lists = lists.take(pa.array(order)) if isinstance(lists, pa.Array) else lists.chunk(0).take(pa.array(order))
+    offsets = np.asarray(lists.offsets, dtype=np.int64)
+    return hashes[order], offsets - offsets[0], np.asarray(lists.flatten(), dtype=np.int32), np.log10(table.column("n").to_numpy()[order] + 1.0)
+
+
 def score_documents(
     spark: SparkSession,
     docs: DataFrame,
@@ -387,7 +446,7 @@ def score_documents(
             for at in range(0, batch.num_rows, 20_000):
                 part = batch.slice(at, 20_000)
                 chunk = next(iter(text_chunks(part.column(0), 1 << 40)))
-                offsets, flat = ids.encode(part.column(0).to_pylist())
+                offsets, flat = ids.encode(part.column(0))
                 hashes = words_of(chunk, NOT_SPACE).hash
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), part.column(1), lists], names=["hash", "n", "ids"])
@@ -414,39 +473,31 @@ def score_documents(
     per_id[END] += n_train
     encoder = Ids(model.value).encoder
     starts_word = np.array([i in (BOS, END) or encoder.id_to_piece(i).startswith("\u2581") for i in range(len(per_id))])
-    tables = fit_model(spark, train, n_train, model, per_id, starts_word, fit_rows, seed_ids)
+    sent = spark.sparkContext.broadcast(_frequent_words(common))
+    tables = fit_model(spark, train, n_train, model, sent, per_id, starts_word, fit_rows, seed_ids)
     smooth = float(np.log10(total + kinds + 1.0))
     end_log = float(np.log10(n_train + 1.0))
 
-    table = common.combine_chunks().sort_by("hash") if common.num_rows else common
-    hashes = table.column("hash").to_numpy().view(np.uint64)
-    order = np.argsort(hashes, kind="stable")
-    lists = table.column("ids").combine_chunks()
-    sizes_of = np.diff(np.asarray(lists.offsets, dtype=np.int64)) if table.num_rows else np.zeros(0, np.int64)
-    taken = lists.take(pa.array(order)) if table.num_rows else None
-    offsets = np.concatenate(([0], np.cumsum(sizes_of[order])))
-    flat_ids = np.asarray(taken.flatten(), dtype=np.int32) if table.num_rows else np.zeros(0, np.int32)
-    logs = np.log10(table.column("n").to_numpy()[order] + 1.0) if table.num_rows else np.zeros(0)
-    parts = {f.name: getattr(tables, f.name) for f in fields(tables)}
-    sent = spark.sparkContext.broadcast((hashes[order], offsets, flat_ids, logs, parts))
+    net_parts = spark.sparkContext.broadcast({f.name: getattr(tables, f.name) for f in fields(tables)})
 
     def judge(batches_in):
-        known, starts, ids_of, log_of, parts = sent.value
-        net = attention.Tables(**parts)
-        ids = Ids(model.value, known, starts, ids_of)
+        *known, log_of = sent.value
+        net = attention.Tables(**net_parts.value)
+        ids = Ids(model.value, *known)
         for batch in batches_in:
             for chunk in text_chunks(batch.column("text"), 2 << 20):
                 flat, per_row, w = ids.runs(chunk)
-                at = np.minimum(np.searchsorted(known, w.hash), max(0, len(known) - 1))
-                hit = known[at] == w.hash if len(known) else np.zeros(len(w.hash), bool)
-                base = np.bincount(w.row[hit], log_of[at[hit]], chunk.rows).astype(np.float64)
+                hit = w.place >= 0
+                log = np.zeros(len(hit))
+                log[hit] = log_of[w.place[hit]]
+                base = np.bincount(w.row, log, chunk.rows).astype(np.float64)
                 n_known = np.bincount(w.row[hit], minlength=chunk.rows)
                 # Words and ends in text order, ends last in their rows.
                 n_words = np.bincount(w.row, minlength=chunk.rows)
                 last = np.zeros(len(w.hash) + chunk.rows, bool)
                 last[np.cumsum(n_words + 1) - 1] = True
                 counted = np.full(len(last), end_log)
-                counted[~last] = np.where(hit, log_of[at], 0.0) if len(known) else 0.0
+                counted[~last] = log
                 tokens = np.ones(len(last), np.int64)
                 tokens[~last] = w.tokens
                 spelt = spelt_scores(net, flat, per_row, tokens, last)

@@ -1,8 +1,10 @@
 """The attention model against plain loops: probabilities, gradients, windows."""
 
 import numpy as np
+import pyarrow as pa
 
-from larder.llm import attention
+from larder.llm import attention, lm
+from larder.llm.common import text_chunks
 
 
 def model(vocabulary=40, classes=8, dim=4, window=7, seed=1):
@@ -94,3 +96,50 @@ def test_every_token_is_scored_once():
         scored = np.concatenate([np.arange(f + s, f + n) for f, s, n in zip(first, skip, length, strict=True)])
         assert sorted(scored.tolist()) == list(range(sum(sizes)))
         assert (length <= 8).all() and len(run) == len(first)
+
+
+def test_scored_places_are_those_of_all_places():
+    net, rng = model(seed=3)
+    inputs, targets = rng.integers(0, 40, (9, 7)), rng.integers(0, 40, (9, 7))
+    scored = rng.random((9, 7)) < 0.6
+    tables = net.tables()
+    for first in (0, 3, 6):
+        scored[:, :first] = False
+        scored[0, 6] = True
+        for some, every in zip(tables.log_probabilities(inputs, targets, scored), tables.log_probabilities(inputs, targets), strict=True):
+            np.testing.assert_allclose(some, every[scored], atol=2e-6)
+
+
+def test_large_weights_stay_finite():
+    net, rng = model(seed=4)
+    net.p["b"] += 100
+    net.p["wq"] *= 30
+    net.p["wk"] = net.p["wq"].copy()  # a place meets itself with a high score
+    inputs, targets = rng.integers(0, 40, (3, 7)), rng.integers(0, 40, (3, 7))
+    assert all(np.isfinite(x).all() for x in net.tables().log_probabilities(inputs, targets, np.ones((3, 7), bool)))
+    loss, gradients, (_, sparse) = net.loss_and_gradients(inputs, targets, np.ones((3, 7), np.float32))
+    assert np.isfinite(loss) and np.isfinite(sparse).all() and all(np.isfinite(g).all() for g in gradients.values())
+
+
+def test_ids_of_words_come_from_either_table(monkeypatch):
+    texts = pa.array(["The cat  sat", None, "", "on the\tmat and the élan\nof Cats 12345", "the " * 50, "zz the"])
+    chunk = next(text_chunks(texts))
+    every = lm.words_of(chunk, lm.NOT_SPACE)
+    with open(lm.MODEL_PATH, "rb") as file:
+        model_file = file.read()
+    encoder = lm.Ids(model_file).encoder
+    lower = [(t or "").translate({c: c + 32 for c in range(65, 91)}).split() for t in texts.to_pylist()]
+    want = [[i for w in words for i in encoder.encode(w)] + [lm.END] for words in lower]
+    hashes, at = np.unique(every.hash, return_index=True)
+    spelt = [[w for words in lower for w in words][i] for i in at]
+    for limit in (0, lm.Ids.LIMIT):
+        monkeypatch.setattr(lm.Ids, "LIMIT", limit)
+        for fixed in (slice(0, 0), slice(None, None, 2), slice(None)):
+            offsets, flat = lm.Ids(model_file).encode(pa.array(spelt[fixed], pa.string()))
+            ids = lm.Ids(model_file, hashes[fixed], offsets, flat)
+            for _ in range(2):  # again when all words are known
+                got, per_row, words = ids.runs(chunk)
+                assert got.tolist() == [i for row in want for i in row] and per_row.tolist() == [len(row) for row in want]
+                known = np.isin(every.hash, hashes[fixed])
+                assert (words.place >= 0).tolist() == known.tolist()
+                assert (hashes[fixed][words.place[known]] == every.hash[known]).all()
